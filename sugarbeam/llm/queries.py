@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import dedup
+from sugarbeam.llm import dedup, packing, sharding
 from sugarbeam.llm.util import read
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_minmax_dedup": op8_minmax_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op8_minmax_dedup)}
 SQL: dict[str, str] = {}
