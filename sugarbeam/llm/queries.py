@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import dedup, packing, search, sharding
-from sugarbeam.llm.util import read
+from sugarbeam.llm import dedup, packing, quality, search, sharding, toxicity
+from sugarbeam.llm.util import fold, read
 
 
 def tokenizer_path() -> str:
@@ -25,6 +25,22 @@ def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _predictions(scored: DataFrame, n: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), n) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return _predictions(toxicity.score(docs, model, [("doc_id", "bigint")]), 5, 0)
+
+
+def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return _predictions(quality.score(docs, model, [("doc_id", "bigint")]), 3, 1)
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -34,7 +50,7 @@ def op9_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op8_minmax_dedup, op9_cover_tree_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op5_nb_ngram_toxicity, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search)}
 
 _OP9 = """
 WITH v AS (
