@@ -257,3 +257,17 @@ def _stragglers(docs: DataFrame, links: DataFrame, large: DataFrame, p: MinMax)
     probe = strays.join(n, "label").select("node", "label", "comp", F.pmod(F.xxhash64("node", F.lit(3)), "sc").alias("i"), each("c").alias("j")).select("node", key, F.lit(0).alias("side"), cid)
     whole = at.join(n, "label").select("node", "label", "comp", F.pmod("h", "c").alias("j"), each("sc").alias("i")).select("node", key, F.lit(1).alias("side"), cid)
     return _links(_with_text(docs, stored(probe.union(whole))), p)
+
+
+def one_of_each(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
+    """docs without the rows of groups whose smallest doc_id another row has; of rows that repeat that doc_id and
+    its text one stays. All columns are kept as they are."""
+    found = near_duplicates(docs, p)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "t").agg(F.count("*").alias("times"))
+    kept = stored(kept.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "times"))
+    mine = docs.withColumn("_k", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))
+    once = mine.join(kept.where("times = 1"), same, "left_semi")
+    if not kept.where("times > 1").limit(1).count():
+        return once.drop("_k")
+    return once.unionByName(mine.join(kept.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_k"])).drop("_k")

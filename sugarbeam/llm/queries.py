@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import dedup, packing, quality, search, sharding, toxicity
+from sugarbeam.llm import chat, dedup, licenses, mixing, packing, quality, search, sharding, tiff, toxicity
 from sugarbeam.llm.util import fold, read
 
 
@@ -29,12 +29,37 @@ def _predictions(scored: DataFrame, n: int, held: int) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), n) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), said.alias("text")) for i, r in enumerate(("user", "assistant"))]
+    out = chat.format_chats(told.unionByName(extra[0]).unionByName(extra[1]))
+    back, loss = F.col("back"), F.col("loss")
+    out = out.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    turns = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return mixing.mix(docs, docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain")))
+
+
 def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     return _predictions(toxicity.score(docs, model, [("doc_id", "bigint")]), 5, 0)
 
 
+def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.store_texts(read(spark, sf_dir, "documents"))
+    keep = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string")]
+    files = files.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    out = tiff.pages(files, "media", keep)
+    size = F.octet_length("pixels")
+    return out.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("pixels"), F.lit(-64), F.lit(64))).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
@@ -50,7 +75,11 @@ def op9_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op5_nb_ngram_toxicity, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search)}
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice)}
 
 _OP9 = """
 WITH v AS (
@@ -63,4 +92,45 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op9_cover_tree_search": _OP9}
+_OP3 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t') AS etext,
+    CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+      ELSE '~' || replace(replace(replace(replace(role, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t'), ': ', '\\c') END AS label,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS prior,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS later
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(label) + 2 + length(etext) + 8) AS BIGINT) AS formatted_chars,
+  bool_and(coalesce(prior, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')
+    AND (later IS NOT NULL OR role = 'assistant')) AS valid
+FROM e GROUP BY conv_id
+"""
+
+
+def _op10() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    words = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH n(license_id, text) AS (VALUES {rows}),
+t AS (SELECT license_id, {grams} AS b FROM (SELECT license_id, {words.format("text")} AS w FROM n)),
+c AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS segment, unnest(ls) AS line FROM c
+  UNION ALL SELECT doc_id, 0, text FROM c WHERE len(ls) > 1),
+g AS (SELECT doc_id, segment, {grams} AS b FROM (SELECT doc_id, segment, {words.format("line")} AS w FROM s)),
+m AS (
+  SELECT doc_id, segment, license_id, CAST(len(g.b) AS BIGINT) AS bigrams, CAST(len(t.b) AS BIGINT) AS template_bigrams, CAST(len(list_intersect(g.b, t.b)) AS BIGINT) AS shared
+  FROM g JOIN t ON 200 * least(len(g.b), len(t.b)) >= {licenses.PERCENT} * (len(g.b) + len(t.b)))
+SELECT *, 2.0::DOUBLE * shared / (bigrams + template_bigrams) AS dice FROM m WHERE 200 * shared >= {licenses.PERCENT} * (bigrams + template_bigrams)
+"""
+
+
+SQL: dict[str, str] = {"op3_chat_machine": _OP3, "op9_cover_tree_search": _OP9, "op10_license_dice": _op10()}
