@@ -16,13 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sugarbeam.llm import kernels as K
 from sugarbeam.llm.util import stored
 
-NODE = "struct<d:bigint,t:bigint>"
-
 
 @dataclass(frozen=True)
 class MinMax:
@@ -83,24 +80,27 @@ def profile(docs: DataFrame, p: MinMax) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of `edges` (a, b) can reach.
+def _tasks(rows: int) -> int:
+    """Tasks for a table of so many narrow rows."""
+    return max(6, -(-rows // 200_000))
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, label): the smallest node that each node of `edges` (a, b), about `rows` of them, can reach.
 
     Labels spread along edges and jump to their label's label, so the rounds grow with the logarithm of
     the longest path. Each round is written to the shared folder; no edge reaches the driver.
     """
-    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    n = _tasks(rows)
+    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")), n)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("m", "node").alias("label")), n)
     while True:
-        seen = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "label").union(labels)
-        near = stored(seen.groupBy("node").agg(F.min("label").alias("label")))
+        seen = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "label", F.lit(None).cast("long").alias("old")).union(labels.select("node", "label", F.col("label").alias("old")))
+        near = stored(seen.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")), n)
+        if not near.where("label <> old").limit(1).count():
+            return near.select("node", "label")
         up = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(near.join(up, "label", "left").select("node", F.least("label", "next").alias("label")))
-        old = labels.select("node", F.col("label").alias("old"))
-        moved = new.join(old, "node").where("label <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+        labels = stored(near.select("node", "label").join(up, "label").select("node", "next").withColumnRenamed("next", "label"), n)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -110,7 +110,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def chunk_links(sets: list[np.ndarray], comp: list, left: int, p: MinMax) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one chunk.
+    """(i, j) pairs that connect what the links of one chunk connect, as stars around one document each.
 
     Documents of one `comp` count as linked. If left >= 0, only pairs of one document below `left` and one
     from it on are compared. Pairs are tried in order of falling signature agreement.
@@ -139,7 +139,7 @@ def chunk_links(sets: list[np.ndarray], comp: list, left: int, p: MinMax) -> lis
         ok = (100 * np.minimum(sizes[at], sizes[i]) >= p.percent * np.maximum(sizes[at], sizes[i])) & ((agree >= p.percent / 100 - p.slack) | (keys[at] == keys[i]).any(axis=1))
         found += [(-a, i, j) for a, j in zip(agree[ok].tolist(), at[ok].tolist(), strict=True)]
     found.sort()
-    out = []
+    out: list[int] = []
     for _, i, j in found:
         a, b = top(i), top(j)
         if a == b:
@@ -147,56 +147,51 @@ def chunk_links(sets: list[np.ndarray], comp: list, left: int, p: MinMax) -> lis
         both = _shared(sets[i], sets[j]) if sizes[i] < sizes[j] else _shared(sets[j], sets[i])
         if 100 * both >= p.percent * (sizes[i] + sizes[j] - both):
             up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
-
-
-LINK = T.StructType([T.StructField(c, T.LongType()) for c in ("ad", "at", "bd", "bt")])
+            out += [i, j]
+    return sorted({(i, top(i)) for i in out if i != top(i)})
 
 
 def _links(rows: DataFrame, p: MinMax) -> DataFrame:
-    """Links (a, b) inside the groups of rows (group, side, d, t, comp, text). Groups are streamed one after
+    """Links (a, b) inside the groups of rows (group, side, node, comp, text). Groups are streamed one after
     the other from sorted partitions; side 0 of a group holds its probes, if it has any (else side is 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         now, held = None, []
 
-        def close() -> list[tuple]:
+        def close() -> list[tuple[int, int]]:
             probes = sum(1 for x in held if x[0] == 0)
             if len(held) < 2 or (probes and probes == len(held)):
                 return []
-            pairs = chunk_links([x[4] for x in held], [x[3] for x in held], probes or -1, p)
-            return [(held[i][1], held[i][2], held[j][1], held[j][2]) for i, j in pairs]
-
-        def send(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["ad", "at", "bd", "bt"])
+            return [(held[i][1], held[j][1]) for i, j in chunk_links([x[3] for x in held], [x[2] for x in held], probes or -1, p)]
 
         for batch in batches:
-            out: list[tuple] = []
+            out: list[tuple[int, int]] = []
             data, off = K.text_buffers(batch.column("text"))
-            cols = [batch.column(c).to_pylist() for c in ("group", "side", "d", "t", "comp")]
+            cols = [batch.column(c).to_pylist() for c in ("group", "side", "node", "comp")]
             for i, j in K.blocks(off):
                 h, first = K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], p.words)
                 for r in range(i, j):
-                    g, side, d, t, comp = (c[r] for c in cols)
+                    g, side, node, comp = (c[r] for c in cols)
                     if g != now:
                         out += close()
                         now, held = g, []
-                    held.append((side, d, t, comp, h[first[r - i] : first[r - i + 1]].copy()))
+                    held.append((side, node, comp, h[first[r - i] : first[r - i + 1]].copy()))
             if out:
-                yield send(out)
+                yield _edges(out)
         out = close()
         if out:
-            yield send(out)
+            yield _edges(out)
+
+    return rows.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(run, "a bigint, b bigint")
 
-    dealt = rows.repartition("group").sortWithinPartitions("group", "side", "d", "t")
-    got = dealt.mapInArrow(run, LINK)
-    return got.select(F.struct(F.col("ad").alias("d"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bd").alias("d"), F.col("bt").alias("t")).alias("b"))
+
+def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
-    """(doc_id, t, n_shingles, component_id) of each row of docs (doc_id, text, ...).
+    """(doc_id, t, n_shingles, component_id) of each row of docs (doc_id, text, ...); t is the text's hash.
 
     A document's set holds its distinct shingles of `words` words (lower-cased A-Z; the whole sequence if
     it has fewer words). Rows are linked if 100 * |A & B| >= percent * |A | B|; component_id is the smallest
@@ -207,56 +202,67 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stored(profile(docs, p))
-    node = F.struct(F.col("doc_id").alias("d"), "t")
-    nodes = stored(base.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(node.alias("node"), "bands")).alias("m")).select("f1", "f2", "m.node", "m.bands"))
+    total = base.count()
+    some = _tasks(4 * total)
+    # Numbers of nodes are fixed by the written table.
+    nodes = base.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t", "bands")).alias("m"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "m.doc_id", "m.t", "m.bands"), some)
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    heads = stored(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"))
-    stars = stored(banded.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    family = components(stars)  # (node, label)
-    counts = stored(family.groupBy("label").agg(F.count("*").alias("m")))
+    heads = stored(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"), some)
+    stars = stored(banded.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), some)
+    rows = stars.count()
+    few = _tasks(rows)
+    family = components(stars, rows)  # (node, label)
+    counts = stored(family.groupBy("label").agg(F.count("*").alias("m")), few)
     member = family.join(counts, "label").select("node", "label", F.ceil(F.col("m") / p.chunk).alias("c"), "m")
-    member = stored(member.withColumn("h", F.pmod(F.xxhash64("node"), F.lit(1 << 30))))
+    member = member.join(nodes.select("node", "doc_id", "t"), "node")
+    member = stored(member.withColumn("h", F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 30))), few)
     small, large = member.where("c = 1"), member.where("c > 1")
+    text = stored(_texts(docs, member))
+    what = ["node"]
     # A family of several chunks: each chunk also gets the same few members, through which its parts find each other.
     # The share of the hash range below makes them about `pivots` for any family.
     pivot = large.where(F.col("h") * F.col("m") < F.lit(p.pivots << 30))
-    one = F.xxhash64("label", F.lit(-1)).alias("group")
-    groups = small.select("node", one).union(large.select("node", F.xxhash64("label", F.pmod("h", "c")).alias("group")))
-    groups = groups.union(pivot.select("node", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda k: F.xxhash64("label", k))).alias("group"))).distinct()
-    groups = stored(groups.select("node", "group", F.lit(1).alias("side"), F.lit(None).cast("long").alias("comp")))
-    links = stored(_links(_with_text(docs, groups), p))
+    groups = small.select(*what, F.xxhash64("label", F.lit(-1)).alias("group")).union(large.select(*what, F.xxhash64("label", F.pmod("h", "c")).alias("group")))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    groups = groups.union(pivot.where(F.pmod("h", "c") >= 0).select(*what, "label", each("c").alias("k"), F.pmod("h", "c").alias("own")).where("k <> own").select(*what, F.xxhash64("label", "k").alias("group")))
+    groups = stored(groups.select(*what, "group", F.lit(1).alias("side"), F.lit(None).cast("long").alias("comp")), few)
+    links = stored(_links(text.join(groups.hint("merge"), "node"), p))
+    comp = components(links, rows)
     if large.limit(1).count():
-        links = stored(links.union(_stragglers(docs, links, stored(large), p)))
-    comp = components(links)
-    known = nodes.select("f1", "f2", "node").join(comp, "node", "left").select("f1", "f2", F.coalesce("label.d", "node.d").alias("component_id"))
-    known = stored(known)
+        more = stored(_stragglers(text, comp, large, few, p))
+        if more.limit(1).count():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), rows)
+    least = stored(comp.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id")), few)
+    known = nodes.select("f1", "f2", "node", "doc_id").join(comp.join(least, "label").select("node", "component_id"), "node", "left")
+    known = stored(known.select("f1", "f2", F.coalesce("component_id", "doc_id").alias("component_id")), some)
     out = base.where("n > 0").select("doc_id", "t", F.col("n").alias("n_shingles"), "f1", "f2").join(known, ["f1", "f2"]).select("doc_id", "t", "n_shingles", "component_id")
     alone = base.where("n = 0").select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
-def _with_text(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The text of each grouped node. A row that repeats another gives the same node twice, which does no harm."""
-    g = groups.select(F.col("node.d").alias("doc_id"), F.col("node.t").alias("t"), "group", "side", "comp")
+def _texts(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, text) of each member of a family. A row that repeats another gives the same node twice, which does no
+    harm. The join is a sort-merge join at every size, so that a small table runs the plan of a large one."""
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return text.join(g, ["doc_id", "t"]).select("group", "side", F.col("doc_id").alias("d"), "t", "comp", "text")
+    same = text.doc_id.eqNullSafe(member.doc_id) & (text.t == member.t)
+    return text.join(member.hint("merge"), same).select("node", "text")
 
 
-def _stragglers(docs: DataFrame, links: DataFrame, large: DataFrame, p: MinMax) -> DataFrame:
+def _stragglers(text: DataFrame, comp: DataFrame, large: DataFrame, few: int, p: MinMax) -> DataFrame:
     """Links across the chunks of large families. All members outside a family's largest component are
     compared with every chunk of the family, in blocks; members inside it are linked to each other already."""
-    comp = components(links)
-    at = stored(large.join(comp.withColumnRenamed("label", "root"), "node", "left").select("node", "label", "c", "h", F.coalesce("root", "node").alias("comp")))
-    sizes = stored(at.groupBy("label", "comp").agg(F.count("*").alias("s")))
-    most = stored(sizes.groupBy("label").agg(F.max(F.struct("s", "comp")).alias("top")).select("label", F.col("top.comp").alias("top")))
-    strays = stored(at.join(most, "label").where("comp <> top").select("node", "label", "c", "h", "comp"))
-    n = stored(strays.groupBy("label").agg(F.ceil(F.count("*") / p.chunk).alias("sc")))
+    at = stored(large.join(comp.select("node", F.col("label").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), few)
+    sizes = at.groupBy("label", "comp").agg(F.count("*").alias("s"))
+    most = stored(sizes.groupBy("label").agg(F.max_by("comp", F.col("s")).alias("top"), F.sum("s").alias("m"), F.max("s").alias("s")), few)
+    most = most.select("label", "top", F.ceil((F.col("m") - F.col("s")) / p.chunk).alias("sc")).where("sc > 0")
+    both = stored(at.join(most, "label"), few)
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     key = F.xxhash64("label", "i", "j").alias("group")
-    cid = F.xxhash64("comp").alias("comp")
-    probe = strays.join(n, "label").select("node", "label", "comp", F.pmod(F.xxhash64("node", F.lit(3)), "sc").alias("i"), each("c").alias("j")).select("node", key, F.lit(0).alias("side"), cid)
-    whole = at.join(n, "label").select("node", "label", "comp", F.pmod("h", "c").alias("j"), each("sc").alias("i")).select("node", key, F.lit(1).alias("side"), cid)
-    return _links(_with_text(docs, stored(probe.union(whole))), p)
+    what = ["node"]
+    probe = both.where("comp <> top").select(*what, "label", "comp", F.pmod(F.xxhash64("node", F.lit(3)), "sc").alias("i"), each("c").alias("j")).select(*what, key, F.lit(0).alias("side"), "comp")
+    whole = both.select(*what, "label", "comp", F.pmod("h", "c").alias("j"), each("sc").alias("i")).select(*what, key, F.lit(1).alias("side"), "comp")
+    return _links(text.join(stored(probe.union(whole), few).hint("merge"), "node"), p)
 
 
 def one_of_each(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:

@@ -45,10 +45,12 @@ def drop_stored(spark: SparkSession, path: str) -> None:
         _written.remove((spark, path))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and return a scan of it: lineage ends there, so a lost
-    executor costs a re-read, not a recomputation. Tables are deleted when the driver's Python ends."""
+    executor costs a re-read, not a recomputation. Tables are deleted when the driver's Python ends.
+    `tasks`: write with so many tasks at most, for tables whose size is known to be small for each."""
     spark = df.sparkSession
+    df = df.coalesce(tasks) if tasks else df
     path = f"{shared_dir(spark)}/sugarbeam/{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
