@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sugarbeam.llm import dedup, mixing, packing, quality, toxicity
 from sugarbeam.llm.queries import tokenizer_path
-from sugarbeam.llm.util import read, stored
+from sugarbeam.llm.util import guarded, read, stored
 
 #: A document is rejected below this quality, or from this toxicity on.
 THRESHOLD = 0.5
@@ -22,13 +22,15 @@ THRESHOLD = 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches THRESHOLD. The rules are fitted on the labelled documents of `documents`."""
     model = quality.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.dtypes).where(F.col("score") >= THRESHOLD).drop("score")
+    docs, named = guarded(docs)
+    return named(quality.score(docs, model, docs.dtypes).where(F.col("score") >= THRESHOLD))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below THRESHOLD."""
     model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.dtypes).where(F.col("score") < THRESHOLD).drop("score")
+    docs, named = guarded(docs)
+    return named(toxicity.score(docs, model, docs.dtypes).where(F.col("score") < THRESHOLD))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import stored
+from sugarbeam.llm.util import guarded, stored
 
 
 @dataclass(frozen=True)
@@ -268,12 +268,13 @@ def _stragglers(text: DataFrame, comp: DataFrame, large: DataFrame, few: int, p:
 def one_of_each(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """docs without the rows of groups whose smallest doc_id another row has; of rows that repeat that doc_id and
     its text one stays. All columns are kept as they are."""
+    docs, named = guarded(docs)
     found = near_duplicates(docs, p)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "t").agg(F.count("*").alias("times"))
     kept = stored(kept.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "times"))
     mine = docs.withColumn("_k", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))
-    once = mine.join(kept.where("times = 1"), same, "left_semi")
-    if not kept.where("times > 1").limit(1).count():
-        return once.drop("_k")
-    return once.unionByName(mine.join(kept.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_k"])).drop("_k")
+    out = mine.join(kept.where("times = 1").hint("merge"), same, "left_semi")
+    if kept.where("times > 1").limit(1).count():
+        out = out.unionByName(mine.join(kept.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_k"]))
+    return named(out)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import stored
+from sugarbeam.llm.util import guarded, stored
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 4_000
@@ -184,9 +184,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs with each row repeated as often as its copies say (0: it goes)."""
+    docs, named = guarded(docs)
     model = fit(docs, labelled, list(targets))
     steps = fit_rates(stored(memberships(docs, model, [])), targets)
     keep = [(c, t) for c, t in docs.dtypes]
     out = rated(memberships(docs, model, keep), steps, len(model.domains), keep)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

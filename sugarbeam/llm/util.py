@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,12 @@ def stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
     return out
 
 
+def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns other than doc_id and text under names that no operator uses, and what gives rows of it their names back."""
+    inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*docs.columns)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
