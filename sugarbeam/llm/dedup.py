@@ -89,18 +89,19 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
     """(node, label): the smallest node that each node of `edges` (a, b), about `rows` of them, can reach.
 
     Labels spread along edges and jump to their label's label, so the rounds grow with the logarithm of
-    the longest path. Each round is written to the shared folder; no edge reaches the driver.
+    the longest path; only labels that changed in the last round are sent on. Each round is written to the
+    shared folder; no edge reaches the driver.
     """
     n = _tasks(rows)
     both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")), n)
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("m", "node").alias("label")), n)
-    while True:
-        seen = both.join(labels, both.b == labels.node).select(both.a.alias("node"), "label", F.lit(None).cast("long").alias("old")).union(labels.select("node", "label", F.col("label").alias("old")))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("m", "node").alias("label"), F.col("node").alias("old")), n)
+    while labels.where("label <> old").limit(1).count():
+        moved = labels.where("label <> old").select(F.col("node").alias("b"), "label")
+        seen = both.join(moved, "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old")).union(labels.select("node", "label", F.col("label").alias("old")))
         near = stored(seen.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")), n)
-        if not near.where("label <> old").limit(1).count():
-            return near.select("node", "label")
         up = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = stored(near.select("node", "label").join(up, "label").select("node", "next").withColumnRenamed("next", "label"), n)
+        labels = stored(near.join(up, "label").select("node", F.col("next").alias("label"), "old"), n)
+    return labels.select("node", "label")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -209,7 +210,10 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "m.doc_id", "m.t", "m.bands"), some)
     banded = nodes.select("node", F.explode("bands").alias("key"))
     heads = stored(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"), some)
-    stars = stored(banded.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), some)
+    # A node and the heads of its bands, at most one for each band, hang on the smallest of them.
+    tied = banded.join(heads, "key").where("node <> head").groupBy("node").agg(F.collect_set("head").alias("heads"))
+    tied = tied.select(F.array_min("heads").alias("b"), F.explode(F.concat("heads", F.array("node"))).alias("a"))
+    stars = stored(tied.where("a <> b").distinct().select("a", "b"), some)
     rows = stars.count()
     few = _tasks(rows)
     family = components(stars, rows)  # (node, label)
