@@ -37,6 +37,13 @@ def canonical(c: Column) -> Column:
     return _mapped(g.canonical, "string")(c)
 
 
+def canonicalize(c: Column) -> Column:
+    """Canonical condensed text from any notation that is understood, null otherwise."""
+    from sugarbeam.functions.notations import canonicalize as read
+
+    return _mapped(read, "string")(c)
+
+
 def composition(c: Column) -> Column:
     return _mapped(g.composition, "map<string,int>")(c)
 

@@ -85,6 +85,15 @@ def glycan_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark).select("glycan", c.canonical(F.col("glycan")).alias("canonical"))
 
 
+# One sequence in the notations that are read.
+NOTATIONS = [("dialect", "Manα1-3(Manα1-6)Manβ1-4GlcNAcβ1-4GlcNAc"), ("linear", "Ma3(Ma6)Mb4GNb4GN;"), ("bare", "Mana3(Mana6)Manb4GlcNAcb4GlcNAc"), ("condensed", "Man(a1-6)[Man(a1-3)]Man(b1-4)GlcNAc(b1-4)GlcNAc"), ("junk", "no sequence")]
+
+
+@query("SELECT * FROM (VALUES ('dialect', 'Man(a1-3)[Man(a1-6)]Man(b1-4)GlcNAc(b1-4)GlcNAc'), ('linear', 'Man(a1-3)[Man(a1-6)]Man(b1-4)GlcNAc(b1-4)GlcNAc'), ('bare', 'Man(a1-3)[Man(a1-6)]Man(b1-4)GlcNAc(b1-4)GlcNAc'), ('condensed', 'Man(a1-3)[Man(a1-6)]Man(b1-4)GlcNAc(b1-4)GlcNAc'), ('junk', NULL)) t(notation, canonical)")
+def glycan_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(NOTATIONS, "notation string, text string").select("notation", c.canonicalize(F.col("text")).alias("canonical"))
+
+
 @query()
 def glycan_disaccharides(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sequences(spark).select("glycan", F.explode(c.disaccharides(F.col("glycan"))).alias("fragment", "n"))
