@@ -44,6 +44,14 @@ def canonicalize(c: Column) -> Column:
     return _mapped(read, "string")(c)
 
 
+def pattern_matches(c: Column, pattern: str) -> Column:
+    """Parts of the sequence that the pattern of sugarbeam.functions.patterns matches; the pattern is read once."""
+    from sugarbeam.functions import patterns
+
+    known = patterns.compile_pattern(pattern)
+    return _mapped(lambda x: patterns.matches(known, x), "array<string>")(c)
+
+
 def composition(c: Column) -> Column:
     return _mapped(g.composition, "map<string,int>")(c)
 

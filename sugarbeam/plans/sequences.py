@@ -94,6 +94,12 @@ def glycan_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(NOTATIONS, "notation string, text string").select("notation", c.canonicalize(F.col("text")).alias("canonical"))
 
 
+@query("SELECT * FROM (VALUES ('Man(a1-3)[Man(a1-6)]Man(b1-4)GlcNAc(b1-4)GlcNAc', 'Man(b1-4)GlcNAc(b1-4)GlcNAc')) t(glycan, parts)")
+def glycan_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sequences(spark).where(F.col("glycan").startswith("Man(a1-3)[Man(a1-6)]"))
+    return d.select("glycan", F.array_join(c.pattern_matches(F.col("glycan"), "Hex-[HexNAc]{2}"), "|").alias("parts"))
+
+
 @query()
 def glycan_disaccharides(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sequences(spark).select("glycan", F.explode(c.disaccharides(F.col("glycan"))).alias("fragment", "n"))
