@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sugarbeam.operators import abundance as ab
 from sugarbeam.operators import diversity as dv
+from sugarbeam.operators import multivariate as mv
 from sugarbeam.operators import networks as nw
 from sugarbeam.operators import series as se
 from sugarbeam.operators import testing as te
@@ -415,3 +416,31 @@ SELECT item, array_to_string(list_transform(c, lambda x: CASE WHEN list_contains
 def multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = nw.multilabel(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), "o_orderpriority"), "item", "o_orderpriority")
     return m.select("item", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"))
+
+
+@query()
+def hotelling_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ab.clr(fx.abundance(spark, sf_dir))
+    return mv.by_set(d.withColumn("set", F.substring("feature", 7, 1)).where("substring(feature, 8, 1) in ('1', '2', '3')"))
+
+
+@query()
+def monte_carlo_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mv.monte_carlo(fx.sparse(spark, sf_dir), 16)
+
+
+@query()
+def alr_reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mv.reference_scores(fx.abundance(spark, sf_dir))
+
+
+@query()
+def network_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mv.communities(fx.edges(spark, sf_dir).select(F.col("diffs").alias("network"), "src", "dst"))
+
+
+@query()
+def site_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    d = line.select(F.concat(F.lit("p"), F.col("l_suppkey") % 5).alias("site"), (F.col("l_returnflag") == "R").cast("double").alias("condition"), F.ln("l_extendedprice").alias("value"), F.col("l_quantity").alias("H"), F.col("l_linenumber").cast("double").alias("N"))
+    return mv.site_models(d, ["H", "N"])
