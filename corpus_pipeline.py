@@ -39,8 +39,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at the rates that bring the expected tokens of each language to its target weight."""
-    return mixing.mixed(docs, docs.select("doc_id", F.col("lang").alias("domain")))
+    """Documents repeated at the rates, 1 at least, that bring the expected tokens of each language to its target weight."""
+    return mixing.mixed(docs, docs.select("doc_id", F.col("lang").alias("domain")), least=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def _lists(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(rates, point of the next gradient) after the gradients `steps`, each multiplied by its step length.
 
     A rate depends on its posterior and on the few numbers of each gradient alone, so rates are never stored
@@ -101,16 +101,16 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     x = at = np.ones(len(p))
     t = 1.0
     for g in steps:
-        new = np.maximum(0, at - p @ g)
+        new = np.maximum(least, at - p @ g)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at = np.maximum(0, new + (t - 1) / nt * (new - x))
+        at = np.maximum(least, new + (t - 1) / nt * (new - x))
         x, t = new, nt
     return x, at
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60) -> list[np.ndarray]:
+def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0) -> list[np.ndarray]:
     """Gradient steps of the projected gradient for: least squares of (expected domain tokens - target tokens) over
-    rates >= 0, from rates of 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
+    rates >= least >= 0, from rates of 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
 
     Each round sums rate x tokens x posterior over all rows: partial sums in tasks, a few numbers on the driver.
     It ends when each domain is within `tolerance` of its target, or after `rounds`.
@@ -124,7 +124,7 @@ def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1
             for batch in batches:
                 p = _lists(batch.column("_p"), d)
                 x = batch.column("_tokens").to_numpy().astype(float)
-                s += (p * x[:, None]).T @ p if cross else p.T @ (replay(p, steps)[1] * x)
+                s += (p * x[:, None]).T @ p if cross else p.T @ (replay(p, steps, least)[1] * x)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s.ravel())], ["k", "v"])
 
         got = member.select("_tokens", "_p").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
@@ -148,13 +148,13 @@ def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1
     return steps
 
 
-def rated(member: DataFrame, steps: list[np.ndarray], d: int, keep: list[tuple[str, str]]) -> DataFrame:
+def rated(member: DataFrame, steps: list[np.ndarray], d: int, keep: list[tuple[str, str]], least: float = 0.0) -> DataFrame:
     """The columns `keep` and `_rate`, taken from member's `_p`."""
     names = [k for k, _ in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = replay(_lists(batch.column("_p"), d), steps)[1]
+            rate = replay(_lists(batch.column("_p"), d), steps, least)[1]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(rate)], [*names, "_rate"])
 
     return member.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
@@ -182,12 +182,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     return out.select("doc_id", F.col("_tokens").alias("tokens"), *p, F.col("_rate").alias("rate"), copies().alias("copies"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs with each row repeated as often as its copies say (0: it goes)."""
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> DataFrame:
+    """docs with each row repeated as often as its copies say (0: it goes). Rates of 1 at `least` keep every row."""
     docs, named = guarded(docs)
     model = fit(docs, labelled, list(targets))
-    steps = fit_rates(stored(memberships(docs, model, [])), targets)
+    steps = fit_rates(stored(memberships(docs, model, [])), targets, least=least)
     keep = [(c, t) for c, t in docs.dtypes]
-    out = rated(memberships(docs, model, keep), steps, len(model.domains), keep)
+    out = rated(memberships(docs, model, keep), steps, len(model.domains), keep, least)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
     return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -252,6 +252,8 @@ def test_pipeline_stages_on_small_tables(spark, tmp_path):
         out = spark.read.parquet(str(tmp_path / f"s{i}"))
         if i < 4:
             assert out.columns == docs.columns
+        if name == "mixing":
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
         if i < 3:
             assert out.join(before, docs.columns, "left_anti").count() == 0
     assert out.columns[0] == "doc_id" and 0 < out.count()
