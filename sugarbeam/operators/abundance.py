@@ -19,11 +19,13 @@ def by_sample() -> WindowSpec:
 
 
 def complete(df: DataFrame) -> DataFrame:
-    """Every feature in every sample; missing or null values are 0. Samples are few, so they ride on each feature."""
-    seen = df.groupBy("feature", "sample").agg(F.sum("value").alias("value"))
+    """Every feature in every sample; missing or null values are 0, repeated cells are added. Samples are few, so the list
+    of them rides on each feature, whose cells meet in one aggregation; no join is needed."""
     samples = df.select("sample", "grp").distinct().agg(F.array_sort(F.collect_list(F.struct("sample", "grp"))).alias("all"))
-    grid = df.select("feature").distinct().crossJoin(F.broadcast(samples)).select("feature", F.explode("all").alias("s"))
-    return grid.select("feature", "s.sample", "s.grp").join(seen, ["feature", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    have = df.groupBy("feature").agg(F.collect_list(F.struct("sample", "value")).alias("have"))
+    total = lambda s: F.aggregate(F.filter("have", lambda h: h["sample"] == s), F.lit(0.0), lambda x, h: x + F.coalesce(h["value"], F.lit(0.0)))
+    cells = F.transform("all", lambda s: F.struct(s["sample"].alias("sample"), s["grp"].alias("grp"), total(s["sample"]).alias("value")))
+    return have.crossJoin(F.broadcast(samples)).select("feature", F.explode(cells).alias("c")).select("feature", "c.*")
 
 
 def drop_empty(df: DataFrame) -> DataFrame:

@@ -9,21 +9,29 @@ from sugarbeam.functions import special
 
 
 def group_moments(df: DataFrame) -> DataFrame:
-    """(feature, n0, m0, v0, n1, m1, v1): count, mean and variance of each feature in groups 0 and 1."""
-    each = []
+    """(feature, mean, n0, m0, v0, n1, m1, v1): count, mean and variance of each feature in groups 0 and 1, and the mean of all."""
+    each = [F.avg("value").alias("mean")]
     for g in (0, 1):
         x = F.when(F.col("grp") == g, F.col("value"))
         each += [F.count(x).alias(f"n{g}"), F.avg(x).alias(f"m{g}"), F.var_samp(x).alias(f"v{g}")]
     return df.groupBy("feature").agg(*each)
 
 
+def _pooled_effect() -> Column:
+    sd = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2))
+    return (F.col("m1") - F.col("m0")) / F.greatest(sd, F.lit(1e-6))
+
+
+def _welch() -> tuple[Column, Column]:
+    s0, s1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    return (F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1), (s0 + s1) * (s0 + s1) / (s0 * s0 / (F.col("n0") - 1) + s1 * s1 / (F.col("n1") - 1))
+
+
 def cohen_d(df: DataFrame) -> DataFrame:
     """(feature, effect, variance): standardized difference of group 1 and group 0 with pooled deviation (at least 1e-6)."""
-    m = group_moments(df)
-    n0, n1 = F.col("n0"), F.col("n1")
-    sd = F.greatest(F.sqrt(((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / (n0 + n1 - 2)), F.lit(1e-6))
-    d = (F.col("m1") - F.col("m0")) / sd
-    return m.select("feature", d.alias("effect"), ((n0 + n1) / (n0 * n1) + d * d / (2 * (n0 + n1))).alias("variance"))
+    m = group_moments(df).withColumn("effect", _pooled_effect())
+    n0, n1, d = F.col("n0"), F.col("n1"), F.col("effect")
+    return m.select("feature", "effect", ((n0 + n1) / (n0 * n1) + d * d / (2 * (n0 + n1))).alias("variance"))
 
 
 def paired_differences(df: DataFrame) -> DataFrame:
@@ -40,11 +48,8 @@ def cohen_d_paired(df: DataFrame) -> DataFrame:
 
 def welch(df: DataFrame) -> DataFrame:
     """(feature, difference, t, df): Welch's statistic of group 1 against group 0."""
-    m = group_moments(df)
-    s0, s1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    t = (F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1)
-    dof = (s0 + s1) * (s0 + s1) / (s0 * s0 / (F.col("n0") - 1) + s1 * s1 / (F.col("n1") - 1))
-    return m.select("feature", (F.col("m1") - F.col("m0")).alias("difference"), t.alias("t"), dof.alias("df"))
+    t, dof = _welch()
+    return group_moments(df).select("feature", (F.col("m1") - F.col("m0")).alias("difference"), t.alias("t"), dof.alias("df"))
 
 
 def paired_t(df: DataFrame) -> DataFrame:
@@ -111,12 +116,16 @@ def grouped_two_stage(df: DataFrame, by: str, p: str = "p", alpha: float = 0.05)
 
 def differential(df: DataFrame, paired: bool = False) -> DataFrame:
     """(feature, mean, log2fc, t, df, p, adjusted, effect): group 1 against group 0 on transformed values."""
-    t = paired_t(df) if paired else welch(df)
-    effect = (cohen_d_paired(df) if paired else cohen_d(df)).select("feature", "effect")
-    means = df.groupBy("feature").agg(F.avg("value").alias("mean"))
-    out = t.withColumn("p", F.coalesce(F.nanvl(special.t_p(F.col("t"), F.col("df")), F.lit(1.0)), F.lit(1.0)))
-    out = two_stage(out).join(effect, "feature").join(means, "feature")
-    return out.select("feature", "mean", F.col("difference").alias("log2fc"), "t", "df", "p", "adjusted", "effect").orderBy("adjusted", "p", "feature")
+    if paired:
+        d = df.groupBy("feature", "pair").agg(*(F.max(F.when(F.col("grp") == g, F.col("value"))).alias(f"x{g}") for g in (0, 1)), F.sum("value").alias("s"), F.count("value").alias("c"))
+        diff = F.col("x1") - F.col("x0")
+        m = d.groupBy("feature").agg(F.count(diff).alias("n"), F.avg(diff).alias("log2fc"), F.stddev_samp(diff).alias("sd"), (F.sum("s") / F.sum("c")).alias("mean"))
+        out = m.select("feature", "mean", "log2fc", (F.col("log2fc") / (F.col("sd") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).cast("double").alias("df"), (F.col("log2fc") / F.col("sd")).alias("effect"))
+    else:
+        t, dof = _welch()
+        out = group_moments(df).select("feature", "mean", (F.col("m1") - F.col("m0")).alias("log2fc"), t.alias("t"), dof.alias("df"), _pooled_effect().alias("effect"))
+    out = two_stage(out.withColumn("p", F.coalesce(F.nanvl(special.t_p(F.col("t"), F.col("df")), F.lit(1.0)), F.lit(1.0))))
+    return out.select("feature", "mean", "log2fc", "t", "df", "p", "adjusted", "effect").orderBy("adjusted", "p", "feature")
 
 
 def meta_analysis(df: DataFrame, model: str = "fixed") -> DataFrame:
