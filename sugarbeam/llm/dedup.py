@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import guarded, stored
+from sugarbeam.llm.util import guarded, in_batches, stored
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def profile(docs: DataFrame, p: MinMax) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(keys[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), pa.array(n), *map(pa.array, f), lists], ["doc_id", "t", "n", "f1", "f2", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(in_batches).mapInArrow(run, "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _tasks(rows: int) -> int:
@@ -184,7 +184,7 @@ def _links(rows: DataFrame, p: MinMax) -> DataFrame:
         if out:
             yield _edges(out)
 
-    return rows.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("group").sortWithinPartitions("group", "side", "node").transform(in_batches).mapInArrow(run, "a bigint, b bigint")
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:

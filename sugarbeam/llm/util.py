@@ -60,6 +60,20 @@ def stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
     return out
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's limit of bytes in an Arrow batch to BATCH_BYTES, so that a worker's memory
+    does not grow with the length of the texts that happen to follow each other."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with columns other than doc_id and text under names that no operator uses, and what gives rows of it their names back."""
     inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
