@@ -166,11 +166,31 @@ def lookup_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.first_match(n, r, "k", "r_name", "r_name").select("n_name", "r_name")
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.windowed_counts(fx.table(spark, sf_dir, "events"))
+    return events.windowed_counts(fx.table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) AS n FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view') GROUP BY 1")
+def windowed_shannon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = events.windowed_shannon(fx.table(spark, sf_dir, "events"), ["click", "error", "purchase", "view"]).where("n > 0")
+    return d.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query(f"""WITH {VALUES}, {WORDS}, t AS (SELECT glycan, unnest(tokens) AS token FROM tk), n AS (SELECT token, count(*) AS n FROM t GROUP BY token)
+SELECT token, n FROM n WHERE NOT regexp_matches(token, '^[ab?][12?]-') AND n <= 2""")
+def rare_monosaccharides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = sequences(spark).select(F.explode(c.tokens(F.col("glycan"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.where(~F.col("token").rlike("^[ab?][12?]-") & (F.col("n") <= 2))
+
+
+@query()
+def glycan_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sugarbeam.functions import letters
+
+    return sequences(spark).select("glycan", c._mapped(letters.topology, "string")(F.col("glycan")).alias("topology"))
