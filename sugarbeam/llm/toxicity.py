@@ -91,16 +91,18 @@ def fit_texts(data: np.ndarray, off: np.ndarray, y: np.ndarray) -> NgramModel:
     r = ratio[top]
     slot = np.full(1 << BITS, -1, np.int32)
     slot[top] = np.arange(len(top))
-    parts = [block_features(data[off[i] : off[j]], off[i : j + 1] - off[i], slot) for i, j in K.blocks(off)]
+    parts = []
+    for i, j in K.blocks(off):
+        a, b = block_features(data[off[i] : off[j]], off[i : j + 1] - off[i], slot)
+        parts.append((a.astype(np.int32), b))
     f = np.concatenate([a for a, _ in parts])
-    size = np.concatenate([np.diff(b) for _, b in parts])
-    row = np.repeat(np.arange(len(y)), size)
-    value = r[f]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([np.diff(b) for _, b in parts]))
+    del parts, count, spread, strength, ratio, p, q
     w, b = np.ones(len(top)) * 0.1, float(np.log(n1 / n0))
     m, s, mb, sb = np.zeros(len(top)), np.zeros(len(top)), 0.0, 0.0
     for t in range(1, 301):
-        e = (1 / (1 + np.exp(-np.clip(b + np.bincount(row, value * w[f], len(y)), -60, 60))) - y) / len(y)
-        gw, gb = np.bincount(f, value * e[row], len(top)) + L2 * w, float(e.sum())
+        e = (1 / (1 + np.exp(-np.clip(b + np.bincount(row, (r * w)[f], len(y)), -60, 60))) - y) / len(y)
+        gw, gb = r * np.bincount(f, e[row], len(top)) + L2 * w, float(e.sum())
         m, s = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         up, dn = 1 - 0.9**t, 1 - 0.99**t
