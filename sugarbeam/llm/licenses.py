@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
+def _has_any(text: Column, marks: list[str]) -> Column:
+    """Whether the text has one of the words in either case; the text is lowered once and searched for each."""
+    return F.exists(F.array(F.lower(text)), lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in marks)))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """(doc_id, segment, license_id, bigrams, template_bigrams, shared, dice) of each line (segment from 1) and
     each whole text of more than one line (segment 0) that reaches the coefficient against a template.
@@ -79,16 +85,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     marks = anchors(sets, percent)
     text = F.coalesce("text", F.lit(""))
     # The first look is at the raw text, in either case of each anchor; the next one at words.
-    seen = F.col("text").rlike("(?i)" + "|".join(marks))
+    seen = _has_any(F.col("text"), marks)
     lines = F.split(text, "\n")
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("segment"), text.alias("line")))).otherwise(F.array().cast("array<struct<segment: int, line: string>>"))
     each = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("segment"), x.alias("line")))
     low, high = zip(*(size_bounds(len(b), percent) for b in sets.values()), strict=True)
     parts = docs.where(seen).select("doc_id", F.explode(F.concat(whole, each)).alias("s")).select("doc_id", "s.segment", "s.line")
     # A line of w words has at most w - 1 bigrams, and shared ones need min(low) of them.
-    parts = parts.where(F.col("line").rlike("(?i)" + "|".join(marks))).select("doc_id", "segment", _words(F.col("line")).alias("w"))
+    parts = parts.where(_has_any(F.col("line"), marks)).select("doc_id", "segment", _words(F.col("line")).alias("w"))
     parts = parts.where((F.size("w") > min(low)) & F.arrays_overlap("w", F.lit(marks)))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    more = F.greatest(F.size("w") - 1, F.lit(0))  # a filter above may run after this
+    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), more), F.slice("w", F.lit(2), more), lambda a, b: F.concat(a, F.lit(" "), b)))
     parts = parts.select("doc_id", "segment", pairs.alias("b")).where(F.size("b").between(min(low), max(high)))
     table = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(sorted(sets[k])).alias("b")) for k, lo, hi in zip(sets, low, high, strict=True)))
     fits = F.filter(table, lambda t: F.size("b").between(t["low"], t["high"]))
