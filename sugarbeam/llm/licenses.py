@@ -104,3 +104,43 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     parts = parts.select("doc_id", "segment", "m.license_id", "bigrams", F.col("m.n").cast("long").alias("template_bigrams"), F.col("m.shared").cast("long").alias("shared"))
     parts = parts.where(200 * F.col("shared") >= percent * (F.col("bigrams") + F.col("template_bigrams")))
     return parts.withColumn("dice", 2.0 * F.col("shared") / (F.col("bigrams") + F.col("template_bigrams")))
+
+
+def runs(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, start, words, license_id, bigrams, template_bigrams, shared, dice) of runs of consecutive words that
+    reach the coefficient against a template, anywhere in a text: wrapped over lines or inside a line of prose.
+
+    `start` is the run's first word, from 1. Candidates begin and end with a bigram of the template, since other ends
+    only lower the coefficient, and have at most (200 - percent) / percent times its bigrams, repeats counted. Of
+    candidates of one template that share a bigram's place the best stays, then the earliest, then the shortest.
+    A text is judged against a template only if all of it has as many of the template's bigrams as a match needs.
+    """
+    spark: SparkSession = docs.sparkSession
+    words = {k: normal_words(v) for k, v in templates.items()}
+    sets = {k: bigrams(w) for k, w in words.items() if len(w) > 1}
+    if not sets:
+        return spark.createDataFrame([], "doc_id bigint, start int, words int, license_id string, bigrams bigint, template_bigrams bigint, shared bigint, dice double")
+    one = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  what it makes is made once
+    d = docs.where(_has_any(F.col("text"), anchors(sets, percent))).select("doc_id", one(_words(F.col("text")), "w")).where(F.size("w") > 1)
+    more = F.size("w") - 1
+    d = d.select("doc_id", one(F.zip_with(F.slice("w", F.lit(1), F.greatest(more, F.lit(0))), F.slice("w", F.lit(2), F.greatest(more, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), "g"))
+    places = F.filter(F.transform("g", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].isin(sorted(set().union(*sets.values()))))
+    d = d.select("doc_id", "g", one(places, "at")).where(F.size("at") >= min(size_bounds(len(b), percent)[0] for b in sets.values()))
+    d = d.select("doc_id", "g", "at", one(F.array_distinct(F.transform("at", lambda p: p["x"])), "seen"))
+    rows = [(k, sorted(b), len(b), size_bounds(len(b), percent)[0], size_bounds(len(words[k]) - 1, percent)[1]) for k, b in sets.items()]
+    table = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(b).alias("b"), F.lit(n).alias("n"), F.lit(need).alias("need"), F.lit(most).alias("most")) for k, b, n, need, most in rows))
+    d = d.select("doc_id", "g", "at", F.explode(F.filter(table, lambda t: F.size(F.array_intersect("seen", t["b"])) >= t["need"])).alias("t"))
+    d = d.select("doc_id", "g", "at", *(F.col(f"t.{c}").alias(c) for c in ("id", "b", "n", "need", "most")))
+    d = d.select("doc_id", "g", "id", "b", "n", "need", "most", one(F.filter("at", lambda p: F.array_contains("b", p["x"])), "at"))
+    ends = lambda p, j: F.filter(F.slice("at", j + F.col("need"), F.col("most")), lambda q: q["i"] - p["i"] < F.col("most"))
+    pairs = F.flatten(F.transform("at", lambda p, j: F.transform(ends(p, j), lambda q: F.struct(p["i"].alias("a"), q["i"].alias("z")))))
+    d = d.select("doc_id", "g", "id", "b", "n", one(pairs, "c"))
+    run = lambda c: F.slice("g", c["a"] + 1, c["z"] - c["a"] + 1)
+    sized = F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["z"].alias("z"), F.size(F.array_distinct(run(c))).alias("bigrams"), F.size(F.array_intersect(run(c), F.col("b"))).alias("shared")))
+    d = d.select("doc_id", "id", "n", one(sized, "c"))
+    reach = F.filter("c", lambda c: 200 * c["shared"] >= percent * (c["bigrams"] + F.col("n")))
+    keyed = F.transform(reach, lambda c: F.struct((-2.0 * c["shared"] / (c["bigrams"] + F.col("n"))).alias("rank"), c["a"].alias("a"), c["z"].alias("z"), c["bigrams"].alias("bigrams"), c["shared"].alias("shared")))
+    d = d.select("doc_id", "id", "n", one(F.array_sort(keyed), "c"))
+    best = F.aggregate("c", F.array().cast("array<struct<rank: double, a: int, z: int, bigrams: int, shared: int>>"), lambda kept, c: F.when(F.exists(kept, lambda k: (k["a"] <= c["z"]) & (c["a"] <= k["z"])), kept).otherwise(F.concat(kept, F.array(c))))
+    d = d.select("doc_id", "id", "n", F.explode(best).alias("c"))
+    return d.select("doc_id", (F.col("c.a") + 1).alias("start"), (F.col("c.z") - F.col("c.a") + 2).alias("words"), F.col("id").alias("license_id"), F.col("c.bigrams").cast("long").alias("bigrams"), F.col("n").cast("long").alias("template_bigrams"), F.col("c.shared").cast("long").alias("shared"), (-F.col("c.rank")).alias("dice"))

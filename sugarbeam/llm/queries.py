@@ -79,7 +79,11 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice)}
+def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.runs(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice, op10_license_runs)}
 
 _OP9 = """
 WITH v AS (

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +171,44 @@ def test_license_scan_equals_brute_force(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs, {}).count() == 0
 
 
+def runs_by_brute_force(doc, text, percent=80):
+    words, out = licenses.normal_words(text or ""), Counter()
+    g = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for k, v in licenses.TEMPLATES.items():
+        t, most = licenses.bigrams(licenses.normal_words(v)), licenses.size_bounds(len(licenses.normal_words(v)) - 1, percent)[1]
+        found, kept = [], []
+        for a in range(len(g)):
+            run = set()
+            for z in range(a, min(a + most, len(g))):
+                run.add(g[z])
+                if g[a] in t and g[z] in t and 200 * len(run & t) >= percent * (len(run) + len(t)):
+                    found.append((-2 * len(run & t) / (len(run) + len(t)), a, z, len(run), len(run & t)))
+        for x in sorted(found):
+            if all(x[2] < y[1] or y[2] < x[1] for y in kept):
+                kept.append(x)
+        for _, a, z, n, shared in kept:
+            out[doc, a + 1, z - a + 2, k, n, len(t), shared] += 1
+    return out
+
+
+def test_license_runs_equal_brute_force_and_find_wrapped_notices(spark, docs, none):
+    long = ["Apache-2.0/notice", "GPL-3.0/notice", "MIT/text", "ISC/text"]
+    prose = [f"w{i * 7919 % 613}" for i in range(800)]
+    extra = [(200 + i, textwrap.fill(licenses.TEMPLATES[k], 76) + "\n" + " ".join(prose)) for i, k in enumerate(long)]
+    extra += [(300 + i, " ".join(prose[:90]) + "\n" + textwrap.fill(licenses.TEMPLATES[k], 40, break_long_words=False)) for i, k in enumerate(long)]
+    extra += [(400, "Intro words here. Released under the MIT License. More prose follows."), (401, "all rights all rights reserved, all rights reserved"), (402, None), (403, "rights")]
+    extra += [(404, licenses.TEMPLATES["ISC/text"].replace("fitness", "use and more words").replace("hereby", "not") + " " + licenses.TEMPLATES["ISC/text"]), (405, extra[0][1]), (405, extra[0][1])]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    want = sum((runs_by_brute_force(r.doc_id, r.text) for r in d.collect()), Counter())
+    got = licenses.runs(d)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert Counter(tuple(r)[:7] for r in got.collect()) == want
+    whole = {(r.doc_id, r.license_id) for r in got.where("dice = 1").collect()}
+    assert {(base + i, k) for base in (200, 300) for i, k in enumerate(long)} | {(400, "MIT/line")} <= whole
+    assert not [x for x in licenses.scan(d).collect() if x.doc_id in {*range(200, 204), *range(300, 304), 400}]
+    assert licenses.runs(none).count() == 0 and licenses.runs(docs, {}).count() == 0
+
+
 def test_tiff_columns(spark, docs, none):
     files = tiff.store_texts(docs)
     out = tiff.pages(files, "media", [("doc_id", "bigint"), ("n_bytes", "bigint")]).collect()
