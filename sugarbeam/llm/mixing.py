@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,11 +94,15 @@ def _lists(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) after the gradients `steps`, each multiplied by its step length.
+def rates(p: np.ndarray, pull: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Rates of rows with the posteriors p. They follow from a row's posterior and one number for each domain,
+    so they are never stored or shuffled: any task finds them from these numbers."""
+    return np.maximum(least, 1 + p @ pull)
+
 
-    A rate depends on its posterior and on the few numbers of each gradient alone, so rates are never stored
-    or shuffled: any task finds them from the list."""
+def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point of the next gradient) after the gradients `steps`, each multiplied by its step length:
+    the accelerated form with one step length for all domains, kept to compare with."""
     x = at = np.ones(len(p))
     t = 1.0
     for g in steps:
@@ -108,53 +113,93 @@ def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[
     return x, at
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0) -> list[np.ndarray]:
-    """Gradient steps of the projected gradient for: least squares of (expected domain tokens - target tokens) over
-    rates >= least >= 0, from rates of 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
+def sums(p: np.ndarray, tokens: np.ndarray, pulls: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of the pulls, the expected tokens of the domains and, row by row, how they change with the pull."""
+    out = []
+    for pull in pulls:
+        x = rates(p, pull, least)
+        free = p * (tokens * (x > least))[:, None]
+        out.append(np.concatenate([[p.T @ (x * tokens)], free.T @ p]))
+    return np.stack(out)
+
+
+def solve(total: Callable[[list[np.ndarray]], np.ndarray], want: np.ndarray, tolerance: float, rounds: int) -> tuple[np.ndarray, str]:
+    """(pull, complaint): Newton steps for want - total(pull) = held * pull, for ever smaller `held`.
+
+    That is the least square distance from `want`, and held * tokens * (rate - 1)^2 beside it; a step is the inverse of a
+    domain x domain matrix, so small domains move as fast as large ones. Each round tries eight lengths of its step
+    in one call and takes the one where the slope is least. It ends when each domain is within `tolerance`, or when
+    a hundredth of `held` no longer brings the domains nearer (the bound on rates or soft memberships forbid more).
+    """
+    d = len(want)
+    pull = np.zeros(d)
+    now = total([pull])[0]
+    all_tokens = now[0].sum()
+    close, still = np.maximum(want, all_tokens * 1e-6), np.maximum(want, all_tokens * 1e-3)
+    held, before = all_tokens * 1e-4, None
+    for _ in range(rounds):
+        off = now[0] - want
+        if (np.abs(off) <= tolerance * close).all():
+            return pull, ""
+        g = off + held * pull
+        while (np.abs(g) <= 0.1 * tolerance * still).all():
+            if before is not None and (np.abs(off - before) <= 0.1 * tolerance * still).all():
+                return pull, "the bound on rates or soft memberships keep the domains from their targets"
+            before, held = off, held / 100
+            g = off + held * pull
+        step = -np.linalg.solve(now[1:] + held * np.eye(d), g)
+        tried = [pull + step * 0.5**k for k in range(8)]
+        got = total(tried)
+        k = min(range(8), key=lambda k: abs((got[k, 0] - want + held * tried[k]) @ step))
+        pull, now = tried[k], got[k]
+    off = now[0] - want
+    return pull, "" if (np.abs(off) <= tolerance * close).all() else f"no end after {rounds} rounds"
+
+
+def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0) -> np.ndarray:
+    """The numbers that `rates` needs, for: least squares of (expected domain tokens - target tokens) over
+    rates >= least >= 0, nearest to 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
 
     Each round sums rate x tokens x posterior over all rows: partial sums in tasks, a few numbers on the driver.
-    It ends when each domain is within `tolerance` of its target, or after `rounds`.
+    It ends when each domain is within `tolerance` of its target or can come no nearer; a warning tells the shares
+    if a target is not reached.
     """
     names = sorted(targets)
     d = len(names)
 
-    def total(steps: list[np.ndarray], cross: bool) -> np.ndarray:
+    def total(pulls: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros((d, d) if cross else d)
+            s = np.zeros((len(pulls), d + 1, d))
             for batch in batches:
-                p = _lists(batch.column("_p"), d)
-                x = batch.column("_tokens").to_numpy().astype(float)
-                s += (p * x[:, None]).T @ p if cross else p.T @ (replay(p, steps, least)[1] * x)
+                s += sums(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float), pulls, least)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s.ravel())], ["k", "v"])
 
         got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(d * d if cross else d)
+        out = np.zeros(len(pulls) * (d + 1) * d)
         for r in got:
             out[r["k"]] = r["v"]
-        return out.reshape(d, d) if cross else out
+        return out.reshape(len(pulls), d + 1, d)
 
-    have = total([], False)
+    have = total([np.zeros(d)])[0, 0]
     weight = np.array([targets[k] for k in names]) / sum(targets.values())
-    steps: list[np.ndarray] = []
     if not have.sum():
-        return steps
+        return np.zeros(d)
     want = weight * (have / np.where(weight > 0, weight, np.inf)).max()
-    norm = np.linalg.eigvalsh(total([], True)).max()
-    for _ in range(rounds):
-        g = total(steps, False) - want
-        if (np.abs(g) <= tolerance * np.maximum(want, have.sum() * 1e-6)).all():
-            break
-        steps.append(g / norm)
-    return steps
+    pull, complaint = solve(total, want, tolerance, rounds)
+    if complaint:
+        end = total([pull])[0, 0]
+        shares = ", ".join(f"{k} {e / end.sum():.4f} of {w:.4f}" for k, e, w in zip(names, end, weight, strict=True))
+        warnings.warn(f"mixing targets not reached, {complaint}: {shares}", stacklevel=2)
+    return pull
 
 
-def rated(member: DataFrame, steps: list[np.ndarray], d: int, keep: list[tuple[str, str]], least: float = 0.0) -> DataFrame:
+def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str]], least: float = 0.0) -> DataFrame:
     """The columns `keep` and `_rate`, taken from member's `_p`."""
     names = [k for k, _ in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = replay(_lists(batch.column("_p"), d), steps, least)[1]
+            rate = rates(_lists(batch.column("_p"), d), pull, least)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(rate)], [*names, "_rate"])
 
     return member.transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
@@ -176,8 +221,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     model = fit(docs, labelled, list(targets))
     keep = [("doc_id", "bigint")]
     member = stored(memberships(docs, model, keep))
-    steps = fit_rates(member, targets)
-    out = rated(member, steps, len(model.domains), [*keep, ("_tokens", "bigint"), ("_p", "array<double>")])
+    pull = fit_rates(member, targets)
+    out = rated(member, pull, len(model.domains), [*keep, ("_tokens", "bigint"), ("_p", "array<double>")])
     p = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return out.select("doc_id", F.col("_tokens").alias("tokens"), *p, F.col("_rate").alias("rate"), copies().alias("copies"))
 
@@ -186,8 +231,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     """docs with each row repeated as often as its copies say (0: it goes). Rates of 1 at `least` keep every row."""
     docs, named = guarded(docs)
     model = fit(docs, labelled, list(targets))
-    steps = fit_rates(stored(memberships(docs, model, [])), targets, least=least)
+    pull = fit_rates(stored(memberships(docs, model, [])), targets, least=least)
     keep = [(c, t) for c, t in docs.dtypes]
-    out = rated(memberships(docs, model, keep), steps, len(model.domains), keep, least)
+    out = rated(memberships(docs, model, keep), pull, len(model.domains), keep, least)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
     return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

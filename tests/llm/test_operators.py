@@ -3,6 +3,7 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,34 @@ def test_mixing_reaches_targets(spark, none):
     assert mixing.mix(none, none.select("doc_id", F.col("lang").alias("domain"))).count() == 0
 
 
+def test_mixing_reaches_targets_of_rare_domains(spark):
+    words = {"en": ["the", "and", "that", "with"], "de": ["über", "schön", "nicht", "zwölf"]}
+    rows = [(i, " ".join(words[lang][(i + k) % 4] for k in range(40)), lang) for i in range(2002) for lang in ["en" if i % 1001 else "de"]]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = mixing.mix(d, d.select("doc_id", F.col("lang").alias("domain")), {"de": 0.5, "en": 0.5}).toPandas()
+    de, en = (out["rate"] * out["tokens"] * out["p_de"]).sum(), (out["rate"] * out["tokens"] * out["p_en"]).sum()
+    assert abs(de / (de + en) - 0.5) < 0.001 and (out["rate"] >= 0).all()
+
+
+def test_mixing_tells_unreached_targets(spark):
+    member = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.8, 0.2])], "_tokens bigint, _p array<double>")
+    with pytest.warns(UserWarning, match="not reached"):
+        mixing.fit_rates(member, {"a": 0.01, "b": 0.99}, least=1.0)
+
+
+def test_mixing_moves_domains_of_all_sizes_in_few_rounds():
+    rng = np.random.default_rng(4)
+    for shares in ([0.7, 0.15, 0.14, 0.01], [0.8, 0.15, 0.049, 0.001]):
+        p = np.eye(4)[rng.choice(4, 20000, p=shares)] * 0.98 + 0.02 * rng.dirichlet(np.ones(4), 20000)
+        tokens, calls = rng.integers(1, 2000, 20000).astype(float), []
+        target = np.array([0.2, 0.4, 0.2, 0.2])
+        have = p.T @ tokens
+        want = target * (have / target).max()
+        pull, complaint = mixing.solve(lambda pulls: calls.append(1) or mixing.sums(p, tokens, pulls, 0.0), want, 1e-3, 60)
+        assert not complaint and len(calls) < 15
+        assert (np.abs(p.T @ (tokens * mixing.rates(p, pull)) - want) <= 1e-3 * want).all()
+
+
 def test_pipeline_stages_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 
