@@ -84,20 +84,38 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return b, np.where(se > 1e-12, special.t_two_sided(t, float(free)), 1.0)
 
 
+def normal_equations(xx: np.ndarray, xy: np.ndarray, yy: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """least_squares from the sums X'X, X'y and y'y of n rows."""
+    inverse = np.linalg.pinv(xx)
+    b = inverse @ xy
+    scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
+    free = n - np.linalg.matrix_rank(xx / np.outer(scale, scale), tol=1e-10, hermitian=True)
+    if free <= 0:
+        return b, np.ones(len(b))
+    se = np.sqrt(np.maximum(np.diag(inverse) * max(yy - 2 * b @ xy + b @ xx @ b, 0.0) / free, 0))
+    t = np.divide(b, se, out=np.zeros_like(b), where=se > 1e-12)
+    return b, np.where(se > 1e-12, special.t_two_sided(t, float(free)), 1.0)
+
+
 def site_models(df: DataFrame, terms: list[str]) -> DataFrame:
     """(site, term, coefficient, p): abundance by condition, composition counts and their interactions at each site of
-    (site, condition, value, <terms>...)."""
+    (site, condition, value, <terms>...). Rows are summed into normal equations, so a site may have any number of them."""
+
+    c, y = F.col("condition").cast("double"), F.col("value").cast("double")
+    x = {"intercept": F.lit(1.0), "condition": c}
+    for t in terms:
+        x |= {t: F.col(t).cast("double"), f"condition:{t}": c * F.col(t).cast("double")}
+    k, names, cols = len(x), list(x), list(x.values())
+    sums = [F.sum(cols[i] * cols[j]).alias(f"xx{i}_{j}") for i in range(k) for j in range(i, k)]
+    d = df.groupBy("site").agg(*sums, *(F.sum(v * y).alias(f"xy{i}") for i, v in enumerate(cols)), F.sum(y * y).alias("yy"), F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf["condition"].to_numpy(float)
-        cols = {"intercept": np.ones(len(c)), "condition": c}
-        for t in terms:
-            v = pdf[t].to_numpy(float)
-            cols |= {t: v, f"condition:{t}": c * v}
-        b, p = least_squares(np.stack(list(cols.values()), axis=1), pdf["value"].to_numpy(float))
-        return pd.DataFrame({"site": str(pdf["site"].iloc[0]), "term": list(cols), "coefficient": b, "p": p})
-
-    return df.groupBy("site").applyInPandas(run, "site string, term string, coefficient double, p double")
+        r = pdf.iloc[0]
+        xx = np.array([[r[f"xx{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+        b, p = normal_equations(xx, np.array([r[f"xy{i}"] for i in range(k)], float), float(r["yy"]), int(r["n"]))
+        return pd.DataFrame({"site": str(r["site"]), "term": names, "coefficient": b, "p": p})
+
+    return d.groupBy("site").applyInPandas(run, "site string, term string, coefficient double, p double")
 
 
 def ridge_residuals(y: np.ndarray, controls: np.ndarray, alpha: float) -> np.ndarray:

@@ -441,6 +441,6 @@ def network_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def site_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    line = fx.table(spark, sf_dir, "lineitem")
     d = line.select(F.concat(F.lit("p"), F.col("l_suppkey") % 5).alias("site"), (F.col("l_returnflag") == "R").cast("double").alias("condition"), F.ln("l_extendedprice").alias("value"), F.col("l_quantity").alias("H"), F.col("l_linenumber").cast("double").alias("N"))
     return mv.site_models(d, ["H", "N"])

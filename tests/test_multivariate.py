@@ -55,3 +55,18 @@ def test_communities_and_linkage():
     assert len({got[f"a{i}"] for i in range(5)}) == 1 and got["a0"] != got["b0"] and mv.louvain([]) == {}
     at = {"x": 0.0, "y": 1.0, "z": 5.0}
     assert mv.single_linkage(["x", "y", "z"], lambda a, b: abs(at[a] - at[b])) == [("x", "y", 1.0), ("x", "z", 4.0)]
+
+
+def test_site_models_use_all_line_items(spark):
+    from sugarbeam.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
+    got = {(r.site, r.term): r for r in registry.QUERIES["site_models"](spark, sf).collect()}
+    assert len(got) == 30
+    for s in range(5):
+        d = line[line["l_suppkey"] % 5 == s]
+        c, h, n = (d["l_returnflag"] == "R").to_numpy(float), d["l_quantity"].to_numpy(float), d["l_linenumber"].to_numpy(float)
+        b, p = mv.least_squares(np.stack([np.ones(len(d)), c, h, c * h, n, c * n], axis=1), np.log(d["l_extendedprice"].to_numpy(float)))
+        for i, t in enumerate(["intercept", "condition", "H", "condition:H", "N", "condition:N"]):
+            assert abs(got[f"p{s}", t].coefficient - b[i]) < 1e-8 and abs(got[f"p{s}", t].p - p[i]) < 1e-6
