@@ -102,6 +102,15 @@ def two_stage(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] |
     return df.withColumn("_f", factor).withColumn("adjusted", F.greatest(F.least(F.col("adjusted") * F.col("_f"), F.lit(1.0)), F.col(p))).drop("_f")
 
 
+def correct_multiple_testing(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """Add `adjusted` and `significant`: two-stage step-up; if it leaves more than 90 % of the rows below alpha,
+    min(p * n, 1) and Bonferroni's own level, 0.05 / n, instead (as the reference does)."""
+    w = Window.partitionBy()
+    df = two_stage(df, p).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_many", F.avg((F.col("adjusted") < alpha).cast("double")).over(w) > 0.9)
+    df = df.withColumn("adjusted", F.when(F.col("_many"), F.least(F.col(p) * F.col("_n"), F.lit(1.0))).otherwise(F.col("adjusted")))
+    return df.withColumn("significant", F.col("adjusted") < F.when(F.col("_many"), 0.05 / F.col("_n")).otherwise(alpha)).drop("_n", "_many")
+
+
 def true_null_share(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """(by..., pi0): the share of p-values that the correction at alpha / (1 + alpha) does not reject."""
     return benjamini_hochberg(df, p, by).groupBy(*(by or [])).agg(F.avg(F.when(F.col("adjusted") > alpha / (1 + alpha), 1.0).otherwise(0.0)).alias("pi0"))
@@ -124,7 +133,7 @@ def differential(df: DataFrame, paired: bool = False) -> DataFrame:
     else:
         t, dof = _welch()
         out = group_moments(df).select("feature", "mean", (F.col("m1") - F.col("m0")).alias("log2fc"), t.alias("t"), dof.alias("df"), _pooled_effect().alias("effect"))
-    out = two_stage(out.withColumn("p", F.coalesce(F.nanvl(special.t_p(F.col("t"), F.col("df")), F.lit(1.0)), F.lit(1.0))))
+    out = correct_multiple_testing(out.withColumn("p", F.coalesce(F.nanvl(special.t_p(F.col("t"), F.col("df")), F.lit(1.0)), F.lit(1.0))))
     return out.select("feature", "mean", "log2fc", "t", "df", "p", "adjusted", "effect").orderBy("adjusted", "p", "feature")
 
 

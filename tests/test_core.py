@@ -125,6 +125,18 @@ def test_corrections(spark):
     assert all(a >= b for a, b in zip(two, p)) and two[0] == pytest.approx(0.04 * 0.25 * 1.05)
 
 
+def test_correction_turns_to_bonferroni_if_nearly_all_are_significant(spark):
+    ps = [0.001 * (i + 1) for i in range(20)]
+    got = te.correct_multiple_testing(spark.createDataFrame(list(enumerate(ps)), "id int, p double")).orderBy("id").collect()
+    assert [round(r.adjusted, 9) for r in got] == [round(20 * p, 9) for p in ps] and not any(r.significant for r in got)
+    some = spark.createDataFrame(list(enumerate(ps[:18] + [0.5, 0.9])), "id int, p double")
+    few, two = (f(some).orderBy("id").collect() for f in (te.correct_multiple_testing, te.two_stage))
+    assert [r.adjusted for r in few] == [r.adjusted for r in two] and sum(r.significant for r in few) == 18
+    rows = [(f"f{k}", f"s{i}", i % 2, 5.0 * (i % 2) + 0.01 * k * i) for k in range(1, 6) for i in range(8)]
+    out = te.differential(spark.createDataFrame(rows, "feature string, sample string, grp int, value double")).collect()
+    assert len(out) == 5 and all(abs(r.adjusted - min(5 * r.p, 1)) < 1e-12 for r in out)
+
+
 def test_differential_finds_the_changed_feature(spark):
     rng = np.random.default_rng(0)
     rows = [(f"f{i}", f"s{j}", j % 2, float(rng.normal() + (8 if i == 3 and j % 2 else 0))) for i in range(6) for j in range(12)]
