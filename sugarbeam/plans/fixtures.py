@@ -105,3 +105,9 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERTICES = """ve AS (
   SELECT 'n' || p_partkey AS node, CAST(p_size % 2 AS INTEGER) AS virtual, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE p_retailprice END AS abundance
   FROM part WHERE p_partkey < 46)"""
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, abundance): all parts in 50 classes, as many as `edges` has nodes; the money of those that vertices() counts."""
+    part = table(spark, sf_dir, "part").withColumn("x", F.when(F.col("p_size") % 3 == 0, F.lit(0.0)).otherwise(F.col("p_retailprice")))
+    return part.groupBy(F.concat(F.lit("n"), F.col("p_partkey") % 50).alias("node")).agg(money("x").alias("abundance"))

@@ -372,7 +372,7 @@ def network_reaction_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def network_maximum_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = nw.edge_capacity(fx.edges(spark, sf_dir), fx.vertices(spark, sf_dir), "n0")
+    e = nw.edge_capacity(fx.edges(spark, sf_dir), fx.classes(spark, sf_dir), "n0")
     return nw.maximum_flows(e.select(F.lit("all").alias("network"), "src", "dst", "capacity"), "n0", ["n20", "n35"])
 
 
@@ -421,7 +421,7 @@ def multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hotelling_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ab.clr(fx.abundance(spark, sf_dir))
-    return mv.by_set(d.withColumn("set", F.substring("feature", 7, 1)).where("substring(feature, 8, 1) in ('1', '2', '3')"))
+    return mv.by_set(d.withColumn("set", F.substring("feature", 7, 1)))
 
 
 @query()

@@ -70,3 +70,20 @@ def test_site_models_use_all_line_items(spark):
         b, p = mv.least_squares(np.stack([np.ones(len(d)), c, h, c * h, n, c * n], axis=1), np.log(d["l_extendedprice"].to_numpy(float)))
         for i, t in enumerate(["intercept", "condition", "H", "condition:H", "N", "condition:N"]):
             assert abs(got[f"p{s}", t].coefficient - b[i]) < 1e-8 and abs(got[f"p{s}", t].p - p[i]) < 1e-6
+
+
+def test_sets_and_flows_use_all_brands_and_parts(spark, monkeypatch):
+    from sugarbeam.plans import fixtures as fx
+    from sugarbeam.plans import registry
+
+    sf, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(mv, "by_set", lambda d: seen.append(d) or d)
+    registry.QUERIES["hotelling_sets"](spark, sf)
+    assert seen[0].select("feature").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count() == 25
+    monkeypatch.setattr(registry.nw, "maximum_flows", lambda e, *a: e)
+    part = spark.read.parquet(f"{sf}/part.parquet").toPandas()
+    want = {k: round(sum(d.loc[d["p_size"] % 3 != 0, "p_retailprice"]), 2) for k, d in part.groupby(part["p_partkey"] % 50)} | {0: 10.0}
+    edges = registry.QUERIES["network_maximum_flow"](spark, sf).collect()
+    at = lambda n: want.get(int(n[1:]), 0.1)
+    assert edges and all(abs(e.capacity - (at(e.src) + at(e.dst)) / 2) < 0.01 for e in edges)
+    assert fx.classes(spark, sf).count() == 50
