@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel handles at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -69,13 +69,17 @@ _BYTE_CASED = constants(256, 11)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _POW[k] = np.multiply.accumulate(steps)
-    return _POW[0], _POW[1]
+    """Powers 0 to n of the base and of its inverse. Those for a block are kept; those for a longer text are not."""
+    if len(_POW[0]) >= n + 1:
+        return _POW[0], _POW[1]
+    out = []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(max(n, BLOCK_BYTES) + 1, base, _U)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if n <= BLOCK_BYTES:
+        _POW[:] = out
+    return out[0], out[1]
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

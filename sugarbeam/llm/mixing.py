@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import guarded, in_batches, stored
+from sugarbeam.llm.util import guarded, in_batches, stored, trimmed
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 4_000
@@ -87,7 +87,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: list[tuple[str, str]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * d, pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(tokens), lists], [*names, "_tokens", "_p"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "_tokens bigint, _p array<double>"]))
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_tokens bigint, _p array<double>"]))
 
 
 def _lists(column: pa.Array, d: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1
                 s += sums(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float), pulls, least)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s.ravel())], ["k", "v"])
 
-        got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(trimmed(run), "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(len(pulls) * (d + 1) * d)
         for r in got:
             out[r["k"]] = r["v"]
@@ -202,7 +202,7 @@ def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str
             rate = rates(_lists(batch.column("_p"), d), pull, least)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(rate)], [*names, "_rate"])
 
-    return member.transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
+    return member.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
 
 
 def copies() -> Column:

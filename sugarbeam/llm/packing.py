@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sugarbeam.llm import kernels as K
 from sugarbeam.llm import tokens
 from sugarbeam.llm.numbering import numbered
-from sugarbeam.llm.util import in_batches, stored
+from sugarbeam.llm.util import in_batches, stored, trimmed
 
 #: Lengths are rounded up to classes of this many tokens for the linear program only.
 WIDTH = 8
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
                 crc = [zlib.crc32(end, zlib.crc32(raw[4 * x : 4 * y])) if z > y else zlib.crc32(raw[4 * x : 4 * y]) for x, y, z in zip(a.tolist(), stop.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + i)), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches).mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_batches).mapInArrow(trimmed(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def _best_pattern(y: np.ndarray, bins: int) -> tuple[float, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import in_batches, labelled_sample
+from sugarbeam.llm.util import in_batches, labelled_sample, trimmed
 
 #: Most labelled rows that a fit uses, and the size of its ensemble.
 FIT_ROWS = 20_000
@@ -82,7 +82,7 @@ def statistics(docs: DataFrame, keep: list[tuple[str, str]]) -> DataFrame:
                 got = block_statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), *(pa.array(got[:, c]) for c in range(len(STATS)))], [*names, *(f"_q_{s}" for s in STATS)])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), *(f"`_q_{s}` double" for s in STATS)]))
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), *(f"`_q_{s}` double" for s in STATS)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, cut), all of which hold

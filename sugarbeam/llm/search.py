@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sugarbeam.llm.util import in_batches, stored
+from sugarbeam.llm.util import in_batches, stored, trimmed
 
 #: Vectors in a block (one task holds one block and its tree) and in a batch of queries, and points in a leaf.
 BLOCK = 8192
@@ -198,6 +198,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
                     for a in range(0, j - i, QUERY_BATCH):
                         yield search(x_ids[a : a + QUERY_BATCH], x[a : a + QUERY_BATCH])
 
-    found = rows.repartition("block").sortWithinPartitions("block", "side", "id").transform(in_batches).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    found = rows.repartition("block").sortWithinPartitions("block", "side", "id").transform(in_batches).mapInArrow(trimmed(run), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

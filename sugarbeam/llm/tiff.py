@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sugarbeam.llm.util import in_batches
+from sugarbeam.llm.util import in_batches, trimmed
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -315,7 +315,7 @@ def pages(files: DataFrame, column: str, keep: list[tuple[str, str]]) -> DataFra
             if rows:
                 yield send(at, rows)
 
-    return files.select(*dict.fromkeys([*names, column])).transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), PAGE]))
+    return files.select(*dict.fromkeys([*names, column])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), PAGE]))
 
 
 def store_texts(docs: DataFrame, width: int = 64) -> DataFrame:
@@ -337,4 +337,4 @@ def store_texts(docs: DataFrame, width: int = 64) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i0, len(sizes)), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
                     sizes, files, held, i0 = [], [], 0, i + 1
 
-    return docs.select("doc_id", "text").transform(in_batches).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select("doc_id", "text").transform(in_batches).mapInArrow(trimmed(run), "doc_id bigint, n_bytes bigint, media binary")

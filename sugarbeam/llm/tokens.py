@@ -21,8 +21,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 SPECIAL = "<|endoftext|>"
 
 #: Pre-tokens whose ids a worker remembers, and bytes of text it splits at once.
-REMEMBERED = 100_000
-BLOCK_BYTES = 2 << 20
+REMEMBERED = 50_000
+BLOCK_BYTES = 1 << 18
 
 
 @functools.cache

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import in_batches, labelled_sample
+from sugarbeam.llm.util import in_batches, labelled_sample, trimmed
 
 #: Most labelled rows that a fit uses, half of them of each class at most.
 FIT_ROWS = 6_000
@@ -126,8 +126,8 @@ def score(docs: DataFrame, model: NgramModel, keep: list[tuple[str, str]]) -> Da
         slot = model.slots()
         for batch in batches:
             data, off = K.text_buffers(batch.column("text"))
-            for i, j in K.blocks(off, 1 << 19):
+            for i, j in K.blocks(off, 1 << 18):
                 got = model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i], slot)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(got)], [*names, "score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "score double"]))
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "score double"]))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def stored(df: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 #: Bytes of rows that Spark hands to a Python worker at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def in_batches(df: DataFrame) -> DataFrame:
@@ -74,6 +76,20 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives memory that it no longer uses back to the system: Spark keeps workers for later
+    stages, and what their allocators hold would add up from stage to stage."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+
+    return outer
+
+
 def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with columns other than doc_id and text under names that no operator uses, and what gives rows of it their names back."""
     inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
