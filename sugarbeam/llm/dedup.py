@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import guarded, in_batches, stored
+from sugarbeam.llm.util import guarded, in_batches, stored, trimmed
 
 
 @dataclass(frozen=True)
 class MinMax:
-    """Parameters. `percent`: least similarity in hundredths. `chunk`, `pivots`: documents compared at once.
+    """Parameters. `percent`: least similarity in hundredths. `chunk`: documents of a family in a group, of which about
+    `pivots` are in each group of the family; `block`: documents of each side where groups meet. Groups of long
+    documents have fewer: about `shingles` shingles in all, or one longer document.
     `slack`: a pair is compared on full sets if the share of equal signature values is within `slack` of the
     threshold (over five standard errors) or if it shares a band."""
 
@@ -32,8 +34,10 @@ class MinMax:
     permutations: int = 48
     rows: int = 4
     seed: int = 5
-    chunk: int = 128
-    pivots: int = 12
+    chunk: int = 32
+    pivots: int = 8
+    block: int = 128
+    shingles: int = 1 << 20
     slack: float = 0.2
 
 
@@ -77,7 +81,12 @@ def profile(docs: DataFrame, p: MinMax) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(keys[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), pa.array(n), *map(pa.array, f), lists], ["doc_id", "t", "n", "f1", "f2", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(in_batches).mapInArrow(run, "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").transform(in_batches).mapInArrow(trimmed(run), "doc_id bigint, t bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+
+
+def _parts(documents: Column, shingles: Column, size: int, p: MinMax) -> Column:
+    """Parts that so many documents of so many shingles are cut into, `size` documents each or fewer long ones."""
+    return F.ceil(F.greatest(documents / size, shingles / p.shingles))
 
 
 def _tasks(rows: int) -> int:
@@ -184,7 +193,7 @@ def _links(rows: DataFrame, p: MinMax) -> DataFrame:
         if out:
             yield _edges(out)
 
-    return rows.repartition("group").sortWithinPartitions("group", "side", "node").transform(in_batches).mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("group").sortWithinPartitions("group", "side", "node").transform(in_batches).mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -206,8 +215,8 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     total = base.count()
     some = _tasks(4 * total)
     # Numbers of nodes are fixed by the written table.
-    nodes = base.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t", "bands")).alias("m"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "m.doc_id", "m.t", "m.bands"), some)
+    nodes = base.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t", "n", "bands")).alias("m"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "m.doc_id", "m.t", "m.n", "m.bands"), some)
     banded = nodes.select("node", F.explode("bands").alias("key"))
     heads = stored(banded.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head"), some)
     # A node and the heads of its bands, at most one for each band, hang on the smallest of them.
@@ -217,16 +226,15 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     rows = stars.count()
     few = _tasks(rows)
     family = components(stars, rows)  # (node, label)
-    counts = stored(family.groupBy("label").agg(F.count("*").alias("m")), few)
-    member = family.join(counts, "label").select("node", "label", F.ceil(F.col("m") / p.chunk).alias("c"), "m")
-    member = member.join(nodes.select("node", "doc_id", "t"), "node")
-    member = stored(member.withColumn("h", F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 30))), few)
+    member = stored(family.join(nodes.select("node", "doc_id", "t", "n"), "node"), few)
+    counts = stored(member.groupBy("label").agg(_parts(F.count("*"), F.sum("n"), p.chunk, p).alias("c")), few)
+    member = stored(member.join(counts, "label").withColumn("h", F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 30))), few)
     small, large = member.where("c = 1"), member.where("c > 1")
     text = stored(_texts(docs, member))
     what = ["node"]
     # A family of several chunks: each chunk also gets the same few members, through which its parts find each other.
-    # The share of the hash range below makes them about `pivots` for any family.
-    pivot = large.where(F.col("h") * F.col("m") < F.lit(p.pivots << 30))
+    # The share of the hash range below makes them about `pivots` for any family, fewer if its documents are long.
+    pivot = large.where(F.col("h") * F.col("c") < F.lit((p.pivots << 30) // p.chunk))
     groups = small.select(*what, F.xxhash64("label", F.lit(-1)).alias("group")).union(large.select(*what, F.xxhash64("label", F.pmod("h", "c")).alias("group")))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     groups = groups.union(pivot.where(F.pmod("h", "c") >= 0).select(*what, "label", each("c").alias("k"), F.pmod("h", "c").alias("own")).where("k <> own").select(*what, F.xxhash64("label", "k").alias("group")))
@@ -257,10 +265,12 @@ def _stragglers(text: DataFrame, comp: DataFrame, large: DataFrame, few: int, p:
     """Links across the chunks of large families. All members outside a family's largest component are
     compared with every chunk of the family, in blocks; members inside it are linked to each other already."""
     at = stored(large.join(comp.select("node", F.col("label").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), few)
-    sizes = at.groupBy("label", "comp").agg(F.count("*").alias("s"))
-    most = stored(sizes.groupBy("label").agg(F.max_by("comp", F.col("s")).alias("top"), F.sum("s").alias("m"), F.max("s").alias("s")), few)
-    most = most.select("label", "top", F.ceil((F.col("m") - F.col("s")) / p.chunk).alias("sc")).where("sc > 0")
-    both = stored(at.join(most, "label"), few)
+    sizes = at.groupBy("label", "comp").agg(F.count("*").alias("s"), F.sum("n").alias("z"))
+    top = F.max_by(F.struct("comp", "s", "z"), F.struct("s", "comp")).alias("top")
+    most = stored(sizes.groupBy("label").agg(top, F.sum("s").alias("s"), F.sum("z").alias("z")), few)
+    rest = _parts(F.col("s") - F.col("top.s"), F.col("z") - F.col("top.z"), p.block, p)
+    most = most.select("label", "top.comp", rest.alias("sc"), _parts(F.col("s"), F.col("z"), p.block, p).alias("c")).where("sc > 0")
+    both = stored(at.drop("c").join(most.withColumnRenamed("comp", "top"), "label"), few)
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     key = F.xxhash64("label", "i", "j").alias("group")
     what = ["node"]
