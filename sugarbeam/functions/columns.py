@@ -28,6 +28,23 @@ def _mapped(fn, returns: str):
     return F.pandas_udf(run, returns)
 
 
+def largest_common(a: Column, b: Column) -> Column:
+    """The largest connected part of two sequences; null if one of them is none."""
+    from sugarbeam.functions.structure import largest_common as one
+
+    def safe(x, y):
+        try:
+            return one(x, y) if x is not None and y is not None else None
+        except g.NotASequence:
+            return None
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([safe(u, v) for u, v in zip(x, y, strict=True)], dtype=object)
+
+    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(a, b)
+
+
 def tokens(c: Column) -> Column:
     """Residues and linkages in order, without Python."""
     return F.filter(F.split(c, r"[()\[\]{}]+"), lambda x: x != "")
@@ -83,6 +100,17 @@ def motif_count(c: Column, motif: str, termini: list[str] | None = None) -> Colu
     return F.when(have >= need, _mapped(lambda x: g.motif_count(x, motif, termini), "int")(c)).otherwise(F.lit(0))
 
 
+def motif_counts(c: Column, motifs: dict[str, str]) -> Column:
+    """map of the count of each motif; one pass over the distinct sequences for all of them. Motifs with more residues than a sequence are 0."""
+    sizes = {k: m.count("(") + (0 if m.endswith(")") else 1) for k, m in motifs.items()}
+
+    def one(x: str) -> dict[str, int]:
+        have = x.count("(") + 1
+        return {k: g.motif_count(x, m) if sizes[k] <= have else 0 for k, m in motifs.items()}
+
+    return _mapped(one, "map<string,int>")(c)
+
+
 def mass(parts: Column) -> Column:
     """Mass of a composition map, without Python; null for a null or empty map or an unknown part."""
     masses = F.create_map(*[F.lit(v) for kv in g.MASSES.items() for v in kv])
@@ -91,12 +119,9 @@ def mass(parts: Column) -> Column:
 
 
 def sequence_class(c: Column) -> Column:
-    return (
-        F.when(c.endswith(")"), "repeat").when(c.endswith("-ol"), "free").when(c.endswith("1Cer") | c.contains("Ins"), "lipid")
-        .when(c.rlike(r"GlcNAc(\(b1-4\)|\(b1-4\)\[Fuc\(a1-[36]\)\])GlcNAc$"), "N")
-        .when(c.rlike(r"(GalNAc|GalNAcOS|GalNAc[46]S|Man|Fuc|Gal|GlcNAc|GlcNAcOS|GlcNAc6S)$"), "O")
-        .when(c.rlike(r"Gal(OS)?\(b1-4\)(\[[^\]]*\])?Glc$"), "lipid/free").otherwise("")
-    )
+    from sugarbeam.functions import strings
+
+    return strings.sequence_class(c)
 
 
 def occurrences(c: Column, needle: str) -> Column:

@@ -66,17 +66,42 @@ def rare_letters(texts: list[str], monosaccharides: int | None = None, linkages:
     return {t for t, k in n.items() if not is_linkage(t) and k <= most[0]}, {t for t, k in n.items() if is_linkage(t) and k <= most[1]}
 
 
+def swapped(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with each residue or linkage of the column that `names` (token, new) has replaced. Tokens of distinct texts are joined with the names and
+    put together again, so that a vocabulary of any size stays in the cluster. Texts without such a token, and nulls, stay."""
+    parts = F.posexplode(F.regexp_extract_all("_t", F.lit(r"([^()\[\]{}]+|[()\[\]{}])"), 1)).alias("_at", "token")
+    texts = df.select(F.col(column).alias("_t")).where("_t is not null").distinct()
+    each = texts.select("_t", parts).join(names.select("token", "new"), "token", "left")
+    new = each.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new", "token").alias("x")))).alias("_p"))
+    new = new.select("_t", F.array_join(F.transform("_p", lambda p: p["x"]), "").alias("_new"))
+    out = df.join(new, df[column] == new["_t"], "left").withColumn(column, F.coalesce("_new", column))
+    return out.drop("_t", "_new")
+
+
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    """(token, count, link) over all rows."""
+    n = df.select(F.explode(c.tokens(F.col(column))).alias("token")).groupBy("token").count()
+    return n.withColumn("link", F.col("token").rlike(LINKAGE.pattern))
+
+
 def mask_rare(df: DataFrame, column: str, monosaccharides: int, linkages: int) -> DataFrame:
-    """Rare residues become `Monosaccharide`, rare linkages `?1-?` or `?2-?`. Counts are one aggregation over all
-    rows; the rare names are a bounded part of the vocabulary and go to every task."""
-    counts = df.select(F.explode(c.tokens(F.col(column))).alias("t")).groupBy("t").count()
-    link = F.col("t").rlike(LINKAGE.pattern)
-    rare = {r["t"] for r in counts.where((~link & (F.col("count") <= monosaccharides)) | (link & (F.col("count") <= linkages))).collect()}
+    """Residues and linkages of at most so many occurrences over all rows become `Monosaccharide`, and `?1-?` or `?2-?`."""
+    n = _counts(df, column)
+    rare = n.where((~F.col("link") & (F.col("count") <= monosaccharides)) | (F.col("link") & (F.col("count") <= linkages)))
+    open_ = F.when(F.substring("token", 2, 1) == "2", "?2-?").otherwise("?1-?")
+    return swapped(df, column, rare.select("token", F.when(F.col("link"), open_).otherwise("Monosaccharide").alias("new")))
+
+
+def stemified(df: DataFrame, column: str, rarity: int = 1) -> DataFrame:
+    """Residues that occur at most `rarity` times over all rows become their cores."""
+    rare = _counts(df, column).where(~F.col("link") & (F.col("count") <= rarity))
+    return swapped(df, column, rare.select("token", c._mapped(stem, "string")(F.col("token")).alias("new")))
 
-    def swap(x: str) -> str:
-        return re.sub(r"[^()\[\]{}]+", lambda m: m[0] if m[0] not in rare else ("?2-?" if m[0][1:2] == "2" else "?1-?") if is_linkage(m[0]) else "Monosaccharide", x)
 
-    return df.withColumn(column, c._mapped(swap, "string")(F.col(column)))
+def specific(token: str, known: list[str], seed: int = 0) -> str:
+    """One specified form of an open residue or linkage, the same for the same seed; itself if it is specified already."""
+    could = possible_linkages(token, known) if "?" in token or "/" in token else g.CLASSES.get(token, [])
+    return could[int.from_bytes(f"{token}{seed}".encode(), "big") % len(could)] if could else token
 
 
 def protein_codes(x: Column, length: int = 1000) -> Column:

@@ -119,23 +119,72 @@ def normal_p(z: Column) -> Column:
     return _column(normal_two_sided, z)
 
 
+def range_upper(q, k, df):
+    """Chance that the studentized range of k normal values, over an independent deviation of df degrees, exceeds q: the chance of the
+    range for a known deviation, averaged over the deviation's distribution, both by Gauss-Legendre quadrature."""
+    q, k, df = (np.atleast_1d(np.asarray(v, float)) for v in (q, k, df))
+    node, weight = np.polynomial.legendre.leggauss(64)
+    cdf = lambda x: 0.5 * _erfc(-x / math.sqrt(2))
+    z, wz = node * 8, weight * 8
+    dens = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    out = np.empty(len(q))
+    for i, (a, m, f) in enumerate(zip(q, k, df, strict=True)):
+        if not a > 0 or m < 2 or f < 1:
+            out[i] = 1.0
+            continue
+        # The deviation s has f * s^2 ~ chi-square; beyond these bounds it has no weight to speak of.
+        low, high = max(0.0, 1 - 8 / math.sqrt(2 * f)), 1 + 12 / math.sqrt(2 * f)
+        s, ws = (node + 1) / 2 * (high - low) + low, weight * (high - low) / 2
+        log = math.log(2) + (f / 2) * math.log(f / 2) - math.lgamma(f / 2) + (f - 1) * np.log(s) - f * s * s / 2
+        inner = m * (wz * dens * (cdf(z[None]) - cdf(z[None] - a * s[:, None])) ** (m - 1)).sum(axis=1)
+        out[i] = min(max(1 - float((ws * np.exp(log) * inner).sum()), 0.0), 1.0)
+    return out
+
+
+def range_p(q: Column, k: Column, df: Column) -> Column:
+    return _column(range_upper, q, k, df)
+
+
 def jab_prior(n: float, method: str = "robust", upper: float = 10.0) -> float:
-    """Fraction of the data that stands in for a prior: JAB 1/n, min 2/n, robust the larger of 2/n and 1/sqrt(n), balanced beyond `upper`."""
+    """Fraction of the data that stands in for a prior: JAB 1/n, min 2/n, robust the larger of 2/n and 1/sqrt(n), balanced
+    the integral of exp(-n x^2 / 4) over effects from 0 to `upper`, between 2/n and 0.5."""
     if method == "robust":
         return max(2 / n, 1 / math.sqrt(n))
     if method == "min":
         return 2 / n
     if method == "balanced":
-        return max(2 / n, min(0.5, 1 / upper))
+        return max(2 / n, min(0.5, math.sqrt(math.pi / n) * math.erf(upper * math.sqrt(n) / 2)))
     return 1 / n
 
 
-def alpha_n(n: int, bf: float = 3.0, method: str = "robust") -> float:
+def alpha_n(n: int, bf: float = 3.0, method: str = "robust", upper: float = 10.0) -> float:
     """Significance level at which a p-value is worth the Bayes factor `bf` for a sample of n: the chance that a
     chi-square variable of one degree exceeds 2 ln(bf / sqrt(b))."""
-    return math.erfc(math.sqrt(max(0.0, math.log(bf / math.sqrt(jab_prior(n, method))))))
-
-
-def bayes_factor(n: int, z: float, method: str = "robust") -> float:
-    """Approximate Bayes factor of a z-score: exp(z**2 / 2) * sqrt(b)."""
-    return math.exp(z * z / 2) * math.sqrt(jab_prior(n, method))
+    return math.erfc(math.sqrt(max(0.0, math.log(bf / math.sqrt(jab_prior(n, method, upper))))))
+
+
+def two_sided_quantile(p: float, df: float | None = None) -> float:
+    """The statistic whose two-sided p-value is p: Student's with df degrees, normal without."""
+    if not p < 1:
+        return 0.0
+    tail = (lambda x: float(t_two_sided(np.array([x]), np.array([float(df)]))[0])) if df is not None else (lambda x: math.erfc(x / math.sqrt(2)))
+    high = 1.0
+    while tail(high) > p and high < 1e150:
+        high *= 2
+    low = 0.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(mid) > p else (low, mid)
+    return (low + high) / 2
+
+
+def bayes_factor(n: int, p: float, z: bool = False, method: str = "robust", upper: float = 10.0) -> float:
+    """Approximate Bayes factor for an effect of a p-value of a sample of n, from Student's t with n - 2 degrees or, with `z`, from
+    a normal statistic: exp(statistic^2 / 2) * sqrt(b)."""
+    x = two_sided_quantile(p, None if z else n - 2)
+    return math.exp(x * x / 2) * math.sqrt(jab_prior(n, method, upper))
+
+
+def bayes_factors(p: Column, n: int, z: bool = False, method: str = "robust") -> Column:
+    """bayes_factor of each p-value of a column."""
+    return _column(lambda v: np.array([bayes_factor(n, x, z, method) for x in v]), p)

@@ -19,13 +19,13 @@ def by_sample() -> WindowSpec:
 
 
 def complete(df: DataFrame) -> DataFrame:
-    """Every feature in every sample; missing or null values are 0, repeated cells are added. Samples are few, so the list
-    of them rides on each feature, whose cells meet in one aggregation; no join is needed."""
-    samples = df.select("sample", "grp").distinct().agg(F.array_sort(F.collect_list(F.struct("sample", "grp"))).alias("all"))
-    have = df.groupBy("feature").agg(F.collect_list(F.struct("sample", "value")).alias("have"))
-    total = lambda s: F.aggregate(F.filter("have", lambda h: h["sample"] == s), F.lit(0.0), lambda x, h: x + F.coalesce(h["value"], F.lit(0.0)))
-    cells = F.transform("all", lambda s: F.struct(s["sample"].alias("sample"), s["grp"].alias("grp"), total(s["sample"]).alias("value")))
-    return have.crossJoin(F.broadcast(samples)).select("feature", F.explode(cells).alias("c")).select("feature", "c.*")
+    """Every feature in every sample; missing or null values are 0, repeated cells are added. Cells are added up once; the list of samples, which
+    are few, rides on each feature, whose cells are one map, so that no join is needed."""
+    cells = df.groupBy("feature", "sample", "grp").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))
+    samples = cells.select("sample", "grp").distinct().agg(F.array_sort(F.collect_list(F.struct("sample", "grp"))).alias("all"))
+    have = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("sample", "grp"), "value"))).alias("have"))
+    row = F.transform("all", lambda s: F.struct(s["sample"].alias("sample"), s["grp"].alias("grp"), F.coalesce(F.element_at("have", s), F.lit(0.0)).alias("value")))
+    return have.crossJoin(F.broadcast(samples)).select("feature", F.explode(row).alias("c")).select("feature", "c.*")
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -101,13 +101,14 @@ def iqr_capped(df: DataFrame) -> DataFrame:
 
 
 def winsorized(df: DataFrame, least: float = 0.05) -> DataFrame:
-    """The k lowest and k highest values of a feature move to the next ones, k = floor(n * max(least, 1 / n))."""
-    n = F.count("value").over(by_feature())
+    """The k lowest and k highest values of a feature move to the next ones, k = floor(n * max(least, 1 / n)). A feature's two bounds are found
+    once and joined to its cells."""
+    o = df.where("value is not null").groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("o"))
+    n = F.size("o")
     k = F.floor(n * F.greatest(F.lit(least), 1 / n) + 1e-9).cast("int")
-    order = F.sort_array(F.collect_list("value").over(by_feature()))
-    df = df.withColumn("_o", order).withColumn("_k", k).withColumn("_n", n.cast("int"))
-    low, high = F.element_at("_o", F.col("_k") + 1), F.element_at("_o", F.col("_n") - F.col("_k"))
-    return df.withColumn("value", F.when(2 * F.col("_k") < F.col("_n"), F.greatest(F.least("value", high), low)).otherwise(F.col("value"))).drop("_o", "_k", "_n")
+    bounds = o.select("feature", F.when(2 * k < n, F.element_at("o", k + 1)).alias("_low"), F.when(2 * k < n, F.element_at("o", n - k)).alias("_high"))
+    moved = F.greatest(F.least("value", "_high"), "_low")
+    return df.join(bounds, "feature", "left").withColumn("value", F.when(F.col("value").isNotNull() & F.col("_low").isNotNull(), moved).otherwise(F.col("value"))).select(df.columns)
 
 
 def mean_duplicates(df: DataFrame) -> DataFrame:

@@ -30,13 +30,15 @@ def distances(df: DataFrame) -> DataFrame:
 
 
 def permanova_stat(pairs: DataFrame) -> DataFrame:
-    """(f): the pseudo-F whose sums of squares are sums of distances over pairs, halved; each pair counts in both directions."""
-    samples = pairs.select(F.col("a").alias("s"), F.col("ga").alias("g")).union(pairs.select("b", "gb")).distinct()
-    size = samples.groupBy("g").agg(F.count("*").alias("n"))
-    shape = size.agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    s = pairs.agg(F.sum("d").alias("total"), F.sum(F.when(F.col("ga") == F.col("gb"), F.col("d")).otherwise(F.lit(0.0))).alias("within"))
-    out = s.crossJoin(F.broadcast(shape))
-    return out.select(((F.col("total") - F.col("within")) / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
+    """(f): the pseudo-F whose sums of squares are sums of distances over pairs, halved; each pair counts in both directions. Groups and samples
+    follow from the pairs in the same aggregation: n samples make n (n - 1) / 2 pairs."""
+    s = pairs.agg(F.sum("d").alias("total"), F.sum(F.when(F.col("ga") == F.col("gb"), F.col("d")).otherwise(F.lit(0.0))).alias("within"), F.size(F.array_union(F.collect_set("ga"), F.collect_set("gb"))).alias("k"), F.count("*").alias("m"))
+    s = s.withColumn("n", F.round((1 + F.sqrt(1 + 8 * F.col("m"))) / 2))
+    return s.select(F.try_divide((F.col("total") - F.col("within")) / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))).alias("f"))
+
+
+#: Pairs of samples that a permutation test takes: they go to every task as arrays.
+MOST_PAIRS = 5_000_000
 
 
 def anosim_stat(pairs: DataFrame) -> DataFrame:
@@ -48,35 +50,30 @@ def anosim_stat(pairs: DataFrame) -> DataFrame:
 
 
 def permuted(pairs: DataFrame, stat: str, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """(stat, p): the statistic and the share of label permutations that reach it (no correction by one). Permutations are
-    dealt over tasks; the matrix of sample distances is small and goes to each."""
-    rows = pairs.agg(F.collect_list(F.struct("a", "b", "ga", "gb", "d")).alias("rows"))
-    reps = pairs.sparkSession.range(permutations + 1).withColumnRenamed("id", "rep")
+    """(stat, p): the statistic and the share of label permutations that reach it (no correction by one). The distances, at most MOST_PAIRS of them
+    (3,000 samples; more are an error), go to every task as arrays; permutations are dealt over tasks, and each is array arithmetic."""
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of samples")
+    got = pairs.select("a", "b", "ga", "gb", F.col("d").cast("double").alias("d")).toPandas()
+    names, at = np.unique(np.concatenate([got["a"].to_numpy(), got["b"].to_numpy()]), return_inverse=True)
+    i, j = at[: len(got)], at[len(got) :]
+    label = np.zeros(len(names), int)
+    groups = pd.factorize(np.concatenate([got["ga"].to_numpy(), got["gb"].to_numpy()]))[0]
+    label[i], label[j] = groups[: len(got)], groups[len(got) :]
+    d = got["d"].to_numpy()
+    rank = pd.Series(d).rank().to_numpy()
+    k, n = len(set(label.tolist())), len(names)
+
+    def value(g: np.ndarray) -> float:
+        same = g[i] == g[j]
+        if stat == "anosim":
+            return float((rank[~same].mean() - rank[same].mean()) / (len(d) / 2))
+        return float((d[~same].sum() / (k - 1)) / (d[same].sum() / (n - k)))
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for rep, got in zip(pdf["rep"], pdf["rows"], strict=True):
-                got = [r if isinstance(r, dict) else r.asDict() for r in got]
-                label = {}
-                for r in got:
-                    label[r["a"]], label[r["b"]] = r["ga"], r["gb"]
-                names = sorted(label)
-                values = [label[n] for n in names]
-                if rep:
-                    values = [values[i] for i in np.random.default_rng([seed, int(rep)]).permutation(len(values))]
-                g = dict(zip(names, values, strict=True))
-                d = np.array([r["d"] for r in got])
-                same = np.array([g[r["a"]] == g[r["b"]] for r in got])
-                if stat == "anosim":
-                    r_ = pd.Series(d).rank().to_numpy()
-                    v = (r_[~same].mean() - r_[same].mean()) / (len(d) / 2)
-                else:
-                    k, n = len(set(values)), len(values)
-                    v = (d[~same].sum() / (k - 1)) / (d[same].sum() / (n - k))
-                out.append(float(v))
-            yield pd.DataFrame({"rep": pdf["rep"], "v": out})
-
-    all_ = reps.repartition(8, "rep").crossJoin(F.broadcast(rows)).mapInPandas(run, "rep long, v double")
-    real = all_.where("rep = 0").select(F.col("v").alias("stat"))
-    return all_.where("rep > 0").crossJoin(F.broadcast(real)).groupBy("stat").agg(F.avg((F.col("v") >= F.col("stat")).cast("double")).alias("p"))
+            yield pd.DataFrame({"v": [value(label[np.random.default_rng([seed, int(r)]).permutation(n)]) for r in pdf["id"]]})
+
+    real = value(label)
+    some = pairs.sparkSession.range(1, permutations + 1).mapInPandas(run, "v double")
+    return some.agg(F.lit(real).alias("stat"), F.avg((F.col("v") >= real).cast("double")).alias("p"))

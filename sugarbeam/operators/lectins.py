@@ -13,7 +13,7 @@ def match_names(array: DataFrame, library: DataFrame) -> DataFrame:
     """(lectin, name, species): the lectins of an array (lectin) with the first library row (name, abbreviations,
     species) that has the part of their name before `_` among its abbreviations, without regard to case."""
     known = library.select("name", "species", F.explode("abbreviations").alias("a")).groupBy(F.lower("a").alias("key")).agg(F.min(F.struct("name", "species")).alias("m"))
-    return array.select("lectin").distinct().withColumn("key", F.lower(F.substring_index("lectin", "_", 1))).join(F.broadcast(known), "key").select("lectin", "m.name", "m.species")
+    return array.select("lectin").distinct().withColumn("key", F.lower(F.substring_index("lectin", "_", 1))).join(known, "key").select("lectin", "m.name", "m.species")
 
 
 def binding_class(specificity: dict[str, list[str]], motif: str) -> int | None:
@@ -44,16 +44,20 @@ def classes(library: DataFrame, motifs: list[str]) -> DataFrame:
     return library.select("name", "specificity").mapInPandas(run, "name string, motif string, class int, specificity int")
 
 
-def motif_scores(effects: DataFrame, bound: DataFrame, penalty: float = 0.8) -> DataFrame:
-    """(motif, score, lectins): the sum over lectins of effect, class weight and rarity, over the lectin's breadth; more
-    lectins of one name count less each time. effects: (lectin, name, effect); bound: as classes gives it."""
-    from pyspark.sql import Window
+# Weights of the binding classes, and the factor for each lectin of one library entry.
+CLASS_WEIGHTS = {0: 1.0, 1: 0.5, 2: 0.5, 3: 0.25}
+PENALTY = 0.8
 
-    lectins = effects.select("name").distinct().count()
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in {0: 1.0, 1: 0.5, 2: 0.5, 3: 0.25}.items() for x in kv]), F.col("class"))
-    breadth = F.when(F.col("specificity") < 3, 1.0).when(F.col("specificity") <= 4, 0.75).otherwise(0.5)
-    d = effects.join(bound, "name")
-    n = d.groupBy("motif").agg(F.countDistinct("name").alias("n"))
-    d = d.join(n, "motif").withColumn("again", F.row_number().over(Window.partitionBy("motif", "name").orderBy(F.desc(F.abs("effect")), "lectin")) - 1)
-    part = F.col("effect") * weight * F.log(F.lit(float(lectins)) / F.col("n") + 1) * breadth * F.pow(F.lit(penalty), F.col("again"))
-    return d.groupBy("motif").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("lectin")).alias("lectins")).orderBy(F.desc(F.abs("score")), "motif")
+
+def motif_scores(effects: DataFrame, bound: DataFrame) -> DataFrame:
+    """(motif, lectins, change, score): the sum over a motif's lectins of effect x class weight x idf / breadth, where breadth is the number of
+    motifs of the lectin's entry; n lectins of one entry (n > 1) count 0.8^n each. effects: (lectin, name, effect, idf), where idf is the
+    lectin's variance over groups; bound: as classes gives it. score is the size of the sum in hundredths, change its direction."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_WEIGHTS.items() for x in kv]), F.col("class"))
+    same = effects.groupBy("name").agg(F.count("*").alias("_n"))
+    factor = F.when(F.col("_n") > 1, F.pow(F.lit(PENALTY), F.col("_n"))).otherwise(F.lit(1.0))
+    d = effects.join(same, "name").join(bound, "name")
+    part = F.col("effect") * weight * F.col("idf") / F.col("specificity") * factor
+    order = F.transform(F.array_sort(F.collect_list(F.struct("class", "lectin"))), lambda x: x["lectin"])
+    s = d.groupBy("motif").agg(F.sum(part).alias("s"), F.array_join(order, ", ").alias("lectins"))
+    return s.select("motif", "lectins", F.when(F.col("s") < 0, "down").otherwise("up").alias("change"), F.round(F.abs("s"), 2).alias("score"))

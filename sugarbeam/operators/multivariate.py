@@ -60,7 +60,7 @@ def hotelling_paired(diff: np.ndarray, ridge: float = 1e-6) -> tuple[float, floa
     return f, float(special.f_upper(f, p, n - p))
 
 
-def by_set(df: DataFrame, set_column: str = "set", rounds: int = 200) -> DataFrame:
+def by_set(df: DataFrame, set_column: str = "set", rounds: int = 1000) -> DataFrame:
     """(set, distance, variance, f, p) of sets of features of (set, feature, sample, grp, value)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,27 +177,6 @@ def procrustes(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.linalg.svd((a / na).T @ (b / nb), compute_uv=False).sum()) if na and nb else 0.0
 
 
-def reference_scores(df: DataFrame) -> DataFrame:
-    """(feature, correlation, variance, score): how well log ratios against each feature keep the shape that centred
-    log ratios give, over the variance of the feature's own centred values."""
-    rows = df.groupBy(F.lit(1).alias("k")).agg(F.collect_list(F.struct("feature", "sample", "value")).alias("rows"))
-    names = df.select("feature").distinct()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, got in zip(pdf["feature"], pdf["rows"], strict=True):
-                t = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in got])
-                x = np.log2(t.pivot_table(index="sample", columns="feature", values="value").sort_index())
-                c = x.sub(x.mean(axis=1), axis=0)
-                r = x.drop(columns=name).sub(x[name], axis=0)
-                k, v = procrustes(c.drop(columns=name).to_numpy(), r.to_numpy()), float(c[name].var())
-                out.append((name, k, v, k / v if v else 0.0))
-            yield pd.DataFrame(out, columns=["feature", "correlation", "variance", "score"])
-
-    return names.repartition("feature").crossJoin(F.broadcast(rows.select("rows"))).mapInPandas(run, "feature string, correlation double, variance double, score double")
-
-
 def louvain(edges: list[tuple[str, str]], seed: int = 0) -> dict[str, int]:
     """Communities of an undirected graph by moving nodes while modularity grows, then merging."""
     nodes = sorted({x for e in edges for x in e})

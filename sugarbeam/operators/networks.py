@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -57,9 +58,13 @@ def neighbor_estimates(vertices: DataFrame, edges: DataFrame, least: float = 0.0
     return vertices.join(near, "node", "left").select("node", x.alias("abundance"))
 
 
-def levels(edges: DataFrame, root: str, most: int = 50) -> DataFrame:
+#: Rounds after which an iteration counts as one that does not end.
+MOST_ROUNDS = 500
+
+
+def levels(edges: DataFrame, root: str, most: int = MOST_ROUNDS) -> DataFrame:
     """(node, level): steps of the shortest path from the root, a frontier at a time; each frontier is a join and an
-    anti join, and checkpoints in the shared folder keep the plan short."""
+    anti join, and checkpoints in the shared folder keep the plan short. More than `most` levels are an error."""
     spark = edges.sparkSession
     e = checkpointed(edges.select("src", "dst").distinct())
     seen = frontier = spark.createDataFrame([(root, 0)], "node string, level int")
@@ -67,9 +72,39 @@ def levels(edges: DataFrame, root: str, most: int = 50) -> DataFrame:
         nxt = frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         frontier = checkpointed(nxt.withColumn("level", F.lit(k)))
         if not frontier.limit(1).count():
-            break
+            return seen
         seen = checkpointed(seen.union(frontier))
-    return seen
+    raise RuntimeError(f"more than {most} levels")
+
+
+def longest_levels(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """(node, level): steps of the longest path from a node without a way in, which are level 0. A frontier holds what so many steps reach, so the
+    last frontier that holds a node is its level; a cycle has no last one and is an error after `most` rounds."""
+    e = checkpointed(edges.select("src", "dst").distinct())
+    frontier = checkpointed(e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
+    parts = [frontier.withColumn("level", F.lit(0))]
+    for k in range(1, most + 1):
+        frontier = checkpointed(frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct())
+        if not frontier.limit(1).count():
+            return reduce(DataFrame.union, parts).groupBy("node").agg(F.max("level").alias("level"))
+        parts.append(frontier.withColumn("level", F.lit(k)))
+    raise RuntimeError(f"more than {most} levels, or a cycle")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): the first node, by order, that each node of `edges` (src, dst) is connected with. Labels move along edges and on to their
+    label's label; each round is a checkpoint."""
+    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")))
+    for _ in range(MOST_ROUNDS):
+        near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("n"))
+        step = labels.join(near, "node").select("node", F.least("label", "n").alias("label"), F.col("label").alias("old"))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = checkpointed(step.join(up, "label").select("node", F.col("next").alias("label"), "old"))
+        labels = step.select("node", "label")
+        if not step.where("label <> old").limit(1).count():
+            return labels
+    raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
 
 
 def reaction_flow(flows: DataFrame, how: str = "sum") -> DataFrame:
@@ -77,19 +112,10 @@ def reaction_flow(flows: DataFrame, how: str = "sum") -> DataFrame:
     return flows.groupBy("diffs").agg((F.sum if how == "sum" else F.avg)("flow").alias("flow"))
 
 
-def prune(vertices: DataFrame, edges: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Vertices without the virtual ones at or below the threshold whose neighbours all keep another neighbour."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    weak = vertices.where((F.col("virtual") == 1) & (F.col("abundance") <= threshold)).select("node")
-    degree = both.join(weak.withColumnRenamed("node", "dst"), "dst", "left_anti").groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("strong"))
-    stuck = both.join(degree, "dst", "left").groupBy("src").agg(F.min(F.coalesce("strong", F.lit(0))).alias("least")).where("least = 0").select(F.col("src").alias("node"))
-    return vertices.join(weak.join(stuck, "node", "left_anti"), "node", "left_anti")
-
-
 def reaction_enzymes(edges: DataFrame, enzymes: DataFrame) -> DataFrame:
     """Add enzymes: names of the enzymes of the edge's linkage (monolink, glycoenzyme), sorted and joined by `_`; the label where there are none."""
     names = enzymes.groupBy(F.col("monolink").alias("diffs")).agg(F.array_join(F.array_sort(F.collect_set("glycoenzyme")), "_").alias("enzymes"))
-    return edges.join(F.broadcast(names), "diffs", "left").withColumn("enzymes", F.coalesce("enzymes", "diffs"))
+    return edges.join(names, "diffs", "left").withColumn("enzymes", F.coalesce("enzymes", "diffs"))
 
 
 def max_flow(edges: list[tuple[str, str, float]], source: str, sink: str) -> tuple[float, dict[tuple[str, str], float]]:
@@ -137,8 +163,7 @@ def jaccard_distances(members: DataFrame) -> DataFrame:
     m = members.distinct()
     size = m.groupBy("network").agg(F.count("*").alias("n"))
     shared = m.select(F.col("network").alias("a"), "item").join(m.select(F.col("network").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("s"))
-    s = F.broadcast(size)
-    pairs = s.select(F.col("network").alias("a"), F.col("n").alias("na")).join(size.select(F.col("network").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
+    pairs = size.select(F.col("network").alias("a"), F.col("n").alias("na")).join(size.select(F.col("network").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
     out = pairs.join(shared, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
     return out.select("a", "b", (1 - F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("distance"))
 
@@ -161,8 +186,19 @@ def hierarchy_filter(df: DataFrame, rank: str, item: str, min_seq: int) -> DataF
     """(item, rank, code): distinct rows of classes of at least min_seq items, classes numbered from 0 by name."""
     d = df.select(item, rank).distinct().where(F.col(rank).isNotNull())
     d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rank))).where(F.col("_n") >= min_seq).drop("_n")
-    codes = d.select(rank).distinct().withColumn("code", F.row_number().over(Window.orderBy(rank)) - 1)
-    return d.join(F.broadcast(codes), rank)
+    return d.join(numbered_names(d, rank).withColumnRenamed("id", "code"), rank)
+
+
+def numbered_names(df: DataFrame, column: str) -> DataFrame:
+    """(column, id): distinct values numbered from 0 in order. Values are numbered inside ranges that their first two characters make (numbers:
+    as they are written to 12 digits) and the ranges' sizes are added up, so that no task sees all values."""
+    number = dict(df.dtypes)[column] not in ("string", "binary")
+    first = F.lpad((F.floor(F.col(column) / 1000) + 10**9).cast("string"), 12, "0") if number else F.substring(column, 1, 2)
+    t = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_first", first)
+    n = t.groupBy("_first").agg(F.count("*").alias("n"))
+    starts = n.select("_first", F.coalesce(F.sum("n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_first").orderBy(column)) - 1
+    return t.join(starts, "_first").select(column, (F.col("_start") + rank).cast("int").alias("id"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2) -> DataFrame:

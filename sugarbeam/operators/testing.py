@@ -18,13 +18,14 @@ def group_moments(df: DataFrame) -> DataFrame:
 
 
 def _pooled_effect() -> Column:
-    sd = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2))
+    sd = F.sqrt(F.try_divide((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1"), F.col("n0") + F.col("n1") - 2))
     return (F.col("m1") - F.col("m0")) / F.greatest(sd, F.lit(1e-6))
 
 
 def _welch() -> tuple[Column, Column]:
-    s0, s1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    return (F.col("m1") - F.col("m0")) / F.sqrt(s0 + s1), (s0 + s1) * (s0 + s1) / (s0 * s0 / (F.col("n0") - 1) + s1 * s1 / (F.col("n1") - 1))
+    s0, s1 = F.try_divide(F.col("v0"), F.col("n0")), F.try_divide(F.col("v1"), F.col("n1"))
+    # Groups without spread have no statistic, which is null.
+    return F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(s0 + s1)), F.try_divide((s0 + s1) * (s0 + s1), F.try_divide(s0 * s0, F.col("n0") - 1) + F.try_divide(s1 * s1, F.col("n1") - 1))
 
 
 def cohen_d(df: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def paired_differences(df: DataFrame) -> DataFrame:
 
 def cohen_d_paired(df: DataFrame) -> DataFrame:
     d = paired_differences(df).groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
-    effect = F.col("m") / F.col("sd")
+    effect = F.try_divide("m", "sd")
     return d.select("feature", effect.alias("effect"), (1 / F.col("n") + effect * effect / (2 * F.col("n"))).alias("variance"))
 
 
@@ -54,7 +55,7 @@ def welch(df: DataFrame) -> DataFrame:
 
 def paired_t(df: DataFrame) -> DataFrame:
     d = paired_differences(df).groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("difference"), F.stddev_samp("value").alias("sd"))
-    return d.select("feature", "difference", (F.col("difference") / (F.col("sd") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).cast("double").alias("df"))
+    return d.select("feature", "difference", F.try_divide(F.col("difference"), F.col("sd") / F.sqrt("n")).alias("t"), (F.col("n") - 1).cast("double").alias("df"))
 
 
 def equivalence(df: DataFrame, margin: float = 0.2) -> DataFrame:
@@ -63,7 +64,7 @@ def equivalence(df: DataFrame, margin: float = 0.2) -> DataFrame:
     pooled = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / (F.col("n0") + F.col("n1") - 2))
     se = pooled * F.sqrt(1 / F.col("n0") + 1 / F.col("n1"))
     diff = F.col("m1") - F.col("m0")
-    return m.select("feature", ((diff + margin * pooled) / se).alias("t_low"), ((diff - margin * pooled) / se).alias("t_high"), (F.col("n0") + F.col("n1") - 2).cast("double").alias("df"))
+    return m.select("feature", F.try_divide(diff + margin * pooled, se).alias("t_low"), F.try_divide(diff - margin * pooled, se).alias("t_high"), (F.col("n0") + F.col("n1") - 2).cast("double").alias("df"))
 
 
 def levene(df: DataFrame) -> DataFrame:
@@ -78,8 +79,9 @@ def anova(df: DataFrame) -> DataFrame:
     g = df.groupBy("feature", "grp").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     a = g.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("ssb"), F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
     d1, d2 = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")
-    msw = F.col("ssw") / d2
-    return a.select("feature", "ssb", "ssw", d1.alias("d1"), d2.alias("d2"), (F.col("ssb") / d1 / msw).alias("f"), ((F.col("ssb") - d1 * msw) / (F.col("ssb") + F.col("ssw") + msw)).alias("omega2"))
+    msw = F.try_divide(F.col("ssw"), d2)
+    f = F.try_divide(F.try_divide(F.col("ssb"), d1), msw)
+    return a.select("feature", "ssb", "ssw", d1.alias("d1"), d2.alias("d2"), f.alias("f"), F.try_divide(F.col("ssb") - d1 * msw, F.col("ssb") + F.col("ssw") + msw).alias("omega2"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
@@ -119,7 +121,7 @@ def true_null_share(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[s
 def grouped_two_stage(df: DataFrame, by: str, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Add `adjusted` and `significant`: corrections inside groups at levels alpha / max(pi0, 0.3)."""
     shares = true_null_share(df, p, alpha, [by])
-    out = benjamini_hochberg(df, p, [by]).join(F.broadcast(shares), by)
+    out = benjamini_hochberg(df, p, [by]).join(shares, by)
     return out.withColumn("level", F.lit(alpha) / F.greatest("pi0", F.lit(0.3))).withColumn("significant", F.col("adjusted") <= F.col("level"))
 
 
@@ -129,7 +131,7 @@ def differential(df: DataFrame, paired: bool = False) -> DataFrame:
         d = df.groupBy("feature", "pair").agg(*(F.max(F.when(F.col("grp") == g, F.col("value"))).alias(f"x{g}") for g in (0, 1)), F.sum("value").alias("s"), F.count("value").alias("c"))
         diff = F.col("x1") - F.col("x0")
         m = d.groupBy("feature").agg(F.count(diff).alias("n"), F.avg(diff).alias("log2fc"), F.stddev_samp(diff).alias("sd"), (F.sum("s") / F.sum("c")).alias("mean"))
-        out = m.select("feature", "mean", "log2fc", (F.col("log2fc") / (F.col("sd") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).cast("double").alias("df"), (F.col("log2fc") / F.col("sd")).alias("effect"))
+        out = m.select("feature", "mean", "log2fc", F.try_divide(F.col("log2fc"), F.col("sd") / F.sqrt("n")).alias("t"), (F.col("n") - 1).cast("double").alias("df"), F.try_divide("log2fc", "sd").alias("effect"))
     else:
         t, dof = _welch()
         out = group_moments(df).select("feature", "mean", (F.col("m1") - F.col("m0")).alias("log2fc"), t.alias("t"), dof.alias("df"), _pooled_effect().alias("effect"))

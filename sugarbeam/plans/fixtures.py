@@ -97,14 +97,17 @@ EDGES = """ed AS (
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, virtual, abundance)."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 46")
-    return part.select(F.concat(F.lit("n"), "p_partkey").alias("node"), (F.col("p_size") % 2).cast("int").alias("virtual"), F.when(F.col("p_size") % 3 == 0, F.lit(0.0)).otherwise(F.col("p_retailprice")).alias("abundance"))
+    """(node, virtual, abundance): all parts in 50 classes, as many as `edges` has nodes. virtual: an odd number of odd sizes; abundance: the price
+    of all, 0 where the number of large sizes is divisible by 3."""
+    part = table(spark, sf_dir, "part")
+    d = part.groupBy(F.concat(F.lit("n"), F.col("p_partkey") % 50).alias("node")).agg(F.count_if(F.col("p_size") % 2 == 1).alias("odd"), F.count_if(F.col("p_size") > 25).alias("large"), money("p_retailprice").alias("x"))
+    return d.select("node", (F.col("odd") % 2).cast("int").alias("virtual"), F.when(F.col("large") % 3 == 0, F.lit(0.0)).otherwise(F.col("x")).alias("abundance"))
 
 
 VERTICES = """ve AS (
-  SELECT 'n' || p_partkey AS node, CAST(p_size % 2 AS INTEGER) AS virtual, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE p_retailprice END AS abundance
-  FROM part WHERE p_partkey < 46)"""
+  SELECT 'n' || (p_partkey % 50) AS node, CAST(count(*) FILTER (WHERE p_size % 2 = 1) % 2 AS INTEGER) AS virtual,
+    CASE WHEN count(*) FILTER (WHERE p_size > 25) % 3 = 0 THEN 0.0 ELSE CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) END AS abundance
+  FROM part GROUP BY ALL)"""
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,11 +212,11 @@ def volcano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(te.volcano(d, 0.05, 1.0).select("id", "neg_log10", "category"))
 
 
-STUDIES = f"{fx.P_VALUES}, st AS (SELECT effect, p + 0.1 AS variance FROM pv WHERE id < 40), sm AS (SELECT sum(1 / variance) AS sw, sum(1 / variance / variance) AS sw2, sum(effect / variance) AS swe, sum(effect * effect / variance) AS swee, count(*) AS k FROM st)"
+STUDIES = f"{fx.P_VALUES}, st AS (SELECT effect, p + 0.1 AS variance FROM pv), sm AS (SELECT sum(1 / variance) AS sw, sum(1 / variance / variance) AS sw2, sum(effect / variance) AS swe, sum(effect * effect / variance) AS swee, count(*) AS k FROM st)"
 
 
 def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.p_values(spark, sf_dir).where("id < 40").select("effect", (F.col("p") + 0.1).alias("variance"))
+    return fx.p_values(spark, sf_dir).select("effect", (F.col("p") + 0.1).alias("variance"))
 
 
 @query(f"WITH {STUDIES} SELECT round(swe / sw, 6) AS effect, round(1 / sw, 6) AS variance, round(swe / sw * sqrt(sw), 6) AS z, 0.0::DOUBLE AS tau2 FROM sm")
@@ -274,7 +274,7 @@ def anosim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permanova_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dv.permuted(dv.distances(ab.clr(fx.abundance(spark, sf_dir))), "permanova", 199)
+    return dv.permuted(dv.distances(ab.clr(fx.abundance(spark, sf_dir))), "permanova")
 
 
 @query(f"WITH {fx.MONTHLY} SELECT feature, CAST(regr_count(value, time) AS BIGINT) AS n, round(regr_slope(value, time), 4) AS slope, round(regr_intercept(value, time), 4) AS intercept, round(regr_r2(value, time), 6) AS r2 FROM mo GROUP BY feature")
@@ -376,12 +376,12 @@ def network_maximum_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.maximum_flows(e.select(F.lit("all").alias("network"), "src", "dst", "capacity"), "n0", ["n20", "n35"])
 
 
-@query("""WITH m AS (SELECT DISTINCT 'c' || (o_custkey % 12) AS network, 'i' || (o_orderkey % 97) AS item FROM orders WHERE o_orderkey % 5 = 0), s AS (SELECT network, count(*) AS n FROM m GROUP BY network),
+@query("""WITH m AS (SELECT DISTINCT 'c' || (o_custkey % 12) AS network, 'i' || (o_orderkey % 9973) AS item FROM orders), s AS (SELECT network, count(*) AS n FROM m GROUP BY network),
 x AS (SELECT a.network AS a, b.network AS b, count(*) AS s FROM m a JOIN m b ON a.item = b.item AND a.network < b.network GROUP BY ALL)
 SELECT a.network AS a, b.network AS b, round(1 - coalesce(s, 0) / (a.n + b.n - coalesce(s, 0))::DOUBLE, 6) AS distance FROM s a JOIN s b ON a.network < b.network LEFT JOIN x ON x.a = a.network AND x.b = b.network""")
 def jaccard_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fx.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
-    return rounded(nw.jaccard_distances(o.select(F.concat(F.lit("c"), F.col("o_custkey") % 12).alias("network"), F.concat(F.lit("i"), F.col("o_orderkey") % 97).alias("item"))))
+    o = fx.table(spark, sf_dir, "orders")
+    return rounded(nw.jaccard_distances(o.select(F.concat(F.lit("c"), F.col("o_custkey") % 12).alias("network"), F.concat(F.lit("i"), F.col("o_orderkey") % 9973).alias("item"))))
 
 
 @query("""WITH m AS (SELECT label, k, median(x) AS x FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY ALL)
@@ -426,12 +426,7 @@ def hotelling_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def monte_carlo_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mv.monte_carlo(fx.sparse(spark, sf_dir), 16)
-
-
-@query()
-def alr_reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mv.reference_scores(fx.abundance(spark, sf_dir))
+    return mv.monte_carlo(fx.sparse(spark, sf_dir))
 
 
 @query()

@@ -35,10 +35,9 @@ def glycan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VALUES}, {WORDS}, t AS (SELECT DISTINCT unnest(tokens) AS token FROM tk) SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id FROM t")
 def glycan_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from sugarbeam.operators import annotation
 
-    t = sequences(spark).select(F.explode(c.tokens(F.col("glycan"))).alias("token")).distinct()
-    return t.withColumn("id", F.row_number().over(Window.orderBy("token")) - 1)
+    return annotation.vocabulary(sequences(spark))
 
 
 @query(f"WITH {VALUES} SELECT glycan, CAST(length(glycan) - length(replace(glycan, '(', '')) + 1 AS INTEGER) AS size, CAST(length(glycan) - length(replace(glycan, '[', '')) AS INTEGER) AS branches FROM gl")
@@ -121,15 +120,16 @@ MOTIFS = {"LacNAc": "Gal(b1-4)GlcNAc", "core1": "Gal(b1-3)GalNAc", "sialyl": "Si
 
 @query()
 def glycan_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark).select("glycan", *(c.motif_count(F.col("glycan"), m).alias(k) for k, m in MOTIFS.items()))
+    d = sequences(spark).select("glycan", c.motif_counts(F.col("glycan"), MOTIFS).alias("n"))
+    return d.select("glycan", *(F.element_at("n", k).alias(k) for k in MOTIFS))
 
 
 @query()
 def glycan_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from each free sequence's precursors, a frontier at a time, down to single residues."""
+    """Edges from each sequence's precursors, a frontier at a time, down to single residues."""
     from sugarbeam.sources.store import checkpointed
 
-    frontier = sequences(spark).where(F.col("glycan").endswith("-ol")).select(c.canonical(F.col("glycan")).alias("dst"))
+    frontier = sequences(spark).select(c.canonical(F.col("glycan")).alias("dst"))
     seen, found = frontier, None
     for _ in range(20):
         step = checkpointed(frontier.select("dst", F.explode(c.precursors(F.col("dst"))).alias("e")).select("e.src", "dst", "e.diffs"))
@@ -176,10 +176,14 @@ def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) AS n FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view') GROUP BY 1")
+@query("""WITH c AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS k FROM events GROUP BY ALL), s AS (SELECT *, sum(k) OVER (PARTITION BY start) AS n FROM c)
+SELECT start, CAST(max(n) AS BIGINT) AS n, round(-sum(k / n * ln(k / n)), 9) AS shannon FROM s GROUP BY start""")
 def windowed_shannon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = events.windowed_shannon(fx.table(spark, sf_dir, "events"), ["click", "error", "purchase", "view"]).where("n > 0")
-    return d.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+    """Over all event types that the table has."""
+    e = fx.table(spark, sf_dir, "events")
+    types = [r["event_type"] for r in e.select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]
+    d = events.windowed_shannon(e, types).where("n > 0")
+    return d.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("shannon", 9).alias("shannon"))
 
 
 @query(f"""WITH {VALUES}, {WORDS}, t AS (SELECT glycan, unnest(tokens) AS token FROM tk), n AS (SELECT token, count(*) AS n FROM t GROUP BY token)

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session uses the machine's own
+    temporary folder, and a cluster the warehouse, which it shares."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        where = f"{tempfile.gettempdir()}/sugarbeam-shared" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return where.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or in a folder of our own where it is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/sugarbeam-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -27,7 +27,7 @@ def test_distribution_functions():
     assert 0 < special.alpha_n(1000) < special.alpha_n(20) < 1
 
 
-@pytest.mark.parametrize("text,kind", [("Glc-ol", "free"), ("Glc1Cer", "lipid"), ("Gal(b1-4)Glc", "lipid/free"), ("UnknownGlycan", ""), ("Man(b1-4)GlcNAc(b1-4)GlcNAc", "N"), ("Gal(b1-3)GalNAc", "O"), ("Gal(b1-4)", "repeat")])
+@pytest.mark.parametrize("text,kind", [("Glc-ol", "free"), ("Glc1Cer", "lipid"), ("Gal(b1-4)Glc", "lipid/free"), ("UnknownGlycan", ""), ("Man(b1-4)GlcNAc(b1-4)GlcNAc", "N"), ("Gal(b1-3)GalNAc", "O"), ("[Gal(b1-4)]Glc(b1-3)Gal", "repeat"), ("Gal(b1-4)", "")])
 def test_classes(spark, text, kind):
     assert g.sequence_class(text) == kind
     assert spark.createDataFrame([(text,)], "x string").select(c.sequence_class(F.col("x"))).first()[0] == kind

@@ -31,10 +31,11 @@ def test_masking_and_codes(spark):
 
 def test_lectins(spark):
     lib = spark.createDataFrame([("ConA", ["ConA"], "plant", {"primary": ["Man(a1-?)Man"], "secondary": ["Glc"], "negative": []}), ("SNA", ["SNA", "SNA-I"], "plant", {"primary": ["Neu5Ac(a2-6)Gal"], "secondary": [], "negative": ["Neu5Ac(a2-3)Gal"]})], "name string, abbreviations array<string>, species string, specificity map<string,array<string>>")
-    array = spark.createDataFrame([("cona_1", 2.0), ("ConA_2", 1.0), ("sna", -1.0), ("what", 5.0)], "lectin string, effect double")
+    array = spark.createDataFrame([("cona_1", 2.0, 0.5), ("ConA_2", 1.0, 0.5), ("sna", -1.0, 0.5), ("what", 5.0, 0.5)], "lectin string, effect double, idf double")
     names = lectins.match_names(array, lib)
     assert {(r.lectin, r["name"]) for r in names.collect()} == {("cona_1", "ConA"), ("ConA_2", "ConA"), ("sna", "SNA")}
     bound = lectins.classes(lib, ["Man(a1-3)Man(b1-4)GlcNAc", "Neu5Ac(a2-6)Gal(b1-4)GlcNAc", "Neu5Ac(a2-3)Gal"])
     assert {(r["name"], r["class"]) for r in bound.collect()} == {("ConA", 0), ("SNA", 0)}
-    scores = {r.motif: r.score for r in lectins.motif_scores(array.join(names, "lectin"), bound).collect()}
-    assert scores["Man(a1-3)Man(b1-4)GlcNAc"] > 0 > scores["Neu5Ac(a2-6)Gal(b1-4)GlcNAc"]
+    scores = {r.motif: (r.change, r.score) for r in lectins.motif_scores(array.join(names, "lectin"), bound).collect()}
+    # (2 + 1) * 0.5 / 2 motifs, twice 0.8 for two lectins of one entry; -1 * 0.5 / 1
+    assert scores == {"Man(a1-3)Man(b1-4)GlcNAc": ("up", 0.48), "Neu5Ac(a2-6)Gal(b1-4)GlcNAc": ("down", 0.5)}
