@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,8 +15,9 @@ class Template:
     """How turns are written. A turn is `head`, its role's label, `colon`, the escaped text and `end`.
 
     `moves` are the state machine's transitions "state>role" and `final` its accepting states. `loss_roles`
-    name the roles whose texts are trained on. `escapes` are applied in order and undone in reverse: the
-    backslash comes first, so that each backslash in an escaped text begins one of the codes.
+    name the roles whose texts are trained on. Control strings inside texts are escaped by codes, in order, and unescaped in
+    reverse: the backslash comes first, so that each backslash in an escaped text begins one of the codes. What is escaped follows
+    from `head`, `colon` and `end`, without the blanks around them; no mark may hold a backslash.
     """
 
     labels: dict[str, str] = field(default_factory=lambda: {"system": "System", "user": "User", "assistant": "Assistant"})
@@ -25,7 +27,18 @@ class Template:
     loss_roles: tuple[str, ...] = ("assistant",)
     moves: dict[str, str] = field(default_factory=lambda: {"start>system": "system", "start>user": "user", "system>user": "user", "user>assistant": "assistant", "assistant>user": "user"})
     final: tuple[str, ...] = ("assistant",)
-    escapes: tuple[tuple[str, str], ...] = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), (": ", "\\c"))
+
+    def __post_init__(self) -> None:
+        marks = [self.head.strip(), self.end.strip(), self.colon]
+        if not all(marks) or any("\\" in m for m in marks) or marks[0] == marks[1]:
+            raise ValueError("head, colon and end have to be different, not blank and without backslashes")
+        if any(m in code for m in marks for _, code in self.escapes):
+            raise ValueError("head, colon and end may not be letters of the codes")
+
+    @property
+    def escapes(self) -> tuple[tuple[str, str], ...]:
+        """(string, code) of the backslash, the head, the end and, for roles only, the colon. A part of the head that repeats is enough."""
+        return (("\\", "\\b"), (self.head.strip(), "\\h"), (self.end.strip(), "\\t"), (self.colon, "\\c"))
 
     def text(self, c: Column) -> Column:
         return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), self.escapes[:3], c)
@@ -65,7 +78,7 @@ def format_chats(turns: DataFrame, t: Template = Template()) -> DataFrame:
 
 def read_back(formatted: Column, t: Template = Template()) -> Column:
     """array<struct<role, text>> of the turns in a formatted conversation."""
-    parts = F.split(formatted, t.end)  # `end` has no character that is special in a pattern
+    parts = F.split(formatted, re.escape(t.end))
     parts = F.slice(parts, 1, F.size(parts) - 1)
 
     def one(p: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import guarded, in_batches, stored, trimmed
+from sugarbeam.llm.util import guarded, in_batches, one_text_each, stored, trimmed
 
 #: Most labelled rows that the classifier is fitted on.
 FIT_ROWS = 4_000
@@ -48,12 +48,12 @@ def byte_pairs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = FIT_ROWS) -> DomainModel:
-    """Fit on at most `rows` rows of the table `labelled` (doc_id, domain), those with the smallest id hash.
+    """Fit on at most `rows` documents (and FIT_BYTES of text) of the table `labelled` (doc_id, domain), those with the smallest id hash.
     Rows of null or other domains do not count; a domain without rows keeps a flat distribution."""
     names = sorted(domains)
     ids = labelled.where(F.col("domain").isin(*names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(rows)
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "domain").toArrow().combine_chunks().sort_by("doc_id")
+    ids = ids.withColumn("h", F.xxhash64("doc_id", F.lit(9))).orderBy("h", "doc_id").limit(rows)
+    got = one_text_each(docs, ids, ["domain"]).toArrow().combine_chunks().sort_by("doc_id")
     data, off = K.text_buffers(got["text"])
     y = np.array([names.index(d) for d in got["domain"].to_pylist()], int)
     count, seen = np.ones((len(names), 1 << 16)), np.ones(len(names))
@@ -94,10 +94,10 @@ def _lists(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def rates(p: np.ndarray, pull: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """Rates of rows with the posteriors p. They follow from a row's posterior and one number for each domain,
+def rates(p: np.ndarray, pull: np.ndarray, least: float = 0.0, most: float = np.inf) -> np.ndarray:
+    """Rates of rows with the posteriors p, between `least` and `most`. They follow from a row's posterior and one number for each domain,
     so they are never stored or shuffled: any task finds them from these numbers."""
-    return np.maximum(least, 1 + p @ pull)
+    return np.clip(1 + p @ pull, least, most)
 
 
 def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +113,12 @@ def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[
     return x, at
 
 
-def sums(p: np.ndarray, tokens: np.ndarray, pulls: list[np.ndarray], least: float) -> np.ndarray:
+def sums(p: np.ndarray, tokens: np.ndarray, pulls: list[np.ndarray], least: float, most: float = np.inf) -> np.ndarray:
     """For each of the pulls, the expected tokens of the domains and, row by row, how they change with the pull."""
     out = []
     for pull in pulls:
-        x = rates(p, pull, least)
-        free = p * (tokens * (x > least))[:, None]
+        x = rates(p, pull, least, most)
+        free = p * (tokens * ((x > least) & (x < most)))[:, None]
         out.append(np.concatenate([[p.T @ (x * tokens)], free.T @ p]))
     return np.stack(out)
 
@@ -156,13 +156,13 @@ def solve(total: Callable[[list[np.ndarray]], np.ndarray], want: np.ndarray, tol
     return pull, "" if (np.abs(off) <= tolerance * close).all() else f"no end after {rounds} rounds"
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0) -> np.ndarray:
+def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0, most: float = np.inf, strict: bool = False) -> np.ndarray:
     """The numbers that `rates` needs, for: least squares of (expected domain tokens - target tokens) over
-    rates >= least >= 0, nearest to 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
+    most >= rates >= least >= 0, nearest to 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
 
     Each round sums rate x tokens x posterior over all rows: partial sums in tasks, a few numbers on the driver.
     It ends when each domain is within `tolerance` of its target or can come no nearer; a warning tells the shares
-    if a target is not reached.
+    if a target is not reached, and `strict` makes that an error.
     """
     names = sorted(targets)
     d = len(names)
@@ -171,7 +171,7 @@ def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.zeros((len(pulls), d + 1, d))
             for batch in batches:
-                s += sums(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float), pulls, least)
+                s += sums(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float), pulls, least, most)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s.ravel())], ["k", "v"])
 
         got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(trimmed(run), "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
@@ -189,17 +189,19 @@ def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1
     if complaint:
         end = total([pull])[0, 0]
         shares = ", ".join(f"{k} {e / end.sum():.4f} of {w:.4f}" for k, e, w in zip(names, end, weight, strict=True))
+        if strict:
+            raise ValueError(f"mixing targets not reached, {complaint}: {shares}")
         warnings.warn(f"mixing targets not reached, {complaint}: {shares}", stacklevel=2)
     return pull
 
 
-def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str]], least: float = 0.0) -> DataFrame:
+def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
     """The columns `keep` and `_rate`, taken from member's `_p`."""
     names = [k for k, _ in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = rates(_lists(batch.column("_p"), d), pull, least)
+            rate = rates(_lists(batch.column("_p"), d), pull, least, most)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(rate)], [*names, "_rate"])
 
     return member.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
@@ -227,12 +229,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     return out.select("doc_id", F.col("_tokens").alias("tokens"), *p, F.col("_rate").alias("rate"), copies().alias("copies"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> DataFrame:
-    """docs with each row repeated as often as its copies say (0: it goes). Rates of 1 at `least` keep every row."""
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, most: float = np.inf, strict: bool = False) -> DataFrame:
+    """docs with each row repeated as often as its copies say (0: it goes). Rates of 1 at `least` keep every row; `most` bounds how often a row
+    can be repeated, where a rare domain would have to stand for many rows. Nulls, empty texts and repeated rows are as in `mix`."""
     docs, named = guarded(docs)
     model = fit(docs, labelled, list(targets))
-    pull = fit_rates(stored(memberships(docs, model, [])), targets, least=least)
+    pull = fit_rates(stored(memberships(docs, model, [])), targets, least=least, most=most, strict=strict)
     keep = [(c, t) for c, t in docs.dtypes]
-    out = rated(memberships(docs, model, keep), pull, len(model.domains), keep, least)
+    out = rated(memberships(docs, model, keep), pull, len(model.domains), keep, least, most)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
     return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

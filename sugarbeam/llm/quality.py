@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import in_batches, labelled_sample, trimmed
+from sugarbeam.llm.util import in_batches, kept, labelled_sample, trimmed
 
 #: Most labelled rows that a fit uses, and the size of its ensemble.
 FIT_ROWS = 20_000
@@ -71,18 +71,21 @@ def block_statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, keep: list[tuple[str, str]]) -> DataFrame:
-    """The columns `keep` (name, type) of docs and a double column _q_<name> for each of STATS."""
-    names = [k for k, _ in keep]
+    """The columns `keep` (name, type) of docs under the names _c0, _c1 and so on, and a double column _q_<name> for each of STATS. Statistics are
+    of bytes; a null text counts as empty, repeated rows repeat, an empty table gives none."""
+    inner = kept(keep)
+    names = [k for k, _ in inner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            data, off = K.text_buffers(batch.column("text"))
+            data, off = K.text_buffers(batch.column("_text"))
             for i, j in K.blocks(off):
                 got = block_statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), *(pa.array(got[:, c]) for c in range(len(STATS)))], [*names, *(f"_q_{s}" for s in STATS)])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), *(f"`_q_{s}` double" for s in STATS)]))
+    rows = docs.select(*(F.col(f"`{k}`").alias(n) for (k, _), n in zip(keep, names, strict=True)), F.col("text").alias("_text"))
+    return rows.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in inner), *(f"`_q_{s}` double" for s in STATS)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, cut), all of which hold
@@ -180,8 +183,8 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, l1: float, rounds: int = 400) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> RuleModel:
     """Fit on at most `rows` labelled documents. Without both classes the score is the share of label 1 (0.5 without labels)."""
-    sample = statistics(labelled_sample(docs, labels, label, rows), [("doc_id", "bigint"), ("y", "int")]).toPandas().sort_values("doc_id")
-    x, y = sample[[f"_q_{s}" for s in STATS]].to_numpy(float), sample["y"].to_numpy(float)
+    sample = statistics(labelled_sample(docs, labels, label, rows), [("doc_id", "bigint"), ("y", "int")]).toPandas().sort_values("_c0")
+    x, y = sample[[f"_q_{s}" for s in STATS]].to_numpy(float), sample["_c1"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
         return RuleModel(float(np.log(p / (1 - p))), ())
@@ -192,6 +195,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def score(docs: DataFrame, model: RuleModel, keep: list[tuple[str, str]]) -> DataFrame:
-    """The columns `keep` of docs and `score`, the chance of label 1. Only the text matters; a null counts as
-    empty, an empty text has a score like any other, repeated rows repeat."""
-    return statistics(docs, keep).select(*(k for k, _ in keep), model.column().alias("score"))
+    """The columns `keep` of docs and `score`, the chance of label 1; a column of docs of that name comes first. Only the text matters; a null
+    counts as empty, an empty text has a score like any other, repeated rows repeat."""
+    return statistics(docs, keep).select(*(k for k, _ in kept(keep)), model.column().alias("_score")).toDF(*(k for k, _ in keep), "score")

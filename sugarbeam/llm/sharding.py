@@ -78,5 +78,5 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     alone = docs.sparkSession.createDataFrame([(r["g"], s) for r, s in zip(large, at, strict=False)], "g bigint, alone int")
     placed = base.join(F.broadcast(alone), "g", "left")
     placed = placed.withColumn("shard", F.coalesce("alone", F.element_at(F.lit(of_lump), lump + 1)).cast("int"))
-    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", salted=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,29 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sugarbeam.llm import kernels as K
-from sugarbeam.llm.util import in_batches, labelled_sample, trimmed
+from sugarbeam.llm.util import in_batches, kept, labelled_sample, trimmed
 
 #: Most labelled rows that a fit uses, half of them of each class at most.
 FIT_ROWS = 6_000
-#: Lengths of n-grams in bytes of lower-cased text, bits of their hash, and features that the classifier keeps.
+#: Lengths of n-grams in characters of lower-cased text, bits of their hash, and features that the classifier keeps.
 SIZES, BITS, FEATURES = (4, 5, 6), 20, 8192
 L2 = 1e-4
 
 
+@functools.cache
+def _lower() -> np.ndarray:
+    """The lower-case form of each code point that has one of a single code point; other code points stay."""
+    return np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
+
+
 def block_features(data: np.ndarray, off: np.ndarray, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, first): the distinct hashed n-grams of each text, sorted. With `slot`, those it maps to 0 or more, mapped."""
-    n = len(data)
-    low = K.LOWER[data].astype(np.uint64)
+    """(features, first): the distinct hashed character n-grams of each text of a block (UTF-8), sorted. With `slot`, those it maps to 0 or more, mapped."""
+    low = _lower()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)].astype(np.uint64)
+    off = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), off)  # from bytes to characters
+    n = len(low)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    left = off[1:][row] - np.arange(n)  # bytes from here to the text's end
+    left = off[1:][row] - np.arange(n)  # characters from here to the text's end
     found, rows = [], []
     for k in SIZES:
         if n < k:
             continue
         g = low[: n - k + 1].copy()
         for j in range(1, k):
-            g |= low[j : n - k + 1 + j] << np.uint64(8 * j)
-        h = ((g * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)
+            g = g * np.uint64(0x9E3779B97F4A7C15) + low[j : n - k + 1 + j]
+        h = (g ^ np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)
         f = h.astype(np.int32)
         ok = left[: n - k + 1] >= k
         if slot is not None:
@@ -112,22 +120,27 @@ def fit_texts(data: np.ndarray, off: np.ndarray, y: np.ndarray) -> NgramModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> NgramModel:
+    """Fit on at most `rows` labelled documents and FIT_BYTES of their text; see labelled_sample for nulls and repeated rows. Without rows of both
+    classes, or from empty tables, the score is the share of label 1, 0.5 without labels."""
     sample = labelled_sample(docs, labels, label, rows).toArrow().combine_chunks().sort_by("doc_id")
     return fit_texts(*K.text_buffers(sample["text"]), sample["y"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: NgramModel, keep: list[tuple[str, str]]) -> DataFrame:
-    """The columns `keep` (name, type) of docs and `score`, the chance of label 1. Only the text matters; a null
-    counts as empty, an empty text gets the bias alone, repeated rows repeat."""
-    names = [k for k, _ in keep]
+    """The columns `keep` (name, type) of docs and `score`, the chance of label 1; a column of docs of that name comes first. Only the text
+    matters; a null counts as empty, an empty text gets the bias alone, repeated rows repeat, an empty table gives none."""
+    inner = kept(keep)
+    names = [k for k, _ in inner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         slot = model.slots()
         for batch in batches:
-            data, off = K.text_buffers(batch.column("text"))
+            data, off = K.text_buffers(batch.column("_text"))
             for i, j in K.blocks(off, 1 << 18):
                 got = model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i], slot)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(got)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(got)], [*names, "_score"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "score double"]))
+    rows = docs.select(*(F.col(f"`{k}`").alias(n) for (k, _), n in zip(keep, names, strict=True)), F.col("text").alias("_text"))
+    out = rows.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in inner), "_score double"]))
+    return out.toDF(*(k for k, _ in keep), "score")

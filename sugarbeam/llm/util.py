@@ -5,26 +5,23 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sugarbeam.sources.store import shared_folder
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{tempfile.gettempdir()}/sugarbeam-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder all executors and the driver share."""
+    return shared_folder(spark)
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -40,8 +37,12 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Delete a stored table that no later plan reads."""
+def drop_stored(df: DataFrame) -> None:
+    """Delete the table behind a scan that `stored` returned, once no later plan reads it."""
+    path = getattr(df, "_stored_path", None)
+    if path is None:
+        return
+    spark = df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if (spark, path) in _written:
@@ -90,6 +91,11 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return outer
 
 
+def kept(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Names under which the columns (name, type) pass through an operator, so that none clashes with what it adds, and their types."""
+    return [(f"_c{i}", t) for i, (_, t) in enumerate(columns)]
+
+
 def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with columns other than doc_id and text under names that no operator uses, and what gives rows of it their names back."""
     inner = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
@@ -101,15 +107,28 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, weight_rare: bool = False) -> DataFrame:
-    """(doc_id, text, y) of at most `rows` labelled documents, a fixed bound.
+#: Bytes of text that a sample of labelled rows brings to the driver; a longer text than what is left ends the sample.
+FIT_BYTES = 64 << 20
 
-    The rows with the smallest id hash are taken, up to half of `rows` from each class, so the choice
-    does not depend on partitioning; null labels and null texts do not count. Only the chosen ids are
-    broadcast, and they number at most `rows`.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` labelled documents and `most` bytes of text, both fixed bounds.
+
+    The ids with the smallest hash are taken, up to half of `rows` from each class, so the choice does not depend on partitioning;
+    null labels and null texts do not count, and of rows that repeat an id the one with the smallest text hash does. Only the chosen
+    ids are broadcast, and they number at most `rows`.
     """
     got = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("y"))
     got = got.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
     parts = [got.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("h").alias("h"))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    return one_text_each(docs, ids, ["y"], most)
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame, values: list[str], most: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, text, values) of the documents of `ids` (doc_id, h, values), a table of a bounded number of rows: one row an id, in order of h, while
+    the texts stay below `most` bytes."""
+    mine = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = mine.groupBy("doc_id").agg(F.min_by(F.struct("text", "h", *values), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.*")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of at most as many rows as ids has
+    return one.withColumn("_b", so_far).where(F.col("_b") <= most).select("doc_id", "text", *values)
