@@ -18,10 +18,12 @@ def tokenizer_path() -> str:
 
 
 def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes. Null texts are one group, repeated rows have a slot each."""
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
 def op2_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens. A null or empty text is one piece of its final id; repeated rows are packed each."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
@@ -30,6 +32,7 @@ def _predictions(scored: DataFrame, n: int, held: int) -> DataFrame:
 
 
 def op3_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, read back from their formatted text. Nulls count as empty; repeated turns are turns."""
     told = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     extra = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), said.alias("text")) for i, r in enumerate(("user", "assistant"))]
@@ -41,17 +44,20 @@ def op3_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of all documents; the classifier learns the languages of labelled documents. Texts without words have 0 tokens."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return mixing.mix(docs, docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain")))
 
 
 def op5_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels outside fold 0 of 5. Null and empty texts have the score of the bias."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     return _predictions(toxicity.score(docs, model, [("doc_id", "bigint")]), 5, 0)
 
 
 def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as TIFF pages and read back. A null text is 64 zero bytes, as an empty one is."""
     files = tiff.store_texts(read(spark, sf_dir, "documents"))
     keep = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string")]
     files = files.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
@@ -61,25 +67,30 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels outside fold 1 of 3. Null texts count as empty, which have a score like any other."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
     return _predictions(quality.score(docs, model, [("doc_id", "bigint")]), 3, 1)
 
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents. Null, empty and blank texts stay alone; repeated rows repeat."""
     got = dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op9_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each fiftieth vector. Vectors that are null or hold null or non-finite components take no part."""
     return search.top_k(read(spark, sf_dir, "embeddings"))
 
 
 def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and whole texts of all documents that match a licence template. Null texts match nothing; repeated rows match each."""
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
 def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents that match a licence template, over lines and inside prose."""
     return licenses.runs(read(spark, sf_dir, "documents"))
 
 
