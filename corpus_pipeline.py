@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In every stage a null text counts as empty, texts of any length are read whole, repeated rows are rows of their own (but for
+near-duplicates, of which one stays), ties go to the smaller doc_id or do not matter, an empty table gives an empty one, and
+further columns pass through, whatever their names. Null doc_ids are allowed. Labels of null value or without a document do not count.
 """
 
 from __future__ import annotations
@@ -20,31 +24,35 @@ THRESHOLD = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches THRESHOLD. The rules are fitted on the labelled documents of `documents`."""
+    """Documents whose quality score reaches THRESHOLD. The rules are fitted on the labelled documents of `documents`. Empty texts have a score
+    like any other; without labels of both kinds all documents have one score, and stay if it reaches THRESHOLD."""
     model = quality.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     docs, named = guarded(docs)
     return named(quality.score(docs, model, docs.dtypes).where(F.col("score") >= THRESHOLD))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below THRESHOLD."""
+    """Documents whose toxicity score stays below THRESHOLD. An empty text has the score of the bias alone; without labels of both kinds all
+    documents have the share of toxic ones, and go if it reaches THRESHOLD."""
     model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     docs, named = guarded(docs)
     return named(toxicity.score(docs, model, docs.dtypes).where(F.col("score") < THRESHOLD))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity of 0.8 or more): the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, similarity of 0.8 or more): the one with the smallest doc_id.
+    Null, empty and blank texts are nobody's duplicates."""
     return dedup.one_of_each(docs, dedup.MinMax(words=5))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at the rates, 1 at least, that bring the expected tokens of each language to its target weight."""
+    """Documents repeated at the rates, 1 at least, that bring the expected tokens of each language to its target weight.
+    Documents without words have no tokens and rates by the priors; documents of other or null languages count by their text alone."""
     return mixing.mixed(docs, docs.select("doc_id", F.col("lang").alias("domain")), least=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens. An empty text is one piece of its final id."""
     return packing.pack(docs, tokenizer_path())
 
 
