@@ -6,7 +6,6 @@ sequences are parsed once for all motifs in one Arrow-batched pass.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from sugarbeam.functions import columns as c
 from sugarbeam.functions import glycan as g
 from sugarbeam.functions import structure
+from sugarbeam.functions.motifs import motif_list
 from sugarbeam.operators import networks as nw
 
 Motif = tuple[str, str, list[str]]  # name, sequence, place of each residue
@@ -89,11 +89,11 @@ def size_branching(df: DataFrame, bins: int = 3, column: str = "glycan") -> Data
 
 
 def annotate(df: DataFrame, features: list[str], motifs: list[Motif] = (), column: str = "glycan") -> DataFrame:
-    """(glycan, motif, n): the rows of the feature sets known or custom (`motifs`), exhaustive (residues and disaccharides, with the
+    """(glycan, motif, n): the rows of the feature sets known (the list of named motifs), custom (`motifs`), exhaustive (residues and disaccharides, with the
     fragments of open linkages), terminal, terminal1, terminal2, terminal3 and size_branch. Zero counts have no row, so a motif
     that occurs nowhere does not appear."""
     known = {
-        "known": lambda: motif_counts(df, list(motifs), column), "custom": lambda: motif_counts(df, list(motifs), column),
+        "known": lambda: motif_counts(df, motif_list(), column), "custom": lambda: motif_counts(df, list(motifs), column),
         "exhaustive": lambda: monosaccharides(df, column).unionByName(with_open_linkages(fragment_counts(df, 2, column), column)),
         "terminal": lambda: terminal_counts(df, 1, column), "terminal1": lambda: terminal_counts(df, 1, column), "terminal2": lambda: terminal_counts(df, 2, column),
         "terminal3": lambda: terminal_counts(df, 3, column), "size_branch": lambda: size_branching(df, 3, column),
@@ -276,8 +276,3 @@ def wildcard_rows(df: DataFrame, covers: list[str], wildcard: str, rate: float =
     u = F.pmod(F.xxhash64(column, "_r"), F.lit(1 << 20)) / float(1 << 20)
     swapped = each.where(u < rate).withColumn(column, F.replace(F.col(column), F.col("_r"), F.lit(wildcard))).drop("_r")
     return df.unionByName(swapped)
-
-
-def motif_table(path_rows: list[tuple[str, str, str]]) -> list[Motif]:
-    """Motifs from rows (name, sequence, places as a list in text)."""
-    return [(n, m, re.findall(r"terminal|internal|flexible", p)) for n, m, p in path_rows]

@@ -114,6 +114,11 @@ def inferred(vertices: DataFrame, others: DataFrame) -> DataFrame:
     return out.withColumn("virtual", F.when((F.col("virtual") == 1) & F.col("_seen").isNotNull(), F.lit(2)).otherwise(F.col("virtual"))).drop("_seen")
 
 
+def inferred_nodes(vertices: DataFrame) -> DataFrame:
+    """(node) that `inferred` found in another species."""
+    return vertices.where("virtual = 2").select("node")
+
+
 def path_support(diamonds: DataFrame, others: DataFrame, mode: str = "presence", threshold: float = 0.0) -> DataFrame:
     """(a, d, middle, support) of both middles of each diamond (a, b, c, d), over `others` (species, node, virtual, abundance) that have a and d.
 

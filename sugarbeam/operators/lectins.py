@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugarbeam.functions import glycan as g
+from sugarbeam.sources import tables
+
+
+def load_library(spark: SparkSession, path: str) -> DataFrame:
+    """(name, abbreviations, species, specificity, reference, notes) of a lectin library in typed cells, one JSON line for each lectin."""
+    schema = {"name": "string", "abbreviations": "array<string>", "species": "string", "specificity": "map<string,array<string>>", "reference": "string", "notes": "string"}
+    return tables.read_cells(spark, path, schema)
 
 
 def match_names(array: DataFrame, library: DataFrame) -> DataFrame:

@@ -450,3 +450,33 @@ def linear_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unbranched sequences are their own canonical text, whichever reader takes them."""
     read = c._mapped(notations.canonicalize, "string")
     return table(spark, [(s,) for s in ROUND_TRIPS], "glycan string").select("glycan", read(F.col("glycan")).alias("canonical"))
+
+
+# The named motifs that some sequences hold, read off the list by hand.
+KNOWN = [
+    ("Gal(b1-4)[Fuc(a1-3)]GlcNAc(b1-3)Gal", "Terminal_LewisX", 1), ("Fuc(a1-2)Gal(b1-4)[Fuc(a1-3)]GlcNAc(b1-3)Gal", "LewisY", 1), ("Neu5Ac(a2-3)Gal(b1-4)[Fuc(a1-3)]GlcNAc(b1-3)Gal", "SialylLewisX", 1), ("Neu5Ac(a2-3)Gal(b1-4)[Fuc(a1-3)]GlcNAc(b1-3)Gal", "Internal_LewisX", 1),
+    ("Gal(b1-3)GalNAc", "Oglycan_core1", 1),
+]
+
+
+@query(answers("glycan, motif, n", KNOWN))
+def known_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Lewis motifs and the first core among all named motifs; a fucose on the galactose or a branch to position 6 forbids the inner Lewis X and core 1."""
+    d = table(spark, [(x,) for x in dict.fromkeys([r[0] for r in KNOWN] + ["Gal(b1-3)[GlcNAc(b1-6)]GalNAc"])], "glycan string")
+    return an.annotate(d, ["known"]).where(F.col("motif").isin("Terminal_LewisX", "Internal_LewisX", "LewisY", "SialylLewisX", "Oglycan_core1")).select("glycan", "motif", "n")
+
+
+@query("SELECT 'Gal(b1-3)GalNAc' AS glycan, 2 AS n")
+def random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two draws of one sequence from a class of one give it each time."""
+    known = table(spark, [("Gal(b1-3)GalNAc",), ("Gal(b1-4)Glc-ol",), ("Gal(b1-4)Glc1Cer",)], "glycan string")
+    draws = co.random_sequences(known, 1, 1, "O").unionByName(co.random_sequences(known, 1, 2, "O"))
+    return draws.groupBy("glycan").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(answers("token, specific", [("b1-?", True), ("Hex", True), ("Gal", False), ("a2-3/6", True)]))
+def specified_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open letters become specified ones that they stand for; specified ones stay."""
+    known = ["b1-3", "b1-4", "a2-3", "a2-6", "?1-?"]
+    rows = [(t, letters.specific(t, known)) for t in ("b1-?", "Hex", "Gal", "a2-3/6")]
+    return table(spark, [(t, x != t and (g.same_linkage(x, t) if "-" in t else x in g.CLASSES[t])) for t, x in rows], "token string, specific boolean")
