@@ -77,6 +77,32 @@ class NgramModel:
 
 
 def fit_texts(data: np.ndarray, off: np.ndarray, y: np.ndarray) -> NgramModel:
+    """A model whose bias is set so that a score of 0.5 is the cut that serves best on a third of the rows, by the harmonic mean of recall and
+    precision of a model of the other two thirds. The rarer class would else be missed for its rarity. With fewer than 20 rows of a class in
+    that third the bias stays as it was fitted."""
+    model = _fit_texts(data, off, y)
+    test = np.arange(len(y)) % 3 == 0
+    if min(y[test].sum(), (1 - y[test]).sum()) < 20:
+        return model
+    trained = _fit_texts(*_rows(data, off, ~test), y[~test])
+    got, truth = [], y[test] > 0
+    d, o = _rows(data, off, test)
+    for i, j in K.blocks(o, 1 << 18):
+        got.append(trained.scores(d[o[i] : o[j]], o[i : j + 1] - o[i], trained.slots()))
+    p = np.concatenate(got)
+    cuts = np.round(np.arange(0.05, 0.96, 0.05), 2)
+    gain = [2 * (truth & (p >= c)).sum() / max(truth.sum() + (p >= c).sum(), 1) for c in cuts]
+    best = min(range(len(cuts)), key=lambda k: (-gain[k], abs(cuts[k] - 0.5)))
+    return NgramModel(model.hashes, model.weights, model.bias - float(np.log(cuts[best] / (1 - cuts[best]))))
+
+
+def _rows(data: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of the texts that are kept."""
+    size = np.diff(off)
+    return data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
+
+
+def _fit_texts(data: np.ndarray, off: np.ndarray, y: np.ndarray) -> NgramModel:
     """Count n-grams by class, keep the FEATURES that differ most, scale each by its log-count ratio r and fit
     logistic weights on r by gradient descent. Without both classes the score is the share of label 1."""
     np.seterr(over="ignore")
