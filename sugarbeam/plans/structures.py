@@ -41,6 +41,17 @@ SELECT g.glycan, CAST(count(*) FILTER (WHERE e.name = 'Gal' AND link = 'b1-4' AN
 CAST(count(*) FILTER (WHERE e.name = 'Neu5Ac' AND link LIKE 'a2-%' AND pname = 'Gal') AS INTEGER) AS sialyl, CAST(coalesce(max(tri.n), 0) AS INTEGER) AS trimannosyl, CAST(count(*) FILTER (WHERE e.name = 'Fuc') AS INTEGER) AS fucosylated
 FROM gl g LEFT JOIN e ON e.glycan = g.glycan LEFT JOIN tri ON tri.glycan = g.glycan GROUP BY g.glycan""")
 
+replace_sql("glycan_k_saccharides", f"""{TREE}, x AS (SELECT *, CASE WHEN regexp_matches(link, '[0-9]$') THEN CAST(regexp_extract(link, '([0-9]+)$', 1) AS INTEGER) ELSE 99 END AS pos, name || '(' || link || ')' AS w FROM res),
+f AS (SELECT c.glycan, c.w || p.w || q.name AS fragment FROM x c JOIN x p ON p.glycan = c.glycan AND p.i = c.parent JOIN x q ON q.glycan = p.glycan AND q.i = p.parent
+UNION ALL SELECT a.glycan, a.w || '[' || b.w || ']' || p.name FROM x a JOIN x b ON b.glycan = a.glycan AND b.parent = a.parent AND a.i <> b.i AND (a.pos < b.pos OR (a.pos = b.pos AND (a.link < b.link OR (a.link = b.link AND (a.w < b.w OR (a.w = b.w AND a.i < b.i)))))) JOIN x p ON p.glycan = a.glycan AND p.i = a.parent)
+SELECT glycan, fragment, CAST(count(*) AS INTEGER) AS n FROM f GROUP BY ALL""")
+# By hand: the longest chain goes on outside of brackets, then the branch at the smaller position; one sequence is written otherwise.
+replace_sql("glycan_canonical", f"WITH {VALUES} SELECT glycan, CASE glycan WHEN 'GalNAc(b1-4)[Neu5Ac(a2-3)]Gal(b1-4)Glc1Cer' THEN 'Neu5Ac(a2-3)[GalNAc(b1-4)]Gal(b1-4)Glc1Cer' ELSE glycan END AS canonical FROM gl")
+replace_sql("rhythm", f"""WITH {fx.MONTHLY}, ph AS (SELECT period, unnest(range(0, period)) AS phase FROM (VALUES (6), (12)) t(period)), w AS (SELECT feature, time, value, period, phase, cos(2 * pi() * (time - phase) / period) AS c FROM mo, ph),
+p AS (SELECT a.feature, a.period, a.phase, sign(b.value - a.value) AS sy, sign(round(b.c - a.c, 9)) AS sw FROM w a JOIN w b ON a.feature = b.feature AND a.period = b.period AND a.phase = b.phase AND a.time < b.time),
+t AS (SELECT feature, period, phase, CAST(sum(sy * sw) AS DOUBLE) AS s, CAST(sum(sy * sw) AS DOUBLE) / sum(abs(sw)) AS tau FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tau DESC, period, phase) AS k FROM t)
+SELECT feature, CAST(period AS INTEGER) AS period, CAST(phase AS DOUBLE) AS phase, tau, s FROM r WHERE k = 1""")
+
 
 def answers(columns: str, rows: list[tuple]) -> str:
     """SQL of a table of answers."""
