@@ -346,3 +346,23 @@ def lectin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CLR}, {PAIRS} SELECT feature, pair, round(value, 6) AS value FROM pd")
 def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(te.paired_differences(_paired(spark, sf_dir)).select("feature", F.col("pair").cast("int").alias("pair"), "value"))
+
+
+@query("""WITH d AS (SELECT 'p' || (l_suppkey % 5) AS site, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS c, ln(l_extendedprice) AS y, l_quantity AS h FROM lineitem),
+r AS (SELECT site, regr_intercept(y, h) FILTER (WHERE c = 0) AS a0, regr_slope(y, h) FILTER (WHERE c = 0) AS b0, regr_intercept(y, h) FILTER (WHERE c = 1) AS a1, regr_slope(y, h) FILTER (WHERE c = 1) AS b1 FROM d GROUP BY site)
+SELECT site, 'intercept' AS term, round(a0, 5) AS coefficient FROM r UNION ALL SELECT site, 'condition', round(a1 - a0, 5) FROM r UNION ALL SELECT site, 'H', round(b0, 5) FROM r UNION ALL SELECT site, 'condition:H', round(b1 - b0, 5) FROM r""")
+def site_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One count with its interaction is two lines, one for each condition."""
+    line = fx.table(spark, sf_dir, "lineitem")
+    d = line.select(F.concat(F.lit("p"), F.col("l_suppkey") % 5).alias("site"), (F.col("l_returnflag") == "R").cast("double").alias("condition"), F.ln("l_extendedprice").alias("value"), F.col("l_quantity").alias("H"))
+    return rounded(mv.site_models(d, ["H"]).select("site", "term", "coefficient"), 5)
+
+
+@query(f"""WITH {fx.MONTHLY}, a AS (SELECT feature, regr_slope(value, time) AS b, regr_intercept(value, time) AS a, regr_slope(time * time, time) AS d, regr_intercept(time * time, time) AS c FROM mo GROUP BY feature),
+k AS (SELECT feature, regr_slope(value - a - b * time, time * time - c - d * time) AS q FROM mo JOIN a USING (feature) GROUP BY feature)
+SELECT feature, round(max(q) / 100, 2) AS square, round(regr_slope(value - q * time * time, time) / 1000, 2) AS slope, round(regr_intercept(value - q * time * time, time) / 10000, 2) AS intercept FROM mo JOIN k USING (feature) GROUP BY feature""")
+def time_series_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the quadratic fits, in hundreds, thousands and ten thousands; the SQL takes the line out of values and squares first."""
+    c = F.col("coefficients")
+    p = se.polynomial(fx.monthly(spark, sf_dir), 2)
+    return p.select("feature", F.round(c[0] / 100, 2).alias("square"), F.round(c[1] / 1000, 2).alias("slope"), F.round(c[2] / 10000, 2).alias("intercept"))
