@@ -52,7 +52,10 @@ def test_motifs():
     assert g.motif_count(core, "Man(a1-?)[Man(a1-?)]Man") == 2  # interchangeable branches count twice
     assert g.motif_count(core, "Hex") == 3 and g.motif_count(core, "GlcNAc") == 2
     assert g.motif_count(core, "Gal") == 0 and g.motif_count("GalNAc", "Gal") == 0
-    assert g.motif_count(core, "!Man(a1-3)Man") == 0 and g.motif_count(core, "!Gal(a1-3)Man") == 1
+    # A residue without the forbidden child, whether or not it has others: two of three Man, all of them, and the GlcNAc that has Gal instead.
+    assert g.motif_count(core, "!Man(a1-3)Man") == 2 and g.motif_count(core, "!Gal(a1-3)Man") == 3 and g.motif_count("Gal(b1-4)GlcNAc", "!Man(a1-3)GlcNAc") == 1
+    arms = "Neu5Ac(a2-3)Gal(b1-3)GlcNAc(b1-2)Man(a1-3)[Gal(b1-4)GlcNAc(b1-2)Man(a1-6)]Man"
+    assert g.motif_count(arms, "!Neu5Ac(a2-?)Gal(?1-?)GlcNAc") == 1 and g.motif_count(arms, "Neu5Ac(a2-?)!Gal(b1-4)GlcNAc") == 1 and g.motif_count(arms, "Neu5Ac(a2-?)!Gal(b1-3)GlcNAc") == 0
     assert g.motif_count(core, "Man", ["terminal"]) == 2 and g.motif_count(core, "Man", ["internal"]) == 1
     assert g.motif_count("Gal(b1-3/4)GlcNAc", "Gal(b1-4)GlcNAc") == 1
     assert g.motif_count(core, "Man(a1-3)") == 1
