@@ -130,5 +130,8 @@ def one_text_each(docs: DataFrame, ids: DataFrame, values: list[str], most: int
     the texts stay below `most` bytes."""
     mine = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     one = mine.groupBy("doc_id").agg(F.min_by(F.struct("text", "h", *values), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.*")
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of at most as many rows as ids has
-    return one.withColumn("_b", so_far).where(F.col("_b") <= most).select("doc_id", "text", *values)
+    # The texts are written where they were found; only ids and sizes, as many as `ids` has rows, meet in one task.
+    one = stored(one.withColumn("_n", F.octet_length("text")))
+    so_far = F.sum("_n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = one.select("doc_id", so_far.alias("_b")).where(F.col("_b") <= most).select("doc_id")
+    return one.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "text", *values)
