@@ -5,7 +5,8 @@ written as Parquet and read again as the next one's docs. All but the last retur
 
 In every stage a null text counts as empty, texts of any length are read whole, repeated rows are rows of their own (but for
 near-duplicates, of which one stays), ties go to the smaller doc_id or do not matter, an empty table gives an empty one, and
-further columns pass through, whatever their names. Null doc_ids are allowed. Labels of null value or without a document do not count.
+further columns pass through, whatever their names. Bytes that are not UTF-8 (a text cut inside a character) pass through as they are; where
+characters count, in toxicity and packing, they are U+FFFD. Null doc_ids are allowed. Labels of null value or without a document do not count.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ hold a bounded number of bytes (or one longer text), which bounds memory.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,18 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[off[0] : off[-1]], off - off[0]
 
 
+def utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block whose malformed sequences are U+FFFD, as Python's decoder replaces them in each text by itself. Spark does not check the bytes of
+    its strings, so a text may be cut inside a character. A well-formed block is returned as it is."""
+    raw = data.tobytes()
+    if not ((data[offsets[:-1][np.diff(offsets) > 0]] & 0xC0) == 0x80).any():  # no text goes on with a character of the one before
+        with contextlib.suppress(UnicodeDecodeError):
+            raw.decode()
+            return data, offsets
+    texts = [raw[a:b].decode(errors="replace").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of at most `most` bytes, or of one longer text."""
     i, n = 0, len(offsets) - 1

@@ -62,7 +62,8 @@ class Bpe:
         return Tokenizer.from_file(self.path)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first) of a block of texts (UTF-8 bytes and offsets): text i has ids[first[i]:first[i+1]]."""
+        """(ids, first) of a block of texts (UTF-8 bytes and offsets): text i has ids[first[i]:first[i+1]]. Malformed bytes count as U+FFFD."""
+        data, offsets = K.utf8(data, offsets)
         raw = data.tobytes()
         if SPECIAL.encode() in raw:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

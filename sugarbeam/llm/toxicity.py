@@ -19,6 +19,8 @@ FIT_ROWS = 6_000
 #: Lengths of n-grams in characters of lower-cased text, bits of their hash, and features that the classifier keeps.
 SIZES, BITS, FEATURES = (4, 5, 6), 20, 8192
 L2 = 1e-4
+#: Characters of one text whose n-grams are hashed at once.
+WINDOW = 1 << 18
 
 
 @functools.cache
@@ -28,9 +30,23 @@ def _lower() -> np.ndarray:
 
 
 def block_features(data: np.ndarray, off: np.ndarray, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features, first): the distinct hashed character n-grams of each text of a block (UTF-8), sorted. With `slot`, those it maps to 0 or more, mapped."""
-    low = _lower()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)].astype(np.uint64)
-    off = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), off)  # from bytes to characters
+    """(features, first): the distinct hashed character n-grams of each text of a block (UTF-8; malformed bytes count as U+FFFD), sorted.
+    With `slot`, those it maps to 0 or more, mapped. A text of a block of its own is read in windows, so that memory hardly grows with its length."""
+    data, off = K.utf8(data, off)
+    cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    if len(off) == 2 and len(cp) > WINDOW:
+        seen = np.zeros(1 << BITS, bool)
+        for a in range(0, len(cp), WINDOW):
+            part = cp[a : a + WINDOW + max(SIZES) - 1]
+            seen[_grams(part, np.array([0, len(part)]), slot)[0]] = True
+        f = np.flatnonzero(seen)
+        return f, np.array([0, len(f)])
+    return _grams(cp, np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), off), slot)  # from bytes to characters
+
+
+def _grams(cp: np.ndarray, off: np.ndarray, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """block_features of texts as code points and their offsets."""
+    low = _lower()[cp].astype(np.uint64)
     n = len(low)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     left = off[1:][row] - np.arange(n)  # characters from here to the text's end

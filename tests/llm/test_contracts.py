@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import chat, kernels, mixing, quality, queries, search, sharding, toxicity
+from sugarbeam.llm import chat, kernels, mixing, quality, queries, search, sharding, tokens, toxicity
 from sugarbeam.llm.util import labelled_sample
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +229,59 @@ def test_toxicity_finds_held_out_rows():
     got = np.concatenate([model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i], model.slots()) for i, j in kernels.blocks(off)]) >= 0.5
     truth = np.array([r[2] for r in parts[True]])
     assert (got & truth).sum() >= 0.9 * truth.sum() and (got & truth).sum() >= 0.97 * got.sum()
+
+
+CUT = [b"", b"caf\xc3", b"\xa9 goes on", b"\xff\xfe two \xe2\x82 bad bytes", b"\xed\xa0\x80 a lone surrogate", "Ärger über Öl".encode(), b"<|endoftext|> \xc3", b"caf\xc3\xa9"]
+
+
+def _block(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return kernels.text_buffers(pa.array(raw, pa.binary()))
+
+
+def test_malformed_bytes_count_as_replacement_characters():
+    np.seterr(over="ignore")
+    mended = [r.decode(errors="replace").encode() for r in CUT]
+    for k in range(len(CUT)):
+        for raw, want in ((CUT[:k], mended[:k]), (CUT[k:], mended[k:]), (CUT[k : k + 2], mended[k : k + 2])):
+            data, off = kernels.utf8(*_block(raw))
+            assert [data[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+            for f in (lambda d, o: toxicity.block_features(d, o, None), tokens.bpe(queries.tokenizer_path()).encode):
+                assert all((x == y).all() and len(x) == len(y) for x, y in zip(f(*_block(raw)), f(*_block(want)), strict=True))
+    data, off = _block(mended)
+    assert kernels.utf8(data, off)[0] is data
+
+
+def test_pipeline_takes_texts_cut_inside_a_character(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "documents":  # labelled texts, too
+            df = df.withColumn("text", F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("20E282"))).otherwise(F.unhex(F.lit("")))).cast("string"))
+        df.write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = out
+        stage(spark, out, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        cut = out.where("doc_id % 3 = 0")
+        assert cut.count()
+        if "text" in out.columns:  # as they came
+            assert cut.where(F.hex(F.col("text").cast("binary")).endswith("20E282")).count() == cut.count()
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_features_of_long_texts_are_read_in_windows(monkeypatch):
+    np.seterr(over="ignore")
+    text = "".join(chr(65 + x) for x in np.random.default_rng(2).integers(0, 300, 5000))
+    data, off = _block([text.encode()])
+    slot = np.where(np.arange(1 << toxicity.BITS) % 3 == 0, np.arange(1 << toxicity.BITS) // 3, -1).astype(np.int32)
+    sizes = []
+    whole, inner = [toxicity.block_features(data, off, s) for s in (None, slot)], toxicity._grams
+    monkeypatch.setattr(toxicity, "_grams", lambda cp, o, s: sizes.append(len(cp)) or inner(cp, o, s))
+    for w in (1, 7, 1000, 4999, 5000):
+        monkeypatch.setattr(toxicity, "WINDOW", w)
+        for s, want in zip((None, slot), whole, strict=True):
+            sizes.clear()
+            got = toxicity.block_features(data, off, s)
+            assert all((x == y).all() and len(x) == len(y) for x, y in zip(got, want, strict=True)) and max(sizes) <= w + 5
