@@ -68,22 +68,26 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = FI
     return DomainModel(tuple(names), seen / seen.sum(), w - w.mean(axis=0))
 
 
+def _measured(batch: pa.RecordBatch, model: DomainModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, words, posteriors) of the rows i to j of a batch, block by block."""
+    np.seterr(over="ignore")
+    data, off = K.text_buffers(batch.column("text"))
+    for i, j in K.blocks(off):
+        block, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        inside = ~K.SPACE[block]
+        head = inside.copy()
+        head[1:] &= ~inside[:-1]
+        head[o[:-1][np.diff(o) > 0]] = inside[o[:-1][np.diff(o) > 0]]
+        yield i, j, K.reduce_rows(np.add, head.astype(np.int64), o, 0), model.posteriors(block, o)
+
+
 def memberships(docs: DataFrame, model: DomainModel, keep: list[tuple[str, str]]) -> DataFrame:
     """The columns `keep` (name, type) of docs, `_tokens` (words) and `_p`, the posterior of each domain."""
     names, d = [k for k, _ in keep], len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         for batch in batches:
-            data, off = K.text_buffers(batch.column("text"))
-            for i, j in K.blocks(off):
-                block, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                inside = ~K.SPACE[block]
-                head = inside.copy()
-                head[1:] &= ~inside[:-1]
-                head[o[:-1][np.diff(o) > 0]] = inside[o[:-1][np.diff(o) > 0]]
-                tokens = K.reduce_rows(np.add, head.astype(np.int64), o, 0)
-                p = model.posteriors(block, o)
+            for i, j, tokens, p in _measured(batch, model):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * d, pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(tokens), lists], [*names, "_tokens", "_p"])
 
@@ -207,6 +211,19 @@ def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str
     return member.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
 
 
+def rated_texts(docs: DataFrame, model: DomainModel, pull: np.ndarray, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
+    """The columns `keep` and `_rate`, as `rated` gives them for `memberships`, from the texts in one pass: a task then has one Python worker
+    instead of two, and each text goes to it and back once."""
+    names = [k for k, _ in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, _, p in _measured(batch, model):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(rates(p, pull, least, most))], [*names, "_rate"])
+
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
+
+
 def copies() -> Column:
     """Whole copies of a document for its `_rate`: the floor, and one more with the chance of the rest, decided by doc_id."""
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
@@ -236,6 +253,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     model = fit(docs, labelled, list(targets))
     pull = fit_rates(stored(memberships(docs, model, [])), targets, least=least, most=most, strict=strict)
     keep = [(c, t) for c, t in docs.dtypes]
-    out = rated(memberships(docs, model, keep), pull, len(model.domains), keep, least, most)
+    out = rated_texts(docs, model, pull, keep, least, most)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
     return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -106,6 +106,24 @@ def test_mixing_by_brute_force(spark):
     assert total[0] == pytest.approx(total[1], rel=5e-3)
 
 
+def test_mixed_sends_texts_through_python_once(spark):
+    rows = [(None if i == 9 else i, t, "de" if i % 3 else "en", "x") for i, t in enumerate([*TEXTS, None, "der die das und " * 40_000, "the cat and the dog", "the the of"])]
+    d = spark.createDataFrame([*rows, rows[1]], "doc_id bigint, text string, lang string, _rate string")
+    lab = d.select("doc_id", F.col("lang").alias("domain"))
+    targets = {"de": 0.3, "en": 0.7}
+    out = mixing.mixed(d, lab, targets, least=1.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    model = mixing.fit(d, lab, list(targets))
+    keep = [("doc_id", "bigint"), ("text", "string")]
+    member = mixing.memberships(d, model, keep)
+    pull = mixing.fit_rates(member, targets, least=1.0)
+    two, one = mixing.rated(member, pull, 2, keep, 1.0), mixing.rated_texts(d, model, pull, keep, 1.0)
+    key = lambda r: (str(r.doc_id), str(r.text), r._rate)
+    assert sorted(map(key, two.collect())) == sorted(map(key, one.collect()))
+    times = two.withColumn("times", mixing.copies()).groupBy("doc_id", "text").agg(F.sum("times").alias("n"))
+    assert sorted((str(r.doc_id), str(r.text), r["count"]) for r in out.groupBy("doc_id", "text").count().collect()) == sorted((str(r.doc_id), str(r.text), r.n) for r in times.collect())
+
+
 def test_mixing_bounds_and_strictness(spark):
     d = spark.createDataFrame([(i, "the and of") for i in range(40)] + [(99, "der und von")], "doc_id bigint, text string")
     lab = d.select("doc_id", F.when(F.col("doc_id") == 99, "de").otherwise("en").alias("domain"))
