@@ -103,10 +103,9 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): spans of `[^\\x20\\x09-\\x0D]+` in a block; text i has words first[i]:first[i+1]."""
-    n = len(data)
-    inside = ~SPACE[data]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): the longest runs of bytes for which `inside` holds, cut where texts end; text i has runs first[i]:first[i+1]."""
+    n = len(inside)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     head = inside.copy()
@@ -117,6 +116,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(tail) + 1, np.searchsorted(start, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): spans of `[^\\x20\\x09-\\x0D]+` in a block; text i has words first[i]:first[i+1]."""
+    return spans(~SPACE[data], offsets)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct k-word shingles of each text, sorted; text i has hashes first[i]:first[i+1].
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import chat, dedup, licenses, mixing, packing, quality, search, sharding, tiff, toxicity
+from sugarbeam.llm import chat, dedup, lexical, licenses, mixing, packing, phrases, quality, search, sharding, tiff, toxicity
 from sugarbeam.llm.util import fold, read
 
 
@@ -94,7 +94,17 @@ def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.runs(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice, op10_license_runs)}
+def op11_phrase_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of all documents. Null texts are empty, a null lang is `und`; repeated rows count each."""
+    return phrases.phrases(read(spark, sf_dir, "documents"))
+
+
+def op13_variable_block_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item. Null texts have no terms; repeated rows are ranked each."""
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice, op10_license_runs, op11_phrase_slots, op13_variable_block_wand)}
 
 _OP9 = """
 WITH v AS (
@@ -148,4 +158,43 @@ SELECT *, 2.0::DOUBLE * shared / (bigrams + template_bigrams) AS dice FROM m WHE
 """
 
 
-SQL: dict[str, str] = {"op3_chat_machine": _OP3, "op9_cover_tree_search": _OP9, "op10_license_dice": _op10()}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {_LOW.format("text")} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+k AS (SELECT unnest(range(1, 6)) AS k),
+g AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, k) GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT lang, k, phrase, a, j, array_to_string(ws[1 : j], ' ') AS head, array_to_string(ws[j + 1 : k], ' ') AS tail
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM g WHERE k > 1)),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, x.a AS l, y.a AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM c JOIN g AS x ON x.lang = c.lang AND x.phrase = c.head JOIN g AS y ON y.lang = c.lang AND y.phrase = c.tail JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = b.lang AND g.k > b.k AND g.a >= b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM o QUALIFY rank <= 2000
+"""
+
+_TERMS = "list_filter(string_split_regex(" + _LOW + ", '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS.format("text")} AS ws FROM documents WHERE text IS NOT NULL),
+v AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS total FROM d WHERE len(ws) > 0),
+t AS (SELECT d, doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+f AS (SELECT d, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+q AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, v WHERE term IN (SELECT term FROM q) GROUP BY term),
+i AS (SELECT d, doc_id, f.term, w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS s FROM f JOIN w ON w.term = f.term, v),
+r AS (SELECT q, item_id, d, doc_id, CAST(sum(times * s) AS BIGINT) AS score FROM q JOIN i ON i.term = q.term GROUP BY ALL HAVING sum(times * s) > 0),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank FROM r)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+"""
+
+
+SQL: dict[str, str] = {"op11_phrase_slots": _OP11, "op13_variable_block_wand": _OP13, "op3_chat_machine": _OP3, "op9_cover_tree_search": _OP9, "op10_license_dice": _op10()}
