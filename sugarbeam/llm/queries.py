@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarbeam.llm import chat, dedup, lexical, licenses, mixing, packing, phrases, quality, search, sharding, tiff, toxicity
+from sugarbeam.llm import chat, dedup, lexical, licenses, mixing, ngram_join, packing, phrases, quality, search, sharding, tiff, toxicity
 from sugarbeam.llm.util import fold, read
 
 
@@ -99,12 +99,17 @@ def op11_phrase_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(read(spark, sf_dir, "documents"))
 
 
+def op12_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of 0.8. Null, empty and blank texts stay alone; repeated rows repeat."""
+    return ngram_join.similar(read(spark, sf_dir, "documents"))
+
+
 def op13_variable_block_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item. Null texts have no terms; repeated rows are ranked each."""
     return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice, op10_license_runs, op11_phrase_slots, op13_variable_block_wand)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kk_shards, op2_cutting_stock, op3_chat_machine, op4_soft_mixing, op5_nb_ngram_toxicity, op6_tiff_pages, op7_rule_quality, op8_minmax_dedup, op9_cover_tree_search, op10_license_dice, op10_license_runs, op11_phrase_slots, op12_grouped_prefix_join, op13_variable_block_wand)}
 
 _OP9 = """
 WITH v AS (
@@ -197,4 +202,19 @@ SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
 """
 
 
-SQL: dict[str, str] = {"op11_phrase_slots": _OP11, "op13_variable_block_wand": _OP13, "op3_chat_machine": _OP3, "op9_cover_tree_search": _OP9, "op10_license_dice": _op10()}
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS d, doc_id, list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT d, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS g FROM d),
+u AS (SELECT min(d) AS u, list_sort(g) AS g, min(doc_id) AS doc_id FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+t AS (SELECT u, len(g) AS n, unnest(g) AS token FROM u),
+e AS (
+  SELECT a.u AS a, b.u AS b FROM t AS a JOIN t AS b ON a.token = b.token AND a.u <> b.u AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.u, b.u, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT u, u FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT r.a AS u, min(u.doc_id) AS component_id FROM r JOIN u ON u.u = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN u ON u.g = list_sort(s.g) LEFT JOIN c ON c.u = u.u
+"""
+
+SQL: dict[str, str] = {"op11_phrase_slots": _OP11, "op12_grouped_prefix_join": _OP12, "op13_variable_block_wand": _OP13, "op3_chat_machine": _OP3, "op9_cover_tree_search": _OP9, "op10_license_dice": _op10()}
