@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,9 +64,32 @@ def correlation_groups(pairs: DataFrame, above: float) -> DataFrame:
     return pairs.where((F.col("r") > above) & (F.col("x") < F.col("y"))).select("x", "y")
 
 
+@functools.lru_cache(64)
+def rhythm_null(sizes: tuple[int, ...]) -> np.ndarray:
+    """Chances of J or more pairs in order, for J from 0 to all pairs, of values without ties in random order over groups of tied times of these sizes.
+
+    Generating functions, one group after the other: placing a group of m among n earlier ones multiplies by (1 - q^(n + i)) / (1 - q^i) for i up to m,
+    each factor a shifted difference or a running sum over steps of i, scaled to chances as it goes.
+    """
+    out, n = np.ones(1), 0
+    for m in sizes:
+        for i in range(1, m + 1):
+            size = len(out) + n
+            up = np.zeros(max(size, len(out)) + i)
+            up[: len(out)] = out
+            up[n + i : n + i + len(out)] -= out
+            rows = -(-len(up) // i)
+            sums = np.zeros(rows * i)
+            sums[: len(up)] = up
+            out = np.cumsum(sums.reshape(rows, i), axis=0).ravel()[:size] * (i / (n + i))
+        n += m
+    return np.clip(np.cumsum(out[::-1])[::-1], 0.0, 1.0)
+
+
 def rhythm(df: DataFrame, periods: list[int], interval: float = 1.0) -> DataFrame:
-    """(feature, period, phase, tau, s): for each feature the cosine waveform whose order its values follow best,
-    by Kendall's S over all pairs of samples; periods count steps of `interval`."""
+    """(feature, period, phase, tau, s, p): for each feature the cosine waveform whose order its values follow best, by Kendall's S over all pairs of
+    samples; periods count steps of `interval`. p is the two-sided chance of S in random order of values without ties, exact from the null
+    table of the waveform's ties, which a task makes once for each vector of sizes; it is not corrected for the choice of the waveform."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["time", "sample"])
@@ -80,21 +105,39 @@ def rhythm(df: DataFrame, periods: list[int], interval: float = 1.0) -> DataFram
                 s = float((sy * sw).sum())
                 rows.append((s / m if m else 0.0, -period, -phase, s))
         tau, p, ph, s = max(rows)
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "period": [-p], "phase": [-ph * interval], "tau": [tau], "s": [s]})
+        # Tied groups are those that the signs of differences make: neighbours in order that do not differ.
+        w = np.sort(np.cos(2 * np.pi * (t + ph * interval) / (-p * interval)))
+        cut = np.flatnonzero(np.round(np.diff(w), 9) > 0) + 1
+        sizes = tuple(sorted(np.diff([0, *cut, len(w)]).tolist()))
+        tail = rhythm_null(sizes)
+        chance = min(1.0, 2 * float(tail[min(int(np.ceil((abs(s) + len(tail) - 1) / 2)), len(tail) - 1)]))
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "period": [-p], "phase": [-ph * interval], "tau": [tau], "s": [s], "p": [chance]})
 
-    return df.groupBy("feature").applyInPandas(best, "feature string, period int, phase double, tau double, s double")
+    return df.groupBy("feature").applyInPandas(best, "feature string, period int, phase double, tau double, s double, p double")
 
 
 def principal_components(df: DataFrame, k: int = 2) -> DataFrame:
-    """(sample, component, score): standardized features, centred; the sample-by-sample product matrix is summed in
-    the cluster and its few eigenvectors are found on the driver, since samples are few while features are many."""
+    """(sample, component, score): standardized features, centred. Each task adds up its features' outer products over samples, and the sums meet in the
+    cluster; the few eigenvectors of the sample-by-sample matrix are found on the driver, since samples are few while features are many."""
     w = Window.partitionBy("feature")
     sd = F.stddev_pop("value").over(w)
     z = df.withColumn("z", F.when(sd > 0, (F.col("value") - F.avg("value").over(w)) / sd).otherwise(F.lit(0.0)))
-    pair = z.select("feature", F.col("sample").alias("a"), F.col("z").alias("x")).join(z.select("feature", F.col("sample").alias("b"), F.col("z").alias("y")), "feature")
-    got = pair.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).toPandas()
-    names = sorted(got["a"].unique())
-    m = got.pivot(index="a", columns="b", values="s").loc[names, names].to_numpy()
+    names = [r["sample"] for r in df.select("sample").distinct().orderBy("sample").collect()]
+    at = {n: i for i, n in enumerate(names)}
+
+    def run(batches):
+        total = np.zeros((len(at), len(at)))
+        for pdf in batches:
+            for held in pdf["x"]:
+                i, x = np.array([at[c["sample"]] for c in held]), np.array([c["z"] for c in held])
+                total[np.ix_(i, i)] += np.outer(x, x)
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
+    rows = z.groupBy("feature").agg(F.collect_list(F.struct("sample", "z")).alias("x")).select("x")
+    got = rows.mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    m = np.zeros((len(names), len(names)))
+    m[got["i"], got["j"]] = got["s"]
     val, vec = np.linalg.eigh(m)
     rows = []
     for c in range(min(k, len(names))):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sugarbeam.functions import special
+from sugarbeam.sources.store import checkpointed
 
 
 def group_moments(df: DataFrame) -> DataFrame:
@@ -84,33 +87,91 @@ def anova(df: DataFrame) -> DataFrame:
     return a.select("feature", "ssb", "ssw", d1.alias("d1"), d2.alias("d2"), f.alias("f"), F.try_divide(F.col("ssb") - d1 * msw, F.col("ssb") + F.col("ssw") + msw).alias("omega2"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """Add `adjusted`: the step-up correction of p, in each group of `by` or over all rows."""
+#: Ranges that the p-values of a group are cut into.
+RANGES = 64
+
+
+def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df and the columns of other's row of the same keys, which may be null; other has one row if there are no keys."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    for k, n in names.items():
+        other = other.withColumnRenamed(k, n)
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return df.join(other, same, "left").drop(*names.values())
+
+
+def positions(df: DataFrame, value: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """(by..., value, _c, _range, _n, _le) of each distinct value: its rows, the range it lies in, all rows of its group, and the rows up to it. Nulls do
+    not count.
+
+    The distinct values are cut at quantiles into `ranges` ranges of each group of `by`, and a value's rows up to it are those in the range and the
+    sizes of earlier ranges. What ranges tell each other is one array of `ranges` entries for each group, so no task sees all values of a
+    group, and a value that many rows share is one row here.
+    """
+    by = by or []
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    cuts = d.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    d = _with(d, cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    sizes = d.groupBy(*by, "_range").agg(F.sum("_c").alias("_m")).groupBy(*by).agg(F.sum("_m").alias("_n"), F.collect_list(F.struct("_range", "_m")).alias("_sizes"))
+    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_range"] < F.col("_range"), x["_m"]).otherwise(0))
+    d = _with(d, sizes, by).withColumn("_before", before).drop("_sizes")
+    return d.withColumn("_le", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value))).drop("_before")
+
+
+def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Add `name`: the average rank of the value among all rows or in its group of `by`; null for a null. df is stored once."""
+    df = checkpointed(df)
+    rank = (F.col("_le") - (F.col("_c") - 1) / 2).alias(name)
+    return _with(df, positions(df, value, by).select(*(by or []), value, rank), [*(by or []), value])
+
+
+def step_up(df: DataFrame, p: str = "p", by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """(by..., p, adjusted) for each distinct p-value: the least of p' * n / rank(p') over all p' >= p, at most 1; rank counts the p-values that are
+    as low, so ties share the last of their ranks. Null p-values do not count.
+
+    The least ratio from a value on is the least in its range of positions() and in later ranges, which are told as an array.
+    """
     by = by or []
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(p))
-    df = df.withColumn("_s", F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(*by)) / rank)
-    least = F.min("_s").over(Window.partitionBy(*by).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("adjusted", F.least(least, F.lit(1.0))).drop("_s")
+    inside = Window.partitionBy(*by, "_range")
+    # The ratios are read twice, as the least of ranges and one by one: they are stored in between.
+    d = checkpointed(positions(df, p, by, ranges).select(*by, p, "_range", (F.col(p) * F.col("_n") / F.col("_le")).alias("_s")))
+    least = d.groupBy(*by, "_range").agg(F.min("_s").alias("_l")).groupBy(*by).agg(F.collect_list(F.struct("_range", "_l")).alias("_least"))
+    later = F.array_min(F.transform(F.filter("_least", lambda x: x["_range"] > F.col("_range")), lambda x: x["_l"]))
+    here = F.min("_s").over(inside.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    return _with(d, least, by).withColumn("adjusted", F.least(here, later, F.lit(1.0))).select(*by, p, "adjusted")
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """Add `adjusted`: the step-up correction of p, in each group of `by` or over all rows; null for a null p. df is stored once, since the
+    distinct p-values are made of it and joined to it."""
+    df = checkpointed(df)
+    return _with(df, step_up(df, p, by), [*(by or []), p])
+
+
+def _whole(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """df and aggregates over all rows or over its group."""
+    return _with(df, df.groupBy(*by).agg(*(v.alias(k) for k, v in values.items())), by)
 
 
 def two_stage(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Add `adjusted`: two-stage step-up. The share of true nulls is what the first pass, at alpha / (1 + alpha),
     does not reject; the corrected values are multiplied by it. Nothing or everything rejected: as the first pass."""
     by = by or []
-    w = Window.partitionBy(*by)
-    df = benjamini_hochberg(df, p, by)
-    kept = F.avg(F.when(F.col("adjusted") > alpha / (1 + alpha), 1.0).otherwise(0.0)).over(w)
-    factor = F.when((kept == 0) | (kept == 1), F.lit(1.0)).otherwise(kept * (1 + alpha))
-    return df.withColumn("_f", factor).withColumn("adjusted", F.greatest(F.least(F.col("adjusted") * F.col("_f"), F.lit(1.0)), F.col(p))).drop("_f")
+    df = _whole(benjamini_hochberg(df, p, by), by, _kept=F.avg((F.col("adjusted") > alpha / (1 + alpha)).cast("double")))
+    factor = F.when((F.col("_kept") == 0) | (F.col("_kept") == 1), F.lit(1.0)).otherwise(F.col("_kept") * (1 + alpha))
+    adjusted = F.greatest(F.least(F.col("adjusted") * factor, F.lit(1.0)), F.col(p))
+    return df.withColumn("adjusted", F.when(F.col(p).isNotNull(), adjusted)).drop("_kept")
 
 
 def correct_multiple_testing(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Add `adjusted` and `significant`: two-stage step-up; if it leaves more than 90 % of the rows below alpha,
     min(p * n, 1) and Bonferroni's own level, 0.05 / n, instead (as the reference does)."""
-    w = Window.partitionBy()
-    df = two_stage(df, p).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_many", F.avg((F.col("adjusted") < alpha).cast("double")).over(w) > 0.9)
-    df = df.withColumn("adjusted", F.when(F.col("_many"), F.least(F.col(p) * F.col("_n"), F.lit(1.0))).otherwise(F.col("adjusted")))
-    return df.withColumn("significant", F.col("adjusted") < F.when(F.col("_many"), 0.05 / F.col("_n")).otherwise(alpha)).drop("_n", "_many")
+    df = _whole(two_stage(df, p), [], _n=F.count(F.lit(1)), _share=F.avg((F.col("adjusted") < alpha).cast("double")))
+    many = F.col("_share") > 0.9
+    df = df.withColumn("adjusted", F.when(many, F.least(F.col(p) * F.col("_n"), F.lit(1.0))).otherwise(F.col("adjusted")))
+    return df.withColumn("significant", F.col("adjusted") < F.when(many, 0.05 / F.col("_n")).otherwise(alpha)).drop("_n", "_share")
 
 
 def true_null_share(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -121,7 +182,7 @@ def true_null_share(df: DataFrame, p: str = "p", alpha: float = 0.05, by: list[s
 def grouped_two_stage(df: DataFrame, by: str, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Add `adjusted` and `significant`: corrections inside groups at levels alpha / max(pi0, 0.3)."""
     shares = true_null_share(df, p, alpha, [by])
-    out = benjamini_hochberg(df, p, [by]).join(shares, by)
+    out = _with(benjamini_hochberg(df, p, [by]), shares, [by])
     return out.withColumn("level", F.lit(alpha) / F.greatest("pi0", F.lit(0.3))).withColumn("significant", F.col("adjusted") <= F.col("level"))
 
 
