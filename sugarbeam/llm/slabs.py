@@ -23,9 +23,14 @@ HELD = 1 << 21
 SCHEMA = "slab int, mapper int, at binary, n binary"
 
 
-def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """values[cuts[i]:cuts[i+1]] as bytes for each i."""
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+def _planes(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """values[cuts[i]:cuts[i+1]] for each i with all lowest bytes first, then all second ones and so on, which compresses well."""
+    raw = values.view(np.uint8).reshape(len(values), -1)
+    return pa.array([np.ascontiguousarray(raw[a:b].T).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def _read(data: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def parts(keys: np.ndarray, counts: np.ndarray, mapper: int) -> pa.RecordBatch:
@@ -33,7 +38,7 @@ def parts(keys: np.ndarray, counts: np.ndarray, mapper: int) -> pa.RecordBatch:
     slab = keys // SLAB
     cuts = np.append(np.flatnonzero(np.diff(slab, prepend=-1)), len(keys))
     m = len(cuts) - 1
-    return pa.RecordBatch.from_arrays([pa.array(slab[cuts[:-1]].astype(np.int32)), pa.array(np.full(m, mapper, np.int32)), _binary((keys % SLAB).astype(np.uint16), cuts), _binary(counts.astype(np.int64), cuts)], ["slab", "mapper", "at", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(slab[cuts[:-1]].astype(np.int32)), pa.array(np.full(m, mapper, np.int32)), _planes((keys % SLAB).astype(np.uint16), cuts), _planes(counts.astype(np.int64), cuts)], ["slab", "mapper", "at", "n"])
 
 
 class Tally:
@@ -64,7 +69,7 @@ def dense(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield parts(keys, counts[keys], TaskContext.get().partitionId())
 
 
-def _level(rows: DataFrame, finish: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+def _level(rows: DataFrame, tasks: int, finish: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(SLAB, np.int64)
 
@@ -82,10 +87,11 @@ def _level(rows: DataFrame, finish: Callable[[np.ndarray], np.ndarray] | None) -
                 if (slab, mapper) != now:
                     yield from close()
                     now, total = (slab, mapper), np.zeros(SLAB, np.int64)
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+                total[_read(at, np.uint16)] += _read(n, np.int64)
         yield from close()
 
-    return rows.repartition("slab", "mapper").sortWithinPartitions("slab", "mapper").transform(in_batches).mapInArrow(trimmed(run), SCHEMA if finish is None else "slab int, data binary")
+    # No more tasks than arrays come in: a row's slab and mapper stay together when partitions are put together.
+    return rows.repartition("slab", "mapper").sortWithinPartitions("slab", "mapper").coalesce(tasks).transform(in_batches).mapInArrow(trimmed(run), SCHEMA if finish is None else "slab int, data binary")
 
 
 def tree_sum(rows: DataFrame, size: int, dtype: type, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -93,8 +99,8 @@ def tree_sum(rows: DataFrame, size: int, dtype: type, finish: Callable[[np.ndarr
     counts in is zero. The result's size is fixed by `size`."""
     mappers = rows.rdd.getNumPartitions()
     while True:
-        mappers = -(-mappers // FAN)
-        rows = _level(rows.withColumn("mapper", F.floor(F.col("mapper") / FAN).cast("int")), None if mappers > 1 else finish)
+        tasks, mappers = max(6, mappers), -(-mappers // FAN)
+        rows = _level(rows.withColumn("mapper", F.floor(F.col("mapper") / FAN).cast("int")), tasks, None if mappers > 1 else finish)
         if mappers <= 1:
             break
     slabs = -(-size // SLAB)
