@@ -241,17 +241,20 @@ def multi_feature_score(df: DataFrame, strength: float = 1.0) -> tuple[list[str]
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    names = [r["feature"] for r in df.select("feature").distinct().orderBy("feature").collect()]
-    rows = df.groupBy("sample", F.col("grp").cast("double").alias("label")).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
+    from sugarbeam.operators.networks import numbered_names
+
+    ids = numbered_names(df, "feature")
+    rows = df.join(ids, "feature").groupBy("sample", F.col("grp").cast("double").alias("label")).agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("x"))
+    rows = checkpointed(rows.select("label", F.transform("x", lambda c: c["value"]).alias("x")))
     n = rows.count()
-    vec = lambda keep: array_to_vector(F.transform(F.filter("x", lambda c: c["feature"].isin(*keep)), lambda c: c["value"]))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=1 / (strength * n), standardization=False, maxIter=200).fit(rows.select("label", vec(names).alias("features")))
-    keep = [f for f, w in zip(names, lasso.coefficients.toArray(), strict=True) if abs(w) > 1e-5]
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=1 / (strength * n), standardization=False, maxIter=200).fit(rows.select("label", array_to_vector("x").alias("features")))
+    keep = [i for i, w in enumerate(lasso.coefficients.toArray()) if abs(w) > 1e-5]
     if not keep:
         return [], 0.5
-    data = rows.select("label", vec(keep).alias("features"))
+    data = rows.select("label", array_to_vector(F.transform(F.lit(keep), lambda i: F.get("x", i))).alias("features"))
     ridge = LogisticRegression(elasticNetParam=0.0, regParam=1 / (strength * n), standardization=False, maxIter=200).fit(data)
-    return keep, float(BinaryClassificationEvaluator().evaluate(ridge.transform(data)))
+    names = [r["feature"] for r in ids.where(F.col("id").isin(keep)).orderBy("id").collect()]
+    return names, float(BinaryClassificationEvaluator().evaluate(ridge.transform(data)))
 
 
 def model_table(models: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -265,28 +268,75 @@ def model_table(models: DataFrame, alpha: float = 0.05) -> DataFrame:
     return d.withColumn("significant", F.col("adjusted") < F.when(F.col("_many"), 0.05 / F.col("_n")).otherwise(alpha)).drop("_many", "_n")
 
 
+#: Features of a block of the matrix of pairs, and pairs that are worked on at once.
+BLOCK = 64
+PAIRS = 256
+
+
+def _block_pairs(vectors: DataFrame, run, schema: str) -> DataFrame:
+    """run(rows, i, j) for each pair i <= j of blocks of features; rows (feature, id, ...) are those of both blocks. A block goes to as many tasks as there
+    are blocks, and a task holds two."""
+    blocks = vectors.agg(F.max("id")).first()[0]
+    blocks = 0 if blocks is None else blocks // BLOCK + 1
+    own = F.floor(F.col("id") / BLOCK)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long")))
+    dealt = vectors.withColumn("_other", other).withColumn("i", F.least(own, "_other")).withColumn("j", F.greatest(own, "_other")).drop("_other")
+    return dealt.groupBy("i", "j").applyInPandas(lambda key, pdf: run(pdf, int(key[0]), int(key[1])), schema)
+
+
+def _index_pairs(pdf: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(rows by feature, u, v): places of the pairs u < v of one block with the other, or of a block with itself."""
+    pdf = pdf.sort_values("feature").reset_index(drop=True)
+    block = pdf["id"].to_numpy() // BLOCK
+    u, v = np.triu_indices(len(pdf), 1)
+    keep = (block[u] != block[v]) if i != j else np.ones(len(u), bool)
+    return pdf, u[keep], v[keep]
+
+
 def partial_correlations(df: DataFrame, threshold: float = 0.2, alpha: float = 0.25) -> DataFrame:
     """(x, y, r, p) of each pair x < y: Spearman's correlation of what ridge regressions on other features leave of them. The controls of a feature
-    are the first of those whose correlation with it exceeds the threshold, a fifth of the samples at most and five at most. A feature's row
-    carries its controls' values, so pairs are joined on samples' positions alone."""
+    are the first of those whose correlation with it exceeds the threshold, a fifth of the samples at most and five at most.
+
+    Features are cut into blocks, and each pair of blocks is one group: it first finds which features correlate, then, with the controls' values in
+    each feature's row, the partial correlations of its pairs, as products of matrices for many pairs at once.
+    """
     from sugarbeam.operators import multivariate as mv
-    from sugarbeam.operators import series as se
+    from sugarbeam.operators.networks import numbered_names
 
     most = min(df.select("sample").distinct().count() // 5, 5)
     vec = df.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda c: c["value"]).alias("v"))
-    near = se.correlations(df, df, rank=False).where((F.col("x") != F.col("y")) & (F.abs("r") > threshold))
+    vec = checkpointed(vec.join(numbered_names(vec, "feature"), "feature"))
+
+    def close(pdf: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+        pdf, u, v = _index_pairs(pdf, i, j)
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        x = x - x.mean(axis=1, keepdims=True)
+        size = np.sqrt((x * x).sum(1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = (x @ x.T / np.outer(size, size))[u, v]
+        keep = np.abs(r) > threshold  # of features that do not vary it is no number
+        names = pdf["feature"].to_numpy()
+        return pd.DataFrame({"x": np.concatenate([names[u[keep]], names[v[keep]]]), "y": np.concatenate([names[v[keep]], names[u[keep]]])})
+
+    near = _block_pairs(vec, close, "x string, y string")
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("y"))).where(F.col("k") <= most)
-    held = near.join(vec.withColumnRenamed("feature", "y"), "y").groupBy("x").agg(F.collect_list(F.struct("y", "v")).alias("controls"))
-    rows = vec.join(held, vec["feature"] == held["x"], "left").select("feature", "v", "controls")
-    a, b = (rows.select(F.col("feature").alias(n), F.col("v").alias(f"v{n}"), F.col("controls").alias(f"c{n}"), F.lit(1).alias("one")) for n in ("x", "y"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x, y, u, v, p, q in zip(pdf["x"], pdf["y"], pdf["vx"], pdf["vy"], pdf["cx"], pdf["cy"], strict=True):
-                got = {c["y"]: c["v"] for c in [*(p if p is not None else []), *(q if q is not None else [])] if c["y"] not in (x, y)}
-                z = np.array([got[k] for k in sorted(got)], float).T if got else np.zeros((len(u), 0))
-                out.append((x, y, *mv.partial_correlation(np.array(u, float), np.array(v, float), z, alpha)))
-            yield pd.DataFrame(out, columns=["x", "y", "r", "p"])
-
-    return a.join(b, F.col("x") < F.col("y")).drop("one").mapInPandas(run, "x string, y string, r double, p double")
+    held = near.join(vec.select(F.col("feature").alias("y"), F.col("v").alias("w")), "y").groupBy(F.col("x").alias("feature")).agg(F.array_sort(F.collect_list(F.struct("y", "w"))).alias("controls"))
+    rows = checkpointed(vec.join(held, "feature", "left"))
+
+    def run(pdf: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+        pdf, u, v = _index_pairs(pdf, i, j)
+        names, x = pdf["feature"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(float)
+        own = [{c["y"]: c["w"] for c in cs} if cs is not None else {} for cs in pdf["controls"]]
+        out = []
+        for s in range(0, len(u), PAIRS):
+            a, b = u[s : s + PAIRS], v[s : s + PAIRS]
+            z = np.zeros((len(a), x.shape[1], max(2 * most, 1)))
+            for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                got = {n: w for n, w in {**own[p], **own[q]}.items() if n not in (names[p], names[q])}
+                for c, n in enumerate(sorted(got)):
+                    z[k, :, c] = got[n]
+            r, chance = mv.partial_correlations(x[a], x[b], z, alpha)
+            out.append(pd.DataFrame({"x": names[a], "y": names[b], "r": r, "p": chance}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["x", "y", "r", "p"])
+
+    return _block_pairs(rows, run, "x string, y string, r double, p double")

@@ -139,6 +139,32 @@ def partial_correlation(x: np.ndarray, y: np.ndarray, controls: np.ndarray, alph
     return r, float(special.t_two_sided(r * np.sqrt((n - 2) / max(1 - r * r, 1e-300)), n - 2.0)) if n > 2 else 1.0
 
 
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks inside each row."""
+    less, same = (x[:, :, None] > x[:, None, :]).sum(2), (x[:, :, None] == x[:, None, :]).sum(2)
+    return less + (same + 1) / 2
+
+
+def partial_correlations(x: np.ndarray, y: np.ndarray, controls: np.ndarray, alpha: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+    """partial_correlation for many pairs at once: x and y are pairs by samples, controls pairs by samples by the most controls of a pair, with columns
+    of zeros for those that a pair lacks; they get a weight of 0."""
+    z = controls - controls.mean(axis=1, keepdims=True)
+    inverse = np.linalg.inv(np.einsum("pnk,pnl->pkl", z, z) + alpha * np.eye(z.shape[2]))
+    ranked = []
+    for v in (x, y):
+        b = np.einsum("pkl,pnl,pn->pk", inverse, z, v - v.mean(axis=1, keepdims=True), optimize=True)
+        ranked.append(average_ranks(v - np.einsum("pnk,pk->pn", controls, b)))
+    a, b = (r - r.mean(axis=1, keepdims=True) for r in ranked)
+    sa, sb = (a * a).sum(1), (b * b).sum(1)
+    n = x.shape[1]
+    flat = (sa == 0) | (sb == 0)
+    r = np.where(flat, 0.0, (a * b).sum(1) / np.sqrt(np.where(flat, 1.0, sa * sb)))
+    if n <= 2:
+        return r, np.ones(len(r))
+    p = special.t_two_sided(r * np.sqrt((n - 2) / np.maximum(1 - r * r, 1e-300)), n - 2.0)
+    return r, np.where(flat, 1.0, p)
+
+
 def dirichlet_clr(values: np.ndarray, instances: int, seed: int) -> np.ndarray:
     """instances x features: centred log ratios of draws from the posterior of one sample's composition."""
     draws = np.random.default_rng(seed).dirichlet(values + 0.5, instances)
@@ -224,16 +250,6 @@ def louvain(edges: list[tuple[str, str]], seed: int = 0) -> dict[str, int]:
     return dict(zip(nodes, label, strict=True))
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(network, node, community) of each network of edges (network, src, dst)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = louvain(list(pdf[["src", "dst"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"network": str(pdf["network"].iloc[0]), "node": list(got), "community": list(got.values())})
-
-    return edges.groupBy("network").applyInPandas(run, "network string, node string, community int")
-
-
 def single_linkage(names: list[str], distance: Callable[[str, str], float]) -> list[tuple[str, str, float]]:
     """Merges (a, b, height) of the nearest clusters, named by their smallest member; distances are few, one for each pair of labels."""
     pairs = sorted((distance(a, b), a, b) for i, a in enumerate(names) for b in names[i + 1 :])

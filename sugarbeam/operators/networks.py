@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,14 +147,11 @@ def max_flow(edges: list[tuple[str, str, float]], source: str, sink: str) -> tup
 
 
 def maximum_flows(edges: DataFrame, source: str, sinks: list[str]) -> DataFrame:
-    """(network, sink, flow): greatest flow from the source to each sink in each network of edges (network, src, dst, capacity)."""
+    """(network, sink, flow): greatest flow from the source to each sink in each network of edges (network, src, dst, capacity), by rounds over the
+    edges of all networks."""
+    from sugarbeam.operators import graphs
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["src", "dst", "capacity"]].itertuples(index=False, name=None))
-        net = pdf["network"].iloc[0]
-        return pd.DataFrame([(net, s, max_flow(rows, source, s)[0]) for s in sinks], columns=["network", "sink", "flow"])
-
-    return edges.groupBy("network").applyInPandas(run, "network string, sink string, flow double")
+    return graphs.maximum_flow(edges, source, edges.select("network").distinct().withColumn("sink", F.explode(F.lit(sinks))))[0]
 
 
 def jaccard_distances(members: DataFrame) -> DataFrame:

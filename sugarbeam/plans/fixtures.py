@@ -114,3 +114,64 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, abundance): all parts in 50 classes, as many as `edges` has nodes; the money of those that vertices() counts."""
     part = table(spark, sf_dir, "part").withColumn("x", F.when(F.col("p_size") % 3 == 0, F.lit(0.0)).otherwise(F.col("p_retailprice")))
     return part.groupBy(F.concat(F.lit("n"), F.col("p_partkey") % 50).alias("node")).agg(money("x").alias("abundance"))
+
+
+#: Residues and linkages that chains are made of.
+CHAIN = ["Gal", "GlcNAc", "Man", "Fuc", "Neu5Ac", "Glc"]
+BONDS = ["b1-4", "b1-3", "a1-2", "a2-3", "a1-6"]
+#: Classes of the residues, for chains that leave some open.
+KINDS = ["Hex", "HexNAc", "Hex", "dHex", "Sia", "Hex"]
+
+
+def _pick(values: list[str], k) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def chains(spark: SparkSession, sf_dir: str, open_: bool = False) -> DataFrame:
+    """(id, glycan): a chain of 3 to 6 residues for each part, from its key and size; open_: every eleventh residue is a class and every seventh bond
+    unknown."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("s"))
+
+    def piece(j: int):
+        k = F.floor(F.col("id") / (j + 1)) + F.col("s") * j
+        name, bond = _pick(CHAIN, k), _pick(BONDS, F.col("id") + F.col("s") * j + j)
+        if open_:
+            name = F.when((F.col("id") + j) % 11 == 0, _pick(KINDS, k)).otherwise(name)
+            bond = F.when((F.col("id") + j) % 7 == 0, F.lit("?1-?")).otherwise(bond)
+        last = F.lit(j) == F.col("s") % 4 + 2
+        return F.when(F.lit(j) > F.col("s") % 4 + 2, F.lit("")).when(last, name).otherwise(F.concat(name, F.lit("("), bond, F.lit(")")))
+
+    return part.select("id", F.concat(*map(piece, range(6))).alias("glycan"))
+
+
+def chain_sql(open_: bool = False) -> str:
+    """ch(id, glycan, rs, ls): the chains with their residues and bonds as lists."""
+    names = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
+    pick = lambda v, k: f"{names(v)}[({k}) % {len(v)} + 1]"
+    k = "p_partkey // (j + 1) + p_size * j"
+    name, bond = pick(CHAIN, k), pick(BONDS, "p_partkey + p_size * j + j")
+    if open_:
+        name, bond = f"CASE WHEN (p_partkey + j) % 11 = 0 THEN {pick(KINDS, k)} ELSE {name} END", f"CASE WHEN (p_partkey + j) % 7 = 0 THEN '?1-?' ELSE {bond} END"
+    return f"""ch0 AS (SELECT p_partkey AS id, list_transform(range(0, p_size % 4 + 3), lambda j: {name}) AS rs, list_transform(range(0, p_size % 4 + 2), lambda j: {bond}) AS ls FROM part),
+ch AS (SELECT id, rs, ls, array_to_string(list_transform(range(1, len(rs)), lambda i: rs[i] || '(' || ls[i] || ')'), '') || rs[len(rs)] AS glycan FROM ch0)"""
+
+
+def chain_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, motif, termini): two residues for each supplier, three for odd keys."""
+    k = F.col("s_suppkey").cast("long")
+    a, b, c = (_pick(CHAIN, F.floor(k / d)) for d in (1, 6, 4))
+    x, y = (_pick(BONDS, F.floor(k / d)) for d in (3, 2))
+    text = F.concat(a, F.lit("("), x, F.lit(")"), b, F.when(k % 2 == 1, F.concat(F.lit("("), y, F.lit(")"), c)).otherwise(F.lit("")))
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("name"), text.alias("motif"), F.lit(None).cast("array<string>").alias("termini"))
+
+
+def _at(values: list[str], k: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + f"][({k}) % {len(values)} + 1]"
+
+
+CHAIN_MOTIFS = f"""mt AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, {_at(CHAIN, "s_suppkey")} AS a, {_at(CHAIN, "s_suppkey // 6")} AS b, CASE WHEN s_suppkey % 2 = 1 THEN {_at(CHAIN, "s_suppkey // 4")} END AS c,
+  {_at(BONDS, "s_suppkey // 3")} AS x, {_at(BONDS, "s_suppkey // 2")} AS y FROM supplier)"""
+#: oc(glycan, name, i): where each motif begins in each distinct chain.
+OCCURRENCES = f"""{CHAIN_MOTIFS}, {chain_sql()},
+pl AS (SELECT glycan, rs, ls, unnest(range(1, len(rs))) AS i FROM (SELECT DISTINCT glycan, rs, ls FROM ch)),
+oc AS (SELECT glycan, name, i, CASE WHEN c IS NULL THEN 2 ELSE 3 END AS size, rs FROM pl JOIN mt ON rs[i] = a AND ls[i] = x AND rs[i + 1] = b AND (c IS NULL OR (i + 2 <= len(rs) AND ls[i + 1] = y AND rs[i + 2] = c)))"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sugarbeam.operators import abundance as ab
 from sugarbeam.operators import diversity as dv
+from sugarbeam.operators import graphs
 from sugarbeam.operators import multivariate as mv
 from sugarbeam.operators import networks as nw
 from sugarbeam.operators import series as se
@@ -295,7 +296,7 @@ def time_series_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.rhythm(fx.monthly(spark, sf_dir), [6, 12])
+    return se.rhythm(fx.monthly(spark, sf_dir), [6, 12]).drop("p")
 
 
 @query(f"""{CLR}, rk AS (SELECT feature, sample, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS v FROM cl)
@@ -431,7 +432,7 @@ def monte_carlo_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def network_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mv.communities(fx.edges(spark, sf_dir).select(F.col("diffs").alias("network"), "src", "dst"))
+    return graphs.communities(fx.edges(spark, sf_dir).select(F.col("diffs").alias("network"), "src", "dst"))
 
 
 @query()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +26,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_clean)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder and a scan of it, whose plan knows nothing of df's: what an optimizer infers from a plan would add up over
+    many rounds of checkpoints. Tables are deleted when the driver's Python ends."""
+    path = f"{shared_folder(df.sparkSession)}/sugarbeam/{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
