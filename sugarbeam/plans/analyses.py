@@ -18,7 +18,6 @@ from sugarbeam.operators import series as se
 from sugarbeam.operators import testing as te
 from sugarbeam.plans import fixtures as fx
 from sugarbeam.plans.registry import CLR, MOMENTS, PAIRS, _anova, _paired, query, rounded
-from sugarbeam.plans.structures import answers
 from sugarbeam.sources import tables
 from sugarbeam.sources.store import shared_folder
 
@@ -294,10 +293,10 @@ def network_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = "Gal(b1-4)Glc-ol"
 
 
-@query(answers("node, lacking", [(f"Gal(b1-3)GlcNAc(b1-3){_L}", 1)]))
+@query(fx.answers("node, lacking", [(f"Gal(b1-3)GlcNAc(b1-3){_L}", 1)], each=False))
 def network_leaves_towards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Towards Hex3HexNAc1dHex1 one leaf lacks one part, one lacks three, and one has a part too many."""
-    nodes = spark.createDataFrame([(f"Gal(b1-3)GlcNAc(b1-3){_L}",), (_L,), (f"Neu5Ac(a2-3){_L}",)], "node string")
+    nodes = fx.dealt(spark, sf_dir, [(f"Gal(b1-3)GlcNAc(b1-3){_L}",), (_L,), (f"Neu5Ac(a2-3){_L}",)], "node string").distinct()
     return bio.leaves_towards(nodes, {"Hex": 3, "HexNAc": 1, "dHex": 1})
 
 
@@ -336,7 +335,7 @@ def synthesis_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 LECTINS = [("Man(a1-3)Man", "ConA_2, cona_1", "up", round((2.0 * 0.5 + 1.0 * 0.4) / 2 * 0.64, 2)), ("Neu5Ac(a2-6)Gal", "sna", "down", 3.0)]
 
 
-@query(answers("motif, lectins, change, score", LECTINS))
+@query(fx.answers("motif, lectins, change, score", LECTINS, each=False))
 def lectin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     effects = spark.createDataFrame([("cona_1", "ConA", 2.0, 0.5), ("ConA_2", "ConA", 1.0, 0.4), ("sna", "SNA", -3.0, 2.0)], "lectin string, name string, effect double, idf double")
     bound = spark.createDataFrame([("ConA", "Man(a1-3)Man", 0, 2), ("SNA", "Neu5Ac(a2-6)Gal", 1, 1)], "name string, motif string, class int, specificity int")

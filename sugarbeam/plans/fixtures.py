@@ -175,3 +175,42 @@ CHAIN_MOTIFS = f"""mt AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, {_at(CHAIN,
 OCCURRENCES = f"""{CHAIN_MOTIFS}, {chain_sql()},
 pl AS (SELECT glycan, rs, ls, unnest(range(1, len(rs))) AS i FROM (SELECT DISTINCT glycan, rs, ls FROM ch)),
 oc AS (SELECT glycan, name, i, CASE WHEN c IS NULL THEN 2 ELSE 3 END AS size, rs FROM pl JOIN mt ON rs[i] = a AND ls[i] = x AND rs[i + 1] = b AND (c IS NULL OR (i + 2 <= len(rs) AND ls[i + 1] = y AND rs[i + 2] = c)))"""
+
+
+def branched(spark: SparkSession, sf_dir: str, known: list[str]) -> DataFrame:
+    """(glycan): for each part one of the sequences `known`, with up to three residues more before it; each text once."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("s"))
+
+    def piece(j: int):
+        more = F.concat(_pick(CHAIN, F.floor(F.col("id") / (j + 1)) + F.col("s") * j), F.lit("("), _pick(BONDS, F.col("id") + F.col("s") * j + j), F.lit(")"))
+        return F.when(F.lit(j) < F.col("s") % 4, more).otherwise(F.lit(""))
+
+    return part.select(F.concat(*map(piece, range(3)), _pick(known, F.floor(F.col("id") / 4))).alias("glycan")).distinct()
+
+
+def branched_sql(known: list[str]) -> str:
+    """gl(glycan), as `branched` makes it."""
+    more = f"{_at(CHAIN, 'p_partkey // (j + 1) + p_size * j')} || '(' || {_at(BONDS, 'p_partkey + p_size * j + j')} || ')'"
+    return f"gl AS (SELECT DISTINCT array_to_string(list_transform(range(0, p_size % 4), lambda j: {more}), '') || {_at(known, 'p_partkey // 4')} AS glycan FROM part)"
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """One of `rows` (a short list of cases) for each part, by its key: what is called on it runs as often as there are parts."""
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {schema}")
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") % len(rows)).cast("int").alias("_i"))
+    return part.join(F.broadcast(cases), "_i").drop("_i")
+
+
+def answers(columns: str, rows: list[tuple], each: bool = True) -> str:
+    """SQL of a table of answers: one for each part, as `dealt` gives the cases, or (each: false) every one once."""
+
+    def lit(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+    values = ", ".join("(" + ", ".join(map(lit, (i, *r))) + ")" for i, r in enumerate(rows))
+    of = f" JOIN part ON p_partkey % {len(rows)} = _i" if each else ""
+    return f"SELECT {columns} FROM (VALUES {values}) t(_i, {columns}){of}"

@@ -46,28 +46,17 @@ f AS (SELECT c.glycan, c.w || p.w || q.name AS fragment FROM x c JOIN x p ON p.g
 UNION ALL SELECT a.glycan, a.w || '[' || b.w || ']' || p.name FROM x a JOIN x b ON b.glycan = a.glycan AND b.parent = a.parent AND a.i <> b.i AND (a.pos < b.pos OR (a.pos = b.pos AND (a.link < b.link OR (a.link = b.link AND (a.w < b.w OR (a.w = b.w AND a.i < b.i)))))) JOIN x p ON p.glycan = a.glycan AND p.i = a.parent)
 SELECT glycan, fragment, CAST(count(*) AS INTEGER) AS n FROM f GROUP BY ALL""")
 # By hand: the longest chain goes on outside of brackets, then the branch at the smaller position; one sequence is written otherwise.
-replace_sql("glycan_canonical", f"WITH {VALUES} SELECT glycan, CASE glycan WHEN 'GalNAc(b1-4)[Neu5Ac(a2-3)]Gal(b1-4)Glc1Cer' THEN 'Neu5Ac(a2-3)[GalNAc(b1-4)]Gal(b1-4)Glc1Cer' ELSE glycan END AS canonical FROM gl")
+_OTHERWISE = {"GalNAc(b1-4)[Neu5Ac(a2-3)]Gal(b1-4)Glc1Cer": "Neu5Ac(a2-3)[GalNAc(b1-4)]Gal(b1-4)Glc1Cer"}
+replace_sql("glycan_canonical", fx.answers("glycan, canonical", [(s, _OTHERWISE.get(s, s)) for s in SEQUENCES]))
 replace_sql("rhythm", f"""WITH {fx.MONTHLY}, ph AS (SELECT period, unnest(range(0, period)) AS phase FROM (VALUES (6), (12)) t(period)), w AS (SELECT feature, time, value, period, phase, cos(2 * pi() * (time - phase) / period) AS c FROM mo, ph),
 p AS (SELECT a.feature, a.period, a.phase, sign(b.value - a.value) AS sy, sign(round(b.c - a.c, 9)) AS sw FROM w a JOIN w b ON a.feature = b.feature AND a.period = b.period AND a.phase = b.phase AND a.time < b.time),
 t AS (SELECT feature, period, phase, CAST(sum(sy * sw) AS DOUBLE) AS s, CAST(sum(sy * sw) AS DOUBLE) / sum(abs(sw)) AS tau FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tau DESC, period, phase) AS k FROM t)
 SELECT feature, CAST(period AS INTEGER) AS period, CAST(phase AS DOUBLE) AS phase, tau, s FROM r WHERE k = 1""")
 
 
-def answers(columns: str, rows: list[tuple]) -> str:
-    """SQL of a table of answers."""
-
-    def lit(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).lower()
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({columns})"
-
-
-def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def table(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The cases that the parts are dealt, each once: for what works on a set of sequences."""
+    return fx.dealt(spark, sf_dir, rows, schema).distinct()
 
 
 # Own cases of the class rules, with the classes that follow from the table of reducing ends.
@@ -78,18 +67,18 @@ CLASS_CASES = [
 ]
 
 
-@query(answers("glycan, class", CLASS_CASES))
+@query(fx.answers("glycan, class", CLASS_CASES))
 def class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, [(a,) for a, _ in CLASS_CASES], "glycan string").select("glycan", c.sequence_class(F.col("glycan")).alias("class"))
+    return fx.dealt(spark, sf_dir, [(a,) for a, _ in CLASS_CASES], "glycan string").select("glycan", c.sequence_class(F.col("glycan")).alias("class"))
 
 
 SUITS = [("Gal(b1-3)GalNAc", True, False, False), ("Man(b1-4)GlcNAc(b1-4)GlcNAc", False, True, False), ("Gal(b1-4)Glc-ol", False, False, True), ("Gal(b1-4)Glc1Cer", False, False, True), ("Gal(b1-4)GlcNAc", True, True, True), ("Xyl(b1-4)Xyl", False, False, False)]
 
 
-@query(answers("glycan, o, n, free", SUITS))
+@query(fx.answers("glycan, o, n, free", SUITS))
 def class_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("glycan")
-    return table(spark, [(r[0],) for r in SUITS], "glycan string").select("glycan", *(strings.has_class(x, k).alias(k.lower()) for k in ("O", "N", "free")))
+    return fx.dealt(spark, sf_dir, [(r[0],) for r in SUITS], "glycan string").select("glycan", *(strings.has_class(x, k).alias(k.lower()) for k in ("O", "N", "free")))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN len(string_split(p_name, 'e')) > 2 THEN CAST(length(p_name) - length(string_split(reverse(p_name), 'e')[1]) - 1 - length(string_split(reverse(p_name), 'e')[2]) - 1 AS INTEGER) ELSE -1 END AS place FROM part")
@@ -100,19 +89,19 @@ def find_from_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 BRACKETS = [("Gal(b1-3)[Fuc(a1-4)]GlcNAc", "Gal(b1-3)[Fuc(a1-4)]GlcNAc", 0, 1), ("[Fuc(a1-4)GlcNAc", "Fuc(a1-4)GlcNAc", 0, 0), ("Fuc(a1-4)]GlcNAc]", "Fuc(a1-4)GlcNAc", 0, 0), ("[a[b(c)]d]e", "[a[b(c)]d]e", 1, 2), ("]a[", "a", 0, 0)]
 
 
-@query(answers("text, matched, content, pairs", BRACKETS))
+@query(fx.answers("text, matched, content, pairs", BRACKETS))
 def bracket_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
-    d = table(spark, [(r[0],) for r in BRACKETS], "text string")
+    d = fx.dealt(spark, sf_dir, [(r[0],) for r in BRACKETS], "text string")
     return d.select("text", c._mapped(strings.matched_brackets_only, "string")(x).alias("matched"), c._mapped(strings.nested_content, "int")(x).alias("content"), c._mapped(lambda t: len(strings.matching_brackets(t, "[", "]")), "int")(x).alias("pairs"))
 
 
 REPEATS = [("Glc(b1-3)Gal(b1-4)Glc", "Glc(b1-3)Gal(b1-4)", True), ("Glc(b1-3)Gal(b1-4)Glc", "Gal(b1-4)Glc(b1-3)", True), ("Glc(b1-3)Gal(b1-4)Glc", "Gal(b1-3)Glc(b1-4)", False), ("Xyl(b1-4)", "Xyl(b1-4)", True)]
 
 
-@query(answers("a, b, same", REPEATS))
+@query(fx.answers("a, b, same", REPEATS))
 def repeat_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, [r[:2] for r in REPEATS], "a string, b string").select("a", "b", strings.equal_repeats(F.col("a"), F.col("b")).alias("same"))
+    return fx.dealt(spark, sf_dir, [r[:2] for r in REPEATS], "a string, b string").select("a", "b", strings.equal_repeats(F.col("a"), F.col("b")).alias("same"))
 
 
 # Own cases of the shorthand forms, each read by hand.
@@ -125,7 +114,7 @@ FORMS = [
 ]
 
 
-@query(answers("form, text, condensed", FORMS))
+@query(fx.answers("form, text, condensed", FORMS))
 def shorthand_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
     how = {
@@ -135,7 +124,7 @@ def shorthand_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for k, v in how.items():
         out = F.when(F.col("form") == k, v) if out is None else out.when(F.col("form") == k, v)
-    return table(spark, [r[:2] for r in FORMS], "form string, text string").select("form", "text", out.alias("condensed"))
+    return fx.dealt(spark, sf_dir, [r[:2] for r in FORMS], "form string, text string").select("form", "text", out.alias("condensed"))
 
 
 _KCF = "ENTRY G1 Glycan\nNODE 4\n1 GlcNAc 0 0\n2 Gal -8 1\n3 Fuc -8 -1\n4 Neu5Ac -16 1\nEDGE 3\n1 2:b1 1:4\n2 3:a1 1:3\n3 4:a2 2:3\n///"
@@ -144,11 +133,11 @@ _GWB = "freeEnd--?b1D-Glc,p--4b1D-Gal,p(--2a1L-Fuc,p)--3a2D-NeuAc,p$MONO,Und,0,0
 GRAPHS = [("kcf", _KCF, "Neu5Ac(a2-3)Gal(b1-4)[Fuc(a1-3)]GlcNAc"), ("xml", _XML, "Fuc(a1-3)[Gal(b1-4)]GlcNAc"), ("workbench", _GWB, "Fuc(a1-2)[NeuAc(a2-3)]Gal(b1-4)Glc-ol"), ("kcf", "NODE 2\n1 Gal\n2 Glc\nEDGE 0", None), ("xml", "<sugar>", None)]
 
 
-@query(answers("form, condensed", [(a, r) for a, _, r in GRAPHS]))
+@query(fx.answers("form, condensed", [(a, r) for a, _, r in GRAPHS]))
 def graph_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
     read = {"kcf": formats.from_kcf, "xml": formats.from_glycoct_xml, "workbench": formats.from_workbench}
-    d = table(spark, [r[:2] for r in GRAPHS], "form string, text string")
+    d = fx.dealt(spark, sf_dir, [r[:2] for r in GRAPHS], "form string, text string")
     one = c._mapped(lambda t: read["xml" if t.startswith("<") else "workbench" if "--" in t else "kcf"](t), "string")
     return d.select("form", one(x).alias("condensed"))
 
@@ -156,9 +145,9 @@ def graph_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 GLYCOFORMS = [("P1_N20_H5N4F1A2", "P1_N20", 5, 4, 2, 1, 1, 0, 0), ("P1_N20_H9N2", "P1_N20", 9, 2, 0, 0, 0, 1, 1), ("P2_N7_H6N5F2A1", "P2_N7", 6, 5, 1, 2, 0, 0, 1), ("P2_N7_H3N2", "P2_N7", 3, 2, 0, 0, 0, 0, 0)]
 
 
-@query(answers("id, site, h, n, a, f, complex, high_man, hybrid", GLYCOFORMS))
+@query(fx.answers("id, site, h, n, a, f, complex, high_man, hybrid", GLYCOFORMS))
 def glycoform_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, [(r[0],) for r in GLYCOFORMS], "id string")
+    d = fx.dealt(spark, sf_dir, [(r[0],) for r in GLYCOFORMS], "id string")
     f = strings.glycoform_features(c.read_composition(F.substring_index("id", "_", -1)))
     d = d.select("id", strings.glycosite(F.col("id")).alias("site"), f.alias("f"))
     return d.select("id", "site", *(F.element_at("f", k).alias(k.lower()) for k in ("H", "N", "A", "F", "complex", "high_Man", "hybrid")))
@@ -175,26 +164,26 @@ def _sorted_texts(rows: list[tuple[str, str | None]]) -> list[tuple[str, str | N
     return [(a, "|".join(sorted(g.canonical(x) for x in b.split("|"))) if b else None) for a, b in rows]
 
 
-@query(answers("glycan, topologies", _sorted_texts(GRAFTS)))
+@query(fx.answers("glycan, topologies", _sorted_texts(GRAFTS)))
 def possible_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = c._mapped(structure.topologies, "array<string>")(F.col("glycan"))
-    return table(spark, [(r[0],) for r in GRAFTS], "glycan string").select("glycan", F.array_join(t, "|").alias("topologies"))
+    return fx.dealt(spark, sf_dir, [(r[0],) for r in GRAFTS], "glycan string").select("glycan", F.array_join(t, "|").alias("topologies"))
 
 
 COMMON = [("Fuc(a1-2)Gal(b1-4)Glc", "Neu5Ac(a2-3)Gal(b1-4)Glc", "Gal(b1-4)Glc"), ("Gal(b1-3)[Fuc(a1-4)]GlcNAc(b1-3)Gal", "Gal(b1-3)GlcNAc(b1-3)Gal(b1-4)Glc", "Gal(b1-3)GlcNAc(b1-3)Gal"), ("Man(a1-3)[Man(a1-6)]Man", "Man(a1-6)Man", "Man(a1-6)Man"), ("Xyl", "Gal", "")]
 
 
-@query(answers("a, b, common", COMMON))
+@query(fx.answers("a, b, common", COMMON))
 def largest_common_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, [r[:2] for r in COMMON], "a string, b string").select("a", "b", c.largest_common(F.col("a"), F.col("b")).alias("common"))
+    return fx.dealt(spark, sf_dir, [r[:2] for r in COMMON], "a string, b string").select("a", "b", c.largest_common(F.col("a"), F.col("b")).alias("common"))
 
 
 DIFFS = [("Gal(b1-4)Glc-ol", "Fuc(a1-2)Gal(b1-4)Glc-ol", "Fuc(a1-2)"), ("Gal(b1-4)Glc-ol", "Neu5Ac(a2-8)Neu5Ac(a2-3)Gal(b1-4)Glc-ol", "Neu5Ac(a2-8)Neu5Ac(a2-3)"), ("Gal(b1-4)Glc-ol", "Gal(b1-3)GlcNAc", "disregard"), ("Gal(b1-4)GlcNAc", "Gal(b1-4)GlcNAc", ""), ("GlcNAc", "Gal6S(b1-4)GlcNAc", "disregard")]
 
 
-@query(answers("src, dst, diffs", DIFFS))
+@query(fx.answers("src, dst, diffs", DIFFS))
 def network_edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bio.labelled(table(spark, [(*r[:2], None) for r in DIFFS], "src string, dst string, diffs string"))
+    return bio.labelled(fx.dealt(spark, sf_dir, [(*r[:2], None) for r in DIFFS], "src string, dst string, diffs string"))
 
 
 @query(f"""{TREE}, k AS (SELECT parent AS i, glycan, count(*) AS kids FROM res WHERE parent IS NOT NULL GROUP BY ALL), n AS (SELECT r.glycan, r.i, r.link, coalesce(kids, 0) AS kids FROM res r LEFT JOIN k ON k.glycan = r.glycan AND k.i = r.i),
@@ -204,12 +193,12 @@ CAST((SELECT count(*) FROM nt WHERE nt.glycan = d.glycan) AS DOUBLE) AS types FR
 def glycan_graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c._mapped(lambda t: structure.shape(t.replace("-ol", "").replace("1Cer", "")), "map<string,double>")(F.col("glycan"))
     names = {"N": "nodes", "branching": "branching", "nbrLeaves": "leaves", "avgDeg": "mean_degree", "maxDeg": "most", "dens": "edges", "nbr_node_types": "types"}
-    return rounded(sequences(spark).select("glycan", s.alias("s")).select("glycan", *(F.element_at("s", k).alias(v) for k, v in names.items())))
+    return rounded(sequences(spark, sf_dir).select("glycan", s.alias("s")).select("glycan", *(F.element_at("s", k).alias(v) for k, v in names.items())))
 
 
 @query(f"""{TREE}, m AS (SELECT glycan, name AS motif, CAST(count(*) AS INTEGER) AS n FROM (SELECT glycan, regexp_replace(regexp_replace(tok, '-ol$', '-ol'), '1Cer$', '1Cer') AS name FROM t2 WHERE NOT regexp_matches(tok, '^[(\\[\\]]')) GROUP BY ALL) SELECT * FROM m""")
 def annotation_monosaccharides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.monosaccharides(sequences(spark))
+    return an.monosaccharides(sequences(spark, sf_dir))
 
 
 def _bins(bins: int) -> str:
@@ -220,7 +209,7 @@ def _bins(bins: int) -> str:
 
 @query(_bins(3))
 def annotation_size_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.size_branching(sequences(spark), 3)
+    return an.size_branching(sequences(spark, sf_dir), 3)
 
 
 OPEN = [
@@ -229,9 +218,9 @@ OPEN = [
 ]
 
 
-@query(answers("motif, open", OPEN))
+@query(fx.answers("motif, open", OPEN, each=False))
 def fragment_open_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.open_form(table(spark, [(r[0],) for r in OPEN], "motif string"))
+    return an.open_form(table(spark, sf_dir, [(r[0],) for r in OPEN], "motif string"))
 
 
 @query(f"""{TREE}, e AS (SELECT c.glycan, c.name || '(' || c.link || ')' || p.name AS m, c.name || '|' || p.name AS bare, c.link FROM res c JOIN res p ON p.glycan = c.glycan AND p.i = c.parent),
@@ -239,7 +228,7 @@ v AS (SELECT bare, CASE WHEN count(DISTINCT link[1]) = 1 THEN min(link[1]) ELSE
 f AS (SELECT glycan, m AS motif, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT glycan, string_split(bare, '|')[1] || '(' || a || s || '-' || o || ')' || string_split(bare, '|')[2], count(*) FROM e JOIN v USING (bare) GROUP BY ALL)
 SELECT glycan, motif, CAST(max(n) AS INTEGER) AS n FROM f GROUP BY ALL""")
 def fragment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.with_open_linkages(an.fragment_counts(sequences(spark), 2))
+    return an.with_open_linkages(an.fragment_counts(sequences(spark, sf_dir), 2))
 
 
 GROUPED = [
@@ -247,50 +236,53 @@ GROUPED = [
 ]
 
 
-@query(answers("glycan, core, sia_fuc", GROUPED))
+@query(fx.answers("glycan, core, sia_fuc", GROUPED))
 def o_linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("glycan")
-    return table(spark, [(r[0],) for r in GROUPED], "glycan string").select("glycan", an.core_group(x).alias("core"), an.sia_fuc_group(x).alias("sia_fuc"))
+    return fx.dealt(spark, sf_dir, [(r[0],) for r in GROUPED], "glycan string").select("glycan", an.core_group(x).alias("core"), an.sia_fuc_group(x).alias("sia_fuc"))
 
 
 _N = "Man(b1-4)GlcNAc(b1-4)GlcNAc"
 N_TYPES = [(f"GlcNAc(b1-2)Man(a1-3)[GlcNAc(b1-2)Man(a1-6)]{_N}", "complex"), (f"GlcNAc(b1-2)Man(a1-3)[Man(a1-3)Man(a1-6)]{_N}", "hybrid"), (f"Man(a1-2)Man(a1-3)[Man(a1-3)[Man(a1-6)]Man(a1-6)]{_N}", "high_man"), (f"Man(a1-3)[Man(a1-6)]{_N}", "rest")]
 
 
-@query(answers("glycan, type", N_TYPES))
+@query(fx.answers("glycan, type", N_TYPES))
 def n_linked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, [(r[0],) for r in N_TYPES], "glycan string").select("glycan", an.n_group(F.col("glycan")).alias("type"))
+    return fx.dealt(spark, sf_dir, [(r[0],) for r in N_TYPES], "glycan string").select("glycan", an.n_group(F.col("glycan")).alias("type"))
 
 
-@query(f"""{TREE}, f AS (SELECT c.glycan, c.name || '(' || c.link || ')' || p.name AS m, count(*) AS n FROM res c JOIN res p ON p.glycan = c.glycan AND p.i = c.parent GROUP BY ALL), nn AS (SELECT glycan, sqrt(sum(n * n)) AS l FROM f GROUP BY glycan)
-SELECT a.glycan AS a, b.glycan AS b, round(coalesce((SELECT sum(x.n * y.n) FROM f x JOIN f y ON x.m = y.m WHERE x.glycan = a.glycan AND y.glycan = b.glycan), 0) / (a.l * b.l), 6) AS similarity FROM nn a JOIN nn b ON a.glycan < b.glycan""")
+@query(f"""{TREE}, f AS (SELECT c.glycan, c.name || '(' || c.link || ')' || p.name AS m, count(*) AS n FROM res c JOIN res p ON p.glycan = c.glycan AND p.i = c.parent GROUP BY ALL), nn AS (SELECT glycan, sqrt(sum(n * n)) AS l FROM f GROUP BY glycan),
+dt AS (SELECT x.glycan AS a, y.glycan AS b, sum(x.n * y.n) AS dot FROM f x JOIN f y USING (m) GROUP BY ALL)
+SELECT a.glycan AS a, b.glycan AS b, round(coalesce(dot, 0) / (a.l * b.l), 6) AS similarity FROM nn a JOIN nn b ON a.glycan <> b.glycan LEFT JOIN dt ON dt.a = a.glycan AND dt.b = b.glycan
+WHERE b.glycan IN ({", ".join(f"'{s}'" for s in SEQUENCES)})""")
 def glycan_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sequences(spark)
-    pairs = d.select(F.col("glycan").alias("a")).join(d.select(F.col("glycan").alias("b")), F.col("a") < F.col("b"))
+    """Each sequence beside each of the well-known ones, a list of fixed length."""
+    d = sequences(spark, sf_dir)
+    pairs = d.select(F.col("glycan").alias("a"), F.explode(F.array(*map(F.lit, SEQUENCES))).alias("b")).where("a <> b")
     return rounded(an.similarity(an.fragment_counts(d, 2), pairs))
 
 
 @query(f"""{TREE}, e AS (SELECT c.name, c.link, p.name AS parent FROM res c JOIN res p ON p.glycan = c.glycan AND p.i = c.parent WHERE c.name = 'Gal'), u AS (SELECT 'bond' AS kind, link AS name FROM e UNION ALL SELECT 'parent', parent FROM e)
 SELECT kind, name, count(*) AS n FROM u GROUP BY ALL HAVING count(*) >= 2""")
 def monosaccharide_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.neighbours(sequences(spark), "Gal", least=2)
+    return an.neighbours(sequences(spark, sf_dir), "Gal", least=2)
 
 
 @query(f"WITH {VALUES}, {WORDS}, old AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest(tokens) AS token FROM tk WHERE suffix(glycan, '-ol'))), al AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS k FROM (SELECT DISTINCT unnest(tokens) AS token FROM tk)) SELECT al.token, CAST(coalesce(old.id, k + (SELECT count(*) FROM old)) AS INTEGER) AS id FROM al LEFT JOIN old USING (token)")
 def vocabulary_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sequences(spark)
+    d = sequences(spark, sf_dir)
     return an.expanded_vocabulary(an.vocabulary(d.where(F.col("glycan").endswith("-ol"))), d)
 
 
 @query(f"WITH {VALUES}, {WORDS}, old AS (SELECT list(DISTINCT token) AS o FROM (SELECT unnest(tokens) AS token FROM tk WHERE suffix(glycan, '-ol'))) SELECT glycan, len(list_filter(tokens, lambda x: NOT list_contains(o, x))) = 0 AS covered FROM tk, old")
 def vocabulary_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sequences(spark)
+    d = sequences(spark, sf_dir)
     return an.covered(d, an.vocabulary(d.where(F.col("glycan").endswith("-ol"))))
 
 
 @query(f"WITH {VALUES}, k AS (SELECT glycan FROM gl WHERE NOT suffix(glycan, 'GalNAc')) SELECT glycan, glycan IN (SELECT glycan FROM k) AS present FROM gl")
 def presence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sequences(spark)
+    d = sequences(spark, sf_dir)
     return an.present(d, d.where(~F.col("glycan").endswith("GalNAc")))
 
 
@@ -301,7 +293,7 @@ ROOT_TABLES = [("Gal(b1-4)Glc-ol", "free"), ("Gal(b1-3)GalNAc", "o"), ("Man(b1-4
 def network_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for x, kind in ROOT_TABLES:
-        one = bio.permitted_roots(table(spark, [(x,)], "glycan string")).select(F.lit(kind).alias("kind"), "root")
+        one = bio.permitted_roots(table(spark, sf_dir, [(x,)], "glycan string")).select(F.lit(kind).alias("kind"), "root")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -311,25 +303,25 @@ BUILT = [(_L, f"Fuc(a1-2){_L}", "Fuc(a1-2)"), (_L, f"Neu5Ac(a2-3){_L}", "Neu5Ac(
 MILK = [_L, f"Fuc(a1-2){_L}", f"Neu5Ac(a2-3){_L}", f"Gal(b1-3)GlcNAc(b1-3){_L}", f"Fuc(a1-2)Gal(b1-3)GlcNAc(b1-3){_L}"]
 
 
-@query(answers("src, dst, diffs, virtual", [(*r, int(r[0] not in MILK)) for r in BUILT]))
+@query(fx.answers("src, dst, diffs, virtual", [(*r, int(r[0] not in MILK)) for r in BUILT], each=False))
 def network_construction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milk sugars: one vertex, with GlcNAc, is virtual; each edge tells whether its source is."""
-    v, e = bio.construct(table(spark, [(x,) for x in MILK], "glycan string"))
+    v, e = bio.construct(table(spark, sf_dir, [(x,) for x in MILK], "glycan string"))
     return e.join(v.select(F.col("node").alias("src"), "virtual"), "src").select("src", "dst", "diffs", "virtual")
 
 
-@query(answers("src, dst, diffs", [("Gal(b1-4)GlcNAc-ol", "Gal3S(b1-4)GlcNAc-ol", "3S"), ("Gal(b1-4)GlcNAc-ol", "Gal(b1-4)GlcNAc6S-ol", "6S")]))
+@query(fx.answers("src, dst, diffs", [("Gal(b1-4)GlcNAc-ol", "Gal3S(b1-4)GlcNAc-ol", "3S"), ("Gal(b1-4)GlcNAc-ol", "Gal(b1-4)GlcNAc6S-ol", "6S")], each=False))
 def network_modified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bio.modified_edges(table(spark, [("Gal(b1-4)GlcNAc-ol",), ("Gal3S(b1-4)GlcNAc-ol",), ("Gal(b1-4)GlcNAc6S-ol",)], "node string"))
+    return bio.modified_edges(table(spark, sf_dir, [("Gal(b1-4)GlcNAc-ol",), ("Gal3S(b1-4)GlcNAc-ol",), ("Gal(b1-4)GlcNAc6S-ol",)], "node string"))
 
 
 EXTENDED = [(f"Fuc(a1-2){_L}", f"Fuc(a1-2)[Neu5Ac(a2-3)]{_L}", "Neu5Ac(a2-3)"), (f"Neu5Ac(a2-3){_L}", f"Fuc(a1-2)[Neu5Ac(a2-3)]{_L}", "Fuc(a1-2)")]
 
 
-@query(answers("src, dst, diffs", [(a, g.canonical(b), d) for a, b, d in EXTENDED]))
+@query(fx.answers("src, dst, diffs", [(a, g.canonical(b), d) for a, b, d in EXTENDED], each=False))
 def network_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step from two leaves by the network's own two reactions, at the one place that each disaccharide allows."""
-    e = table(spark, [(_L, f"Fuc(a1-2){_L}", "Fuc(a1-2)"), (_L, f"Neu5Ac(a2-3){_L}", "Neu5Ac(a2-3)")], "src string, dst string, diffs string")
+    e = table(spark, sf_dir, [(_L, f"Fuc(a1-2){_L}", "Fuc(a1-2)"), (_L, f"Neu5Ac(a2-3){_L}", "Neu5Ac(a2-3)")], "src string, dst string, diffs string")
     v = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("virtual", F.lit(0))
     _, new = bio.extended(v, e)
     return new.join(e.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "diffs")
@@ -339,16 +331,16 @@ MAN5, MAN6 = f"Man(a1-3)[Man(a1-3)[Man(a1-6)]Man(a1-6)]{_N}", f"Man(a1-2)Man(a1-
 TRIM = [(_N, f"Man(a1-6){_N}", "Man(a1-6)"), (MAN5, MAN6, "Man(a1-2)")]
 
 
-@query(answers("src, dst, diffs", [*TRIM, (MAN6, MAN5, "Man(a1-2)")]))
+@query(fx.answers("src, dst, diffs", [*TRIM, (MAN6, MAN5, "Man(a1-2)")], each=False))
 def network_mannose_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bio.with_mannose_trimming(table(spark, TRIM, "src string, dst string, diffs string"))
+    return bio.with_mannose_trimming(table(spark, sf_dir, TRIM, "src string, dst string, diffs string"))
 
 
 @query(f"""WITH {VALUES}, {WORDS}, pt(name, part) AS (VALUES ('Gal', 'Hex'), ('Glc', 'Hex'), ('Man', 'Hex'), ('GlcNAc', 'HexNAc'), ('GalNAc', 'HexNAc'), ('GlcNAc6S', 'HexNAc'), ('Fuc', 'dHex'), ('Xyl', 'Pen'), ('Neu5Ac', 'Neu5Ac')),
 ms(part, m) AS (VALUES ('Hex', 204.0997736889::DOUBLE), ('HexNAc', 245.1263227895), ('dHex', 174.0892089810), ('Pen', 160.0735589169), ('Neu5Ac', 361.1736668567)), rs AS (SELECT glycan, regexp_replace(unnest(tokens), '(-ol|1Cer)$', '') AS name FROM tk),
 w AS (SELECT glycan, sum(m) + 46.0418648118 + sum(CASE name WHEN 'GlcNAc6S' THEN 79.95681485868 - 14.01565006 ELSE 0 END) AS mass FROM rs JOIN pt USING (name) JOIN ms USING (part) GROUP BY glycan) SELECT glycan, round(mass, 3) AS mass FROM w""")
 def permethylated_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sequences(spark).select("glycan", co.derivatized_mass(c.composition(F.col("glycan")), "permethylated").alias("mass")), 3)
+    return rounded(sequences(spark, sf_dir).select("glycan", co.derivatized_mass(c.composition(F.col("glycan")), "permethylated").alias("mass")), 3)
 
 
 @query(f"""WITH {VALUES}, {WORDS}, pt(name, part) AS (VALUES ('Gal', 'Hex'), ('Glc', 'Hex'), ('Man', 'Hex'), ('GlcNAc', 'HexNAc'), ('GalNAc', 'HexNAc'), ('GlcNAc6S', 'HexNAc'), ('Fuc', 'dHex'), ('Xyl', 'Pen'), ('Neu5Ac', 'Neu5Ac')),
@@ -359,49 +351,49 @@ mz AS (SELECT p_partkey AS id, 300 + (p_partkey * 37 % 2200)::DOUBLE AS mz FROM
 h AS (SELECT id, key, how, row_number() OVER (PARTITION BY id ORDER BY how, abs(mass - x), key) AS r FROM a JOIN k ON abs(mass - x) < 0.5) SELECT id, key AS composition, CASE how WHEN 0 THEN 'plain' ELSE 'doubly_charged' END AS how FROM h WHERE r = 1""")
 def mz_to_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mz = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (300 + F.col("p_partkey") * 37 % 2200).cast("double").alias("mz"))
-    return co.mz_to_compositions(mz, sequences(spark).select(c.composition(F.col("glycan")).alias("composition")))
+    return co.mz_to_compositions(mz, sequences(spark, sf_dir).select(c.composition(F.col("glycan")).alias("composition")))
 
 
 MATCHED = [(1, "Gal(b1-3)GlcNAc(b1-3)Gal(b1-4)Glc-ol"), (2, "Neu5Ac(a2-3)Gal(b1-3)GalNAc")]
 
 
-@query(answers("id, glycan", MATCHED))
+@query(fx.answers("id, glycan", MATCHED, each=False))
 def compositions_to_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex3HexNAc1 has one sequence; of two equal up to a wildcard the better defined one stays; Hex9 has none."""
-    known = sequences(spark).where(F.col("glycan").isin([x for _, x in MATCHED])).union(table(spark, [("Neu5Ac(a2-?)Gal(b1-3)GalNAc",)], "glycan string"))
-    asked = table(spark, [(1, {"Hex": 3, "HexNAc": 1}), (2, {"Neu5Ac": 1, "Hex": 1, "HexNAc": 1}), (3, {"Hex": 9})], "id int, composition map<string,int>")
+    known = sequences(spark, sf_dir).where(F.col("glycan").isin([x for _, x in MATCHED])).union(table(spark, sf_dir, [("Neu5Ac(a2-?)Gal(b1-3)GalNAc",)], "glycan string"))
+    asked = fx.dealt(spark, sf_dir, [(1, {"Hex": 3, "HexNAc": 1}), (2, {"Neu5Ac": 1, "Hex": 1, "HexNAc": 1}), (3, {"Hex": 9})], "id int, composition map<string,int>").dropDuplicates(["id"])
     return co.compositions_to_structures(asked, known).select("id", "glycan")
 
 
-@query(answers("topology", [("Hex(?1-?)Hex-ol",), ("Hex(?1-?)Hex",)]))
+@query(fx.answers("topology", [("Hex(?1-?)Hex-ol",), ("Hex(?1-?)Hex",)], each=False))
 def unique_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.unique_topologies(sequences(spark).union(table(spark, [("Gal(b1-3)Gal-ol",)], "glycan string")), {"Hex": 2})
+    return co.unique_topologies(sequences(spark, sf_dir).union(table(spark, sf_dir, [("Gal(b1-3)Gal-ol",)], "glycan string")), {"Hex": 2})
 
 
 PRIORS = [(20, "JAB", 0.05), (20, "min", 0.1), (20, "robust", 0.223607), (20, "balanced", 0.396333), (1000, "min", 0.002), (1000, "balanced", 0.05605)]
 
 
-@query(answers("n, method, prior", PRIORS))
+@query(fx.answers("n, method, prior", PRIORS))
 def bayes_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, [(n, m, special.jab_prior(n, m)) for n, m, _ in PRIORS], "n int, method string, prior double"))
+    return rounded(fx.dealt(spark, sf_dir, [(n, m, special.jab_prior(n, m)) for n, m, _ in PRIORS], "n int, method string, prior double"))
 
 
 #: exp(x^2 / 2) / n^(1/4) for the two-sided normal quantiles 1.959963985 and 2.575829304.
 FACTORS = [(0.05, 3.227786), (0.01, 13.046439)]
 
 
-@query(answers("p, factor", FACTORS))
+@query(fx.answers("p, factor", FACTORS))
 def bayes_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, [(p,) for p, _ in FACTORS], "p double")
+    d = fx.dealt(spark, sf_dir, [(p,) for p, _ in FACTORS], "p double")
     return rounded(d.select("p", special.bayes_factors(F.col("p"), 20, z=True).alias("factor")))
 
 
 LINES = [("\n a\nb\n\nc \n", "a|b||c"), ("x", "x")]
 
 
-@query(answers("text, lines", LINES))
+@query(fx.answers("text, lines", LINES))
 def pasted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, [(a,) for a, _ in LINES], "text string").select("text", F.array_join(strings.lines(F.col("text")), "|").alias("lines"))
+    return fx.dealt(spark, sf_dir, [(a,) for a, _ in LINES], "text string").select("text", F.array_join(strings.lines(F.col("text")), "|").alias("lines"))
 
 
 @query("SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_brand, ''), lambda x: coalesce(CAST(nullif(strpos('Brand#123', x) - 1, -1) AS VARCHAR), '-')), ',') AS labels FROM part")
@@ -413,32 +405,32 @@ def character_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEMS = [("GlcNAc6S(b1-3)Gal", "GlcNAc(b1-3)Gal"), ("Gal3S(b1-4)Glc", "Gal3S(b1-4)Glc"), ("Gal3S(b1-3)Gal", "Gal3S(b1-3)Gal"), ("Neu5Ac9Ac(a2-3)Gal", "Neu5Ac(a2-3)Gal")]
 
 
-@query(answers("glycan, stem", STEMS))
+@query(fx.answers("glycan, stem", STEMS, each=False))
 def stemified_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modified residues that occur once become their cores; Gal3S occurs twice and stays."""
-    d = table(spark, [(a, a) for a, _ in STEMS], "glycan string, stem string")
+    d = table(spark, sf_dir, [(a, a) for a, _ in STEMS], "glycan string, stem string")
     return letters.stemified(d, "stem", 1)
 
 
 @query(f"WITH {VALUES}, w AS (SELECT glycan FROM gl UNION ALL SELECT replace(glycan, r, 'Hex') FROM gl, (VALUES ('Gal'), ('Man')) v(r) WHERE contains(glycan, r)) SELECT glycan, count(*) AS n FROM w GROUP BY glycan")
 def wildcard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.wildcard_rows(sequences(spark), ["Gal", "Man"], "Hex", 1.0).groupBy("glycan").agg(F.count("*").alias("n"))
+    return an.wildcard_rows(sequences(spark, sf_dir), ["Gal", "Man"], "Hex", 1.0).groupBy("glycan").agg(F.count("*").alias("n"))
 
 
 IDENTIFIED = [("Gal(b1-4)Glc-ol", "G1"), ("Xyl", "Xyl")]
 
 
-@query(answers("glycan, id", IDENTIFIED))
+@query(fx.answers("glycan, id", IDENTIFIED))
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, [("Gal(b1-4)Glc-ol", "G1"), ("Gal(b1-3)GalNAc", "G2")], "glycan string, id string")
-    return co.ids_of(table(spark, [(a,) for a, _ in IDENTIFIED], "glycan string"), known, "glycan", "id")
+    known = table(spark, sf_dir, [("Gal(b1-4)Glc-ol", "G1"), ("Gal(b1-3)GalNAc", "G2")], "glycan string, id string")
+    return co.ids_of(fx.dealt(spark, sf_dir, [(a,) for a, _ in IDENTIFIED], "glycan string"), known, "glycan", "id")
 
 
-@query(answers("glycan, motif, n", [("{Fuc(a1-2)}Gal(b1-4)GlcNAc", "lacnac", 1), ("{Fuc(a1-2)}Gal(b1-4)GlcNAc", "h", 1)]))
+@query(fx.answers("glycan, motif, n", [("{Fuc(a1-2)}Gal(b1-4)GlcNAc", "lacnac", 1), ("{Fuc(a1-2)}Gal(b1-4)GlcNAc", "h", 1)], each=False))
 def uncertain_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A floating fucose: what is bound counts; the H motif counts since the one feasible sequence of these residues has it."""
-    d = table(spark, [("{Fuc(a1-2)}Gal(b1-4)GlcNAc",)], "glycan string")
-    f = table(spark, [("Fuc(a1-2)Gal(b1-4)GlcNAc",), ("Gal(b1-4)[Fuc(a1-3)]GlcNAc",), ("Gal(b1-4)Glc",)], "glycan string")
+    d = table(spark, sf_dir, [("{Fuc(a1-2)}Gal(b1-4)GlcNAc",)], "glycan string")
+    f = table(spark, sf_dir, [("Fuc(a1-2)Gal(b1-4)GlcNAc",), ("Gal(b1-4)[Fuc(a1-3)]GlcNAc",), ("Gal(b1-4)Glc",)], "glycan string")
     motifs = [("lacnac", "Gal(b1-4)GlcNAc", []), ("h", "Fuc(a1-2)Gal", []), ("x", "Fuc(a1-3)GlcNAc", [])]
     return an.uncertain_counts(d, f, motifs)
 
@@ -447,20 +439,20 @@ def uncertain_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPELLED = [("Hex5HexNAc4Fuc1Neu5Ac2", 5, 4, 1, 2), ("H5N4F1A2", 5, 4, 1, 2), ("5_4_2_1", 5, 4, 1, 2), ("5421", 5, 4, 1, 2), ("5 4 2 0 1", 5, 4, 1, 2), ("9200", 9, 2, 0, 0)]
 
 
-@query(answers("text, hex, hexnac, dhex, sia", SPELLED))
+@query(fx.answers("text, hex, hexnac, dhex, sia", SPELLED))
 def composition_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, [(r[0],) for r in SPELLED], "text string").select("text", c.read_composition(F.col("text")).alias("m"))
+    d = fx.dealt(spark, sf_dir, [(r[0],) for r in SPELLED], "text string").select("text", c.read_composition(F.col("text")).alias("m"))
     return d.select("text", *(F.coalesce(F.element_at("m", k), F.lit(0)).alias(v) for k, v in {"Hex": "hex", "HexNAc": "hexnac", "dHex": "dhex", "Neu5Ac": "sia"}.items()))
 
 
 ROUND_TRIPS = [s for s in SEQUENCES if "[" not in s]
 
 
-@query(answers("glycan, canonical", [(s, s) for s in ROUND_TRIPS]))
+@query(fx.answers("glycan, canonical", [(s, s) for s in ROUND_TRIPS]))
 def linear_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unbranched sequences are their own canonical text, whichever reader takes them."""
     read = c._mapped(notations.canonicalize, "string")
-    return table(spark, [(s,) for s in ROUND_TRIPS], "glycan string").select("glycan", read(F.col("glycan")).alias("canonical"))
+    return fx.dealt(spark, sf_dir, [(s,) for s in ROUND_TRIPS], "glycan string").select("glycan", read(F.col("glycan")).alias("canonical"))
 
 
 # The named motifs that some sequences hold, read off the list by hand.
@@ -470,24 +462,29 @@ KNOWN = [
 ]
 
 
-@query(answers("glycan, motif, n", KNOWN))
+@query(fx.answers("glycan, motif, n", KNOWN, each=False))
 def known_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Lewis motifs and the first core among all named motifs; a fucose on the galactose or a branch to position 6 forbids the inner Lewis X and core 1."""
-    d = table(spark, [(x,) for x in dict.fromkeys([r[0] for r in KNOWN] + ["Gal(b1-3)[GlcNAc(b1-6)]GalNAc"])], "glycan string")
+    d = table(spark, sf_dir, [(x,) for x in dict.fromkeys([r[0] for r in KNOWN] + ["Gal(b1-3)[GlcNAc(b1-6)]GalNAc"])], "glycan string")
     return an.annotate(d, ["known"]).where(F.col("motif").isin("Terminal_LewisX", "Internal_LewisX", "LewisY", "SialylLewisX", "Oglycan_core1")).select("glycan", "motif", "n")
 
 
 @query("SELECT 'Gal(b1-3)GalNAc' AS glycan, 2 AS n")
 def random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two draws of one sequence from a class of one give it each time."""
-    known = table(spark, [("Gal(b1-3)GalNAc",), ("Gal(b1-4)Glc-ol",), ("Gal(b1-4)Glc1Cer",)], "glycan string")
+    known = table(spark, sf_dir, [("Gal(b1-3)GalNAc",), ("Gal(b1-4)Glc-ol",), ("Gal(b1-4)Glc1Cer",)], "glycan string")
     draws = co.random_sequences(known, 1, 1, "O").unionByName(co.random_sequences(known, 1, 2, "O"))
     return draws.groupBy("glycan").agg(F.count("*").cast("int").alias("n"))
 
 
-@query(answers("token, specific", [("b1-?", True), ("Hex", True), ("Gal", False), ("a2-3/6", True)]))
+@query(fx.answers("token, specific", [("b1-?", True), ("Hex", True), ("Gal", False), ("a2-3/6", True)]))
 def specified_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open letters become specified ones that they stand for; specified ones stay."""
     known = ["b1-3", "b1-4", "a2-3", "a2-6", "?1-?"]
-    rows = [(t, letters.specific(t, known)) for t in ("b1-?", "Hex", "Gal", "a2-3/6")]
-    return table(spark, [(t, x != t and (g.same_linkage(x, t) if "-" in t else x in g.CLASSES[t])) for t, x in rows], "token string, specific boolean")
+
+    def stands(t: str) -> bool:
+        x = letters.specific(t, known)
+        return x != t and (g.same_linkage(x, t) if "-" in t else x in g.CLASSES[t])
+
+    d = fx.dealt(spark, sf_dir, [("b1-?",), ("Hex",), ("Gal",), ("a2-3/6",)], "token string")
+    return d.select("token", c._mapped(stands, "boolean")(F.col("token")).alias("specific"))
