@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,120 +98,143 @@ def _lists(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def rates(p: np.ndarray, pull: np.ndarray, least: float = 0.0, most: float = np.inf) -> np.ndarray:
-    """Rates of rows with the posteriors p, between `least` and `most`. They follow from a row's posterior and one number for each domain,
-    so they are never stored or shuffled: any task finds them from these numbers."""
-    return np.clip(1 + p @ pull, least, most)
+#: Parts of a token that sums count in. Sums are of whole numbers, so they are the same in any order and for any partitioning.
+PARTS = 1 << 20
+_LOW = 31
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) after the gradients `steps`, each multiplied by its step length:
-    the accelerated form with one step length for all domains, kept to compare with."""
-    x = at = np.ones(len(p))
+@dataclass(frozen=True)
+class Descent:
+    """The steps of a projected gradient descent: one number for each domain and step, and the steps before which momentum was dropped. A row's
+    rate follows from these and its posterior, so rates are never stored or shuffled: any task finds them."""
+
+    steps: tuple[np.ndarray, ...] = ()
+    fresh: frozenset[int] = frozenset()
+
+
+def replay(p: np.ndarray, steps: Sequence[np.ndarray], least: float = 0.0, most: float = np.inf, fresh: Collection[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point of the next gradient) of rows with the posteriors p after `steps`: accelerated gradients, each followed by the projection onto
+    rates between `least` and `most`."""
+    x = at = np.clip(np.ones(len(p)), least, most)
     t = 1.0
-    for g in steps:
-        new = np.maximum(least, at - p @ g)
+    for n, g in enumerate(steps):
+        if n in fresh:
+            at, t = x, 1.0
+        # Domain by domain: a product of matrices may round a row by its place in the batch.
+        new = np.clip(at - sum(p[:, k] * g[k] for k in range(len(g))), least, most)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at = np.maximum(least, new + (t - 1) / nt * (new - x))
+        at = np.clip(new + (t - 1) / nt * (new - x), least, most)
         x, t = new, nt
     return x, at
 
 
-def sums(p: np.ndarray, tokens: np.ndarray, pulls: list[np.ndarray], least: float, most: float = np.inf) -> np.ndarray:
-    """For each of the pulls, the expected tokens of the domains and, row by row, how they change with the pull."""
-    out = []
-    for pull in pulls:
-        x = rates(p, pull, least, most)
-        free = p * (tokens * ((x > least) & (x < most)))[:, None]
-        out.append(np.concatenate([[p.T @ (x * tokens)], free.T @ p]))
-    return np.stack(out)
+def rates(p: np.ndarray, fitted: Descent, least: float = 0.0, most: float = np.inf) -> np.ndarray:
+    return replay(p, fitted.steps, least, most, fitted.fresh)[0]
+
+
+def _parts(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums over rows of weight * p, in parts of a token."""
+    return np.rint(p * (weight * PARTS)[:, None]).astype(np.int64).sum(axis=0)
+
 
+def sums(p: np.ndarray, tokens: np.ndarray, fitted: Descent, least: float, most: float = np.inf) -> np.ndarray:
+    """Expected tokens of the domains, in parts, at the rates and at the point of the next gradient."""
+    x, at = replay(p, fitted.steps, least, most, fitted.fresh)
+    return np.stack([_parts(p, tokens * x), _parts(p, tokens * at)])
 
-def solve(total: Callable[[list[np.ndarray]], np.ndarray], want: np.ndarray, tolerance: float, rounds: int) -> tuple[np.ndarray, str]:
-    """(pull, complaint): Newton steps for want - total(pull) = held * pull, for ever smaller `held`.
 
-    That is the least square distance from `want`, and held * tokens * (rate - 1)^2 beside it; a step is the inverse of a
-    domain x domain matrix, so small domains move as fast as large ones. Each round tries eight lengths of its step
-    in one call and takes the one where the slope is least. It ends when each domain is within `tolerance`, or when
-    a hundredth of `held` no longer brings the domains nearer (the bound on rates or soft memberships forbid more).
+def gram(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Sums of tokens * p_a * p_b for the domains a and b, in parts."""
+    return np.stack([_parts(p, tokens * p[:, k]) for k in range(p.shape[1])])
+
+
+def solve(total: Callable[[Descent], np.ndarray], shared: np.ndarray, want: np.ndarray, tolerance: float, rounds: int) -> tuple[Descent, str]:
+    """(descent, complaint): projected gradient for the least squares of total - want over the rates that `replay` allows.
+
+    Squares are measured by the inverse of `shared` (see gram), and a row's rate moves by its gradient over its tokens. In these measures the
+    slope changes by at most the step, so that steps of length 1 descend, and a rare domain moves as fast as a large one. Momentum is dropped where
+    the squares grew. It ends when each domain is within `tolerance` of its target, or after three rounds that hardly lessened the squares (the
+    bound on rates or soft memberships forbid more).
     """
-    d = len(want)
-    pull = np.zeros(d)
-    now = total([pull])[0]
-    all_tokens = now[0].sum()
-    close, still = np.maximum(want, all_tokens * 1e-6), np.maximum(want, all_tokens * 1e-3)
-    held, before = all_tokens * 1e-4, None
-    for _ in range(rounds):
-        off = now[0] - want
+    metric = np.linalg.inv(shared + 1e-9 * np.trace(shared) * np.eye(len(want)))
+    close = np.maximum(want, shared.sum() * 1e-6)
+    steps, fresh, last, idle = [], set(), np.inf, 0
+    for n in range(rounds):
+        done = Descent(tuple(steps), frozenset(fresh))
+        now, ahead = total(done)
+        off = now - want
         if (np.abs(off) <= tolerance * close).all():
-            return pull, ""
-        g = off + held * pull
-        while (np.abs(g) <= 0.1 * tolerance * still).all():
-            if before is not None and (np.abs(off - before) <= 0.1 * tolerance * still).all():
-                return pull, "the bound on rates or soft memberships keep the domains from their targets"
-            before, held = off, held / 100
-            g = off + held * pull
-        step = -np.linalg.solve(now[1:] + held * np.eye(d), g)
-        tried = [pull + step * 0.5**k for k in range(8)]
-        got = total(tried)
-        k = min(range(8), key=lambda k: abs((got[k, 0] - want + held * tried[k]) @ step))
-        pull, now = tried[k], got[k]
-    off = now[0] - want
-    return pull, "" if (np.abs(off) <= tolerance * close).all() else f"no end after {rounds} rounds"
-
-
-def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0, most: float = np.inf, strict: bool = False) -> np.ndarray:
-    """The numbers that `rates` needs, for: least squares of (expected domain tokens - target tokens) over
-    most >= rates >= least >= 0, nearest to 1. `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
-
-    Each round sums rate x tokens x posterior over all rows: partial sums in tasks, a few numbers on the driver.
-    It ends when each domain is within `tolerance` of its target or can come no nearer; a warning tells the shares
+            return done, ""
+        squares = off @ metric @ off
+        if squares > last:
+            fresh.add(n)
+            ahead = now
+        idle = idle + 1 if squares > last * (1 - 1e-4) else 0
+        if idle == 3:
+            return done, "the bound on rates or soft memberships keep the domains from their targets"
+        steps.append(metric @ (ahead - want))
+        last = squares
+    return done, f"no end after {rounds} rounds"
+
+
+def fit_rates(member: DataFrame, targets: dict[str, float], tolerance: float = 1e-3, rounds: int = 60, least: float = 0.0, most: float = np.inf, strict: bool = False) -> Descent:
+    """What `rates` needs, for: least squares of (expected domain tokens - target tokens) over most >= rates >= least >= 0, from rates of 1.
+    `member` has (_tokens, _p). The target total is the least at which no domain has to lose tokens.
+
+    Each round sums rate x tokens x posterior over all rows: partial sums in tasks, a few whole numbers on the driver. A warning tells the shares
     if a target is not reached, and `strict` makes that an error.
     """
     names = sorted(targets)
     d = len(names)
 
-    def total(pulls: list[np.ndarray]) -> np.ndarray:
+    def over_all(measure: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros((len(pulls), d + 1, d))
+            s = [0] * (shape[0] * shape[1])
             for batch in batches:
-                s += sums(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float), pulls, least, most)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.size)), pa.array(s.ravel())], ["k", "v"])
-
-        got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(trimmed(run), "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(pulls) * (d + 1) * d)
-        for r in got:
-            out[r["k"]] = r["v"]
-        return out.reshape(len(pulls), d + 1, d)
-
-    have = total([np.zeros(d)])[0, 0]
+                got = measure(_lists(batch.column("_p"), d), batch.column("_tokens").to_numpy().astype(float))
+                s = [a + int(b) for a, b in zip(s, got.ravel(), strict=True)]
+            low = (1 << _LOW) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(s))), pa.array([v >> _LOW for v in s], pa.int64()), pa.array([v & low for v in s], pa.int64())], ["k", "high", "low"])
+
+        got = member.select("_tokens", "_p").transform(in_batches).mapInArrow(trimmed(run), "k bigint, high bigint, low bigint")
+        out = np.zeros(shape[0] * shape[1])
+        for r in got.groupBy("k").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect():
+            out[r["k"]] = ((r["high"] << _LOW) + r["low"]) / PARTS
+        return out.reshape(shape)
+
+    shared = over_all(gram, (d, d))
+    have = shared.sum(axis=0)
     weight = np.array([targets[k] for k in names]) / sum(targets.values())
     if not have.sum():
-        return np.zeros(d)
+        return Descent()
     want = weight * (have / np.where(weight > 0, weight, np.inf)).max()
-    pull, complaint = solve(total, want, tolerance, rounds)
+
+    def total(fitted: Descent) -> np.ndarray:
+        return over_all(lambda p, tokens: sums(p, tokens, fitted, least, most), (2, d))
+
+    fitted, complaint = solve(total, shared, want, tolerance, rounds)
     if complaint:
-        end = total([pull])[0, 0]
+        end = total(fitted)[0]
         shares = ", ".join(f"{k} {e / end.sum():.4f} of {w:.4f}" for k, e, w in zip(names, end, weight, strict=True))
         if strict:
             raise ValueError(f"mixing targets not reached, {complaint}: {shares}")
         warnings.warn(f"mixing targets not reached, {complaint}: {shares}", stacklevel=2)
-    return pull
+    return fitted
 
 
-def rated(member: DataFrame, pull: np.ndarray, d: int, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
+def rated(member: DataFrame, fitted: Descent, d: int, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
     """The columns `keep` and `_rate`, taken from member's `_p`."""
     names = [k for k, _ in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = rates(_lists(batch.column("_p"), d), pull, least, most)
+            rate = rates(_lists(batch.column("_p"), d), fitted, least, most)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(rate)], [*names, "_rate"])
 
     return member.transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
 
 
-def rated_texts(docs: DataFrame, model: DomainModel, pull: np.ndarray, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
+def rated_texts(docs: DataFrame, model: DomainModel, fitted: Descent, keep: list[tuple[str, str]], least: float = 0.0, most: float = np.inf) -> DataFrame:
     """The columns `keep` and `_rate`, as `rated` gives them for `memberships`, from the texts in one pass: a task then has one Python worker
     instead of two, and each text goes to it and back once."""
     names = [k for k, _ in keep]
@@ -219,7 +242,7 @@ def rated_texts(docs: DataFrame, model: DomainModel, pull: np.ndarray, keep: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, _, p in _measured(batch, model):
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(rates(p, pull, least, most))], [*names, "_rate"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in names), pa.array(rates(p, fitted, least, most))], [*names, "_rate"])
 
     return docs.select(*dict.fromkeys([*names, "text"])).transform(in_batches).mapInArrow(trimmed(run), ", ".join([*(f"`{n}` {t}" for n, t in keep), "_rate double"]))
 
@@ -240,8 +263,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     model = fit(docs, labelled, list(targets))
     keep = [("doc_id", "bigint")]
     member = stored(memberships(docs, model, keep))
-    pull = fit_rates(member, targets)
-    out = rated(member, pull, len(model.domains), [*keep, ("_tokens", "bigint"), ("_p", "array<double>")])
+    fitted = fit_rates(member, targets)
+    out = rated(member, fitted, len(model.domains), [*keep, ("_tokens", "bigint"), ("_p", "array<double>")])
     p = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return out.select("doc_id", F.col("_tokens").alias("tokens"), *p, F.col("_rate").alias("rate"), copies().alias("copies"))
 
@@ -251,8 +274,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     can be repeated, where a rare domain would have to stand for many rows. Nulls, empty texts and repeated rows are as in `mix`."""
     docs, named = guarded(docs)
     model = fit(docs, labelled, list(targets))
-    pull = fit_rates(stored(memberships(docs, model, [])), targets, least=least, most=most, strict=strict)
+    fitted = fit_rates(stored(memberships(docs, model, [])), targets, least=least, most=most, strict=strict)
     keep = [(c, t) for c, t in docs.dtypes]
-    out = rated_texts(docs, model, pull, keep, least, most)
+    out = rated_texts(docs, model, fitted, keep, least, most)
     times = out.withColumn("_copies", copies()).where("_copies > 0")
     return named(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

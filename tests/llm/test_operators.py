@@ -302,9 +302,34 @@ def test_mixing_moves_domains_of_all_sizes_in_few_rounds():
         target = np.array([0.2, 0.4, 0.2, 0.2])
         have = p.T @ tokens
         want = target * (have / target).max()
-        pull, complaint = mixing.solve(lambda pulls: calls.append(1) or mixing.sums(p, tokens, pulls, 0.0), want, 1e-3, 60)
+        shared = mixing.gram(p, tokens) / mixing.PARTS
+        fitted, complaint = mixing.solve(lambda done: calls.append(1) or mixing.sums(p, tokens, done, 0.0) / mixing.PARTS, shared, want, 1e-3, 60)
         assert not complaint and len(calls) < 15
-        assert (np.abs(p.T @ (tokens * mixing.rates(p, pull)) - want) <= 1e-3 * want).all()
+        assert (np.abs(p.T @ (tokens * mixing.rates(p, fitted)) - want) <= 1e-3 * want).all()
+
+
+def test_mixing_comes_as_near_as_plain_descent():
+    """Targets that bounded rates can't reach: no other rates give smaller squares than those found, in the measure of the fit."""
+    rng = np.random.default_rng(8)
+    p, tokens = rng.dirichlet([0.6, 0.3, 0.2], 300), rng.integers(0, 300, 300).astype(float)
+    shared = mixing.gram(p, tokens) / mixing.PARTS
+    metric = np.linalg.inv(shared)
+    want = np.array([0.1, 0.2, 0.7]) * 4 * tokens.sum()
+    fitted, complaint = mixing.solve(lambda done: mixing.sums(p, tokens, done, 1.0, 3.0) / mixing.PARTS, shared, want, 1e-3, 60)
+    x, plain = mixing.rates(p, fitted, 1.0, 3.0), np.ones(300)
+    for _ in range(20_000):
+        plain = np.clip(plain - p @ (metric @ (p.T @ (plain * tokens) - want)), 1.0, 3.0)
+    squares = [off @ metric @ off for off in (p.T @ (r * tokens) - want for r in (x, plain))]
+    assert complaint and x.min() >= 1 and x.max() <= 3 and squares[0] <= squares[1] * 1.001
+
+
+def test_mixing_rates_do_not_depend_on_partitions(spark):
+    words = ["the", "and", "der", "und", "über", "with"]
+    rows = [(i, " ".join(words[(i * k + k) % 6] for k in range(1 + i % 50)), "de" if i % 3 else "en") for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    lab = d.select("doc_id", F.col("lang").alias("domain"))
+    a, b = (sorted(mixing.mix(x, lab, {"de": 0.3, "en": 0.7}).collect()) for x in (d.repartition(2), d.repartition(7, "text")))
+    assert a == b
 
 
 def test_pipeline_stages_on_small_tables(spark, tmp_path):
