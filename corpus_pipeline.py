@@ -46,10 +46,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.one_of_each(docs, dedup.MinMax(words=5))
 
 
+#: How often the mixing stage repeats a document at most, on average. Where a language is so rare that its target would take more, it stays below
+#: its target, and a warning tells by how much.
+MOST_RATE = 16.0
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at the rates, 1 at least, that bring the expected tokens of each language to its target weight.
+    """Documents repeated at the rates, from 1 to MOST_RATE, that bring the expected tokens of each language to its target weight.
     Documents without words have no tokens and rates by the priors; documents of other or null languages count by their text alone."""
-    return mixing.mixed(docs, docs.select("doc_id", F.col("lang").alias("domain")), least=1.0)
+    return mixing.mixed(docs, docs.select("doc_id", F.col("lang").alias("domain")), least=1.0, most=MOST_RATE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
