@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sugarbeam.functions import columns as c
+from sugarbeam.functions import structure
 from sugarbeam.functions.motifs import motif_list
 from sugarbeam.operators import graphs
 from sugarbeam.operators import matching as ma
 from sugarbeam.operators import series as se
 from sugarbeam.plans import fixtures as fx
 from sugarbeam.plans.registry import query, rounded
+from sugarbeam.plans.sequences import sequences
+from sugarbeam.plans.structures import TREE
 
 
 @query(f"WITH {fx.OCCURRENCES} SELECT glycan, name, CAST(count(*) AS INTEGER) AS n FROM oc GROUP BY glycan, name")
@@ -83,3 +87,30 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges of single linkage of nations, named by their first members."""
     return rounded(graphs.merges(graphs.spanning_forest(nation_distances(spark, sf_dir))))
+
+
+#: bl(glycan, i, parent, d, n): the residues at and below each one, and the nodes of its graph, which are residues and linkages.
+BELOW = f"""{TREE.replace("WITH", "WITH RECURSIVE", 1)}, up(glycan, i, a) AS (SELECT glycan, i, i FROM res UNION ALL SELECT up.glycan, up.i, r.parent FROM up JOIN res r ON r.glycan = up.glycan AND r.i = up.a WHERE r.parent IS NOT NULL),
+sz AS (SELECT glycan, 2 * count(*) - 1 AS n FROM res GROUP BY glycan), bl AS (SELECT r.glycan, r.i, r.parent, count(*) AS d, any_value(n) AS n FROM res r JOIN up ON up.glycan = r.glycan AND up.a = r.i JOIN sz ON sz.glycan = r.glycan GROUP BY r.glycan, r.i, r.parent),
+kd AS (SELECT glycan, parent AS i, sum(4 * d * d) AS q, count(*) AS kids FROM bl WHERE parent IS NOT NULL GROUP BY ALL),
+ld AS (SELECT bl.glycan, n, ((n - 1) * (n - 1) - coalesce(q, 0) - CASE WHEN bl.parent IS NULL THEN 0 ELSE (n - 2 * d + 1) * (n - 2 * d + 1) END) / ((n - 1) * (n - 2))::DOUBLE AS x FROM bl LEFT JOIN kd ON kd.glycan = bl.glycan AND kd.i = bl.i
+  UNION ALL SELECT glycan, n, 2 * (2 * d - 1) * (n - 2 * d) / ((n - 1) * (n - 2))::DOUBLE FROM bl WHERE parent IS NOT NULL),
+fl AS (SELECT glycan, unnest([2 * d * (n - 2 * d), (2 * d - 1) * (n - 2 * d + 1)]) / ((n - 1) * (n - 2))::DOUBLE AS x FROM bl WHERE parent IS NOT NULL)"""
+
+
+@query(f"""{BELOW}, a AS (SELECT glycan, max(x) AS load_max, avg(x) AS load_mean, var_pop(x) AS load_var FROM ld GROUP BY glycan), b AS (SELECT glycan, max(x) AS flow_max, min(x) AS flow_min, avg(x) AS flow_mean FROM fl GROUP BY glycan),
+e AS (SELECT bl.glycan, count(*) FILTER (WHERE kids IS NULL) AS ends FROM bl LEFT JOIN kd ON kd.glycan = bl.glycan AND kd.i = bl.i WHERE bl.parent IS NOT NULL GROUP BY bl.glycan)
+SELECT glycan, round(load_max, 6) AS load_max, round(load_mean, 6) AS load_mean, round(load_var, 6) AS load_var, round(flow_max, 6) AS flow_max, round(flow_min, 6) AS flow_min, round(flow_mean, 6) AS flow_mean, CAST(ends AS DOUBLE) AS ends FROM a JOIN b USING (glycan) JOIN e USING (glycan)""")
+def glycan_graph_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load of the nodes and current through the edges of each sequence's graph."""
+    names = {"loadMax": "load_max", "loadAvg": "load_mean", "loadVar": "load_var", "flow_edgeMax": "flow_max", "flow_edgeMin": "flow_min", "flow_edgeAvg": "flow_mean", "max_deg_leaves": "ends"}
+    s = c._mapped(structure.shape, "map<string,double>")(F.col("glycan"))
+    return rounded(sequences(spark, sf_dir).select("glycan", s.alias("s")).select("glycan", *(F.element_at("s", k).alias(v) for k, v in names.items())))
+
+
+@query()
+def glycan_graph_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return times, Katz centrality, spectral gap and assortativity of each sequence's graph; tested against dense matrices."""
+    names = {"secorderMax": "return_max", "secorderAvg": "return_mean", "eigenMax": "katz_max", "eigenAvg": "katz_mean", "egap": "gap", "entropyStation": "entropy", "deg_assort": "assortativity"}
+    s = c._mapped(structure.shape, "map<string,double>")(F.col("glycan"))
+    return rounded(sequences(spark, sf_dir).select("glycan", s.alias("s")).select("glycan", *(F.element_at("s", k).alias(v) for k, v in names.items())))
