@@ -95,7 +95,7 @@ def differential(df: DataFrame, raw: DataFrame | None = None, paired: bool = Fal
     """
     df = checkpointed(df)  # each test reads it
     raw = df if raw is None else raw
-    alpha = special.alpha_n(df.select("sample").distinct().count()) if alpha is None else alpha
+    alpha = special.alpha_n(max(df.select("sample").distinct().count(), 1)) if alpha is None else alpha
     kept = ab.by_variance(df, least_variance)
     d = df.join(kept.where("kept").select("feature"), "feature", "left_semi")
     mean = raw.groupBy("feature").agg(F.avg("value").alias("mean"))

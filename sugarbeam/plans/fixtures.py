@@ -177,21 +177,43 @@ pl AS (SELECT glycan, rs, ls, unnest(range(1, len(rs))) AS i FROM (SELECT DISTIN
 oc AS (SELECT glycan, name, i, CASE WHEN c IS NULL THEN 2 ELSE 3 END AS size, rs FROM pl JOIN mt ON rs[i] = a AND ls[i] = x AND rs[i + 1] = b AND (c IS NULL OR (i + 2 <= len(rs) AND ls[i + 1] = y AND rs[i + 2] = c)))"""
 
 
-def branched(spark: SparkSession, sf_dir: str, known: list[str]) -> DataFrame:
-    """(glycan): for each part one of the sequences `known`, with up to three residues more before it; each text once."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("s"))
+def _sequence(known: list[str]) -> F.Column:
+    """For a row of `part` one of the sequences `known`, with up to three residues more before it."""
+    key, size = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
 
     def piece(j: int):
-        more = F.concat(_pick(CHAIN, F.floor(F.col("id") / (j + 1)) + F.col("s") * j), F.lit("("), _pick(BONDS, F.col("id") + F.col("s") * j + j), F.lit(")"))
-        return F.when(F.lit(j) < F.col("s") % 4, more).otherwise(F.lit(""))
+        more = F.concat(_pick(CHAIN, F.floor(key / (j + 1)) + size * j), F.lit("("), _pick(BONDS, key + size * j + j), F.lit(")"))
+        return F.when(F.lit(j) < size % 4, more).otherwise(F.lit(""))
+
+    return F.concat(*map(piece, range(3)), _pick(known, F.floor(key / 4)))
+
+
+def _sequence_sql(known: list[str]) -> str:
+    more = f"{_at(CHAIN, 'p_partkey // (j + 1) + p_size * j')} || '(' || {_at(BONDS, 'p_partkey + p_size * j + j')} || ')'"
+    return f"array_to_string(list_transform(range(0, p_size % 4), lambda j: {more}), '') || {_at(known, 'p_partkey // 4')}"
+
 
-    return part.select(F.concat(*map(piece, range(3)), _pick(known, F.floor(F.col("id") / 4))).alias("glycan")).distinct()
+def branched(spark: SparkSession, sf_dir: str, known: list[str]) -> DataFrame:
+    """(glycan): the parts' sequences, each text once."""
+    return table(spark, sf_dir, "part").select(_sequence(known).alias("glycan")).distinct()
 
 
 def branched_sql(known: list[str]) -> str:
     """gl(glycan), as `branched` makes it."""
-    more = f"{_at(CHAIN, 'p_partkey // (j + 1) + p_size * j')} || '(' || {_at(BONDS, 'p_partkey + p_size * j + j')} || ')'"
-    return f"gl AS (SELECT DISTINCT array_to_string(list_transform(range(0, p_size % 4), lambda j: {more}), '') || {_at(known, 'p_partkey // 4')} AS glycan FROM part)"
+    return f"gl AS (SELECT DISTINCT {_sequence_sql(known)} AS glycan FROM part)"
+
+
+def sequence_abundance(spark: SparkSession, sf_dir: str, known: list[str]) -> DataFrame:
+    """(feature, sample, grp, value): revenue by the parts' sequences and supplier class; two groups of five samples."""
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 10).alias("k"), "l_extendedprice")
+    part = table(spark, sf_dir, "part").select("p_partkey", _sequence(known).alias("feature"))
+    d = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("feature", "k").agg(money("l_extendedprice").alias("value"))
+    return d.select("feature", F.concat(F.lit("s"), "k").alias("sample"), (F.col("k") % 2).cast("int").alias("grp"), "value")
+
+
+def sequence_abundance_sql(known: list[str]) -> str:
+    return f"""sa AS (SELECT feature, 's' || (l_suppkey % 10) AS sample, CAST((l_suppkey % 10) % 2 AS INTEGER) AS grp, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM lineitem JOIN (SELECT p_partkey, {_sequence_sql(known)} AS feature FROM part) ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
 def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
