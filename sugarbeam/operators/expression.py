@@ -14,6 +14,7 @@ from sugarbeam.operators import abundance as ab
 from sugarbeam.operators import annotation as an
 from sugarbeam.operators import diversity as dv
 from sugarbeam.operators import testing as te
+from sugarbeam.operators import variance as va
 from sugarbeam.sources.store import checkpointed
 
 #: Features that the imputing forests are fitted on: those with the smallest name hash, if there are more.
@@ -124,12 +125,8 @@ def sets_of(df: DataFrame, above: float = 0.9) -> DataFrame:
     return df.select("feature").distinct().join(sets.select(F.col("node").alias("feature"), "label"), "feature", "left").select("feature", F.coalesce("label", "feature").alias("set"))
 
 
-def variance_shares(df: DataFrame, groups: DataFrame, paired: bool = False) -> DataFrame:
-    """(intra, inter): shares of the variance of log2 changes that features inside groups and samples have, once the groups' means are gone.
-
-    A change is group 1's value over its pair, or over the feature's mean in group 0. Variance components are those of the
-    two-way layout of features and samples without repeats, by mean squares; groups: (feature, group).
-    """
+def changes(df: DataFrame, groups: DataFrame, paired: bool = False) -> DataFrame:
+    """(feature, sample, x, group): log2 changes of group 1's values over their pairs, or over the feature's mean in group 0. groups: (feature, group)."""
     small = 1e-8
     if paired:
         d = df.groupBy("feature", "pair").agg(*(F.max(F.when(F.col("grp") == g, F.col("value"))).alias(f"x{g}") for g in (0, 1))).where("x0 is not null and x1 is not null")
@@ -137,7 +134,24 @@ def variance_shares(df: DataFrame, groups: DataFrame, paired: bool = False) -> D
     else:
         base = df.where("grp = 0").groupBy("feature").agg(F.avg("value").alias("base"))
         d = df.where("grp = 1").join(base, "feature").select("feature", "sample", F.log2(F.abs((F.col("value") + small) / (F.col("base") + small))).alias("x"))
-    d = d.join(groups, "feature")
+    return d.join(groups, "feature")
+
+
+def likelihood_shares(df: DataFrame, groups: DataFrame, paired: bool = False) -> tuple[float, float]:
+    """(intra, inter): shares of the variance of `changes` that features and samples have, by restricted likelihood with fixed means of groups; cells
+    may be missing. (0, 0) where nothing varies."""
+    features, samples, rest = va.components(changes(df, groups, paired))
+    total = features + samples + rest
+    return (features / total, samples / total) if total else (0.0, 0.0)
+
+
+def variance_shares(df: DataFrame, groups: DataFrame, paired: bool = False) -> DataFrame:
+    """(intra, inter): shares of the variance of log2 changes that features inside groups and samples have, once the groups' means are gone.
+
+    Variance components of `changes` are those of the two-way layout of features and samples without repeats, by mean squares, which is
+    for tables without missing cells; see likelihood_shares.
+    """
+    d = changes(df, groups, paired)
     d = d.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("group")))
     all_ = d.agg(F.avg("x").alias("m"), F.countDistinct("feature").alias("f"), F.countDistinct("sample").alias("s"), F.countDistinct("group").alias("k"), F.sum(F.col("x") * F.col("x")).alias("ss"))
     rows = d.groupBy("feature").agg(F.avg("x").alias("a")).agg(F.sum(F.col("a") * F.col("a")).alias("fa"))
@@ -168,9 +182,9 @@ def select_grouping(df: DataFrame, paired: bool = False) -> tuple[str, DataFrame
         groups = f.select("feature", how.alias("group"))
         if groups.groupBy("group").count().where("count < 2").limit(1).count():
             continue
-        r = variance_shares(df, groups, paired).first()
-        if r["intra"] is not None and (best is None or r["intra"] - r["inter"] > best[0]):
-            best = (r["intra"] - r["inter"], name, groups, r["intra"], r["inter"])
+        intra, inter = likelihood_shares(df, groups, paired)
+        if best is None or intra - inter > best[0]:
+            best = (intra - inter, name, groups, intra, inter)
     if best and (best[3] > 3 * best[4] or (best[3] > best[4] and best[3] > 0.1)):
         return best[1], best[2]
     return "all", f.select("feature", F.lit("group1").alias("group"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sugarbeam.operators import annotation as an
+from sugarbeam.operators import variance as va
 from sugarbeam.operators import workflow as wf
 from sugarbeam.plans import fixtures as fx
 from sugarbeam.plans import structures  # noqa: F401  gives queries their SQL
@@ -49,3 +51,11 @@ def differential_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fx.sequence_abundance(spark, sf_dir, SEQUENCES)
     wide = d.groupBy("feature").pivot("sample", [f"s{k}" for k in range(10)]).agg(F.first("value"))
     return rounded(wf.differential_expression(wide, [f"s{k}" for k in range(0, 10, 2)], [f"s{k}" for k in range(1, 10, 2)], impute=False), 9)
+
+
+@query()
+def variance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances of log revenue over the parts' sequences, samples and the rest, with fixed means of sequences with and without sialic acid and fucose; sequences
+    that a sample lacks are missing cells. Tested against dense matrices."""
+    d = fx.sequence_abundance(spark, sf_dir, SEQUENCES).select("feature", "sample", an.sia_fuc_group(F.col("feature")).alias("group"), F.log2("value").alias("x"))
+    return rounded(spark.createDataFrame([va.components(d)], "features double, samples double, rest double"), 5)
