@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugarbeam.sources.store import shared_folder
@@ -107,7 +107,7 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-#: Bytes of text that a sample of labelled rows brings to the driver; a longer text than what is left ends the sample.
+#: Bytes of text that a sample of labelled rows brings to the driver; a longer text than what is left is not in the sample.
 FIT_BYTES = 64 << 20
 
 
@@ -126,12 +126,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 
 
 def one_text_each(docs: DataFrame, ids: DataFrame, values: list[str], most: int = FIT_BYTES) -> DataFrame:
-    """(doc_id, text, values) of the documents of `ids` (doc_id, h, values), a table of a bounded number of rows: one row an id, in order of h, while
-    the texts stay below `most` bytes."""
+    """(doc_id, text, values) of the documents of `ids` (doc_id, h, values), a table of a bounded number of rows: one row an id, taken in order of h
+    while the texts stay below `most` bytes; a text that does not fit is left out, and smaller ones after it are still taken."""
     mine = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     one = mine.groupBy("doc_id").agg(F.min_by(F.struct("text", "h", *values), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.*")
-    # The texts are written where they were found; only ids and sizes, as many as `ids` has rows, meet in one task.
+    # The texts are written where they were found; only ids and sizes, as many as `ids` has rows, meet in one place.
     one = stored(one.withColumn("_n", F.octet_length("text")))
-    so_far = F.sum("_n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = one.select("doc_id", so_far.alias("_b")).where(F.col("_b") <= most).select("doc_id")
-    return one.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "text", *values)
+    fits, left = [], most
+    for r in sorted(one.select("h", "doc_id", "_n").collect()):
+        if r["_n"] <= left:
+            fits.append((r["doc_id"],))
+            left -= r["_n"]
+    taken = docs.sparkSession.createDataFrame(fits, one.select("doc_id").schema)
+    return one.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "text", *values)

@@ -21,6 +21,8 @@ def test_samples_are_bounded_by_rows_and_bytes(spark):
     got = labelled_sample(docs, labels, "toxic", 4).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 4]
     assert sum(len(r.text) for r in labelled_sample(docs, labels, "toxic", 4, 100).collect()) <= 100
+    # A text that is longer than the bound loses itself only.
+    assert sorted(r.doc_id for r in labelled_sample(docs, labels, "toxic", 4, 100).collect()) == [1, 4]
     assert labelled_sample(docs, labels.limit(0), "toxic", 4).count() == 0
 
 
