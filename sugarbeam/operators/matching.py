@@ -14,9 +14,13 @@ from sugarbeam.functions import columns as c
 from sugarbeam.functions import glycan as g
 from sugarbeam.functions import patterns, structure
 from sugarbeam.operators.networks import connected
+from sugarbeam.sources.store import spread, written
 
 #: A residue that may be any, and what a motif without a certain residue is listed under.
 ANY = "*"
+#: What linkages that are not certain are counted under.
+OPEN = "b:?"
+_CERTAIN = re.compile(r"[ab][12]-\d")
 
 
 def _bare(name: str) -> str:
@@ -25,10 +29,12 @@ def _bare(name: str) -> str:
 
 def sequence_labels(text: str) -> dict[str, int]:
     """How often each label occurs: `r:` and a residue that a residue of the sequence may be, `c:` and a class that it may belong to; ANY for
-    residues that may be any. ANY is always there, with 0 if none is."""
-    out: Counter[str] = Counter({ANY: 0})
+    residues that may be any; `b:` and a certain linkage, OPEN for other linkages. ANY and OPEN are always there, with 0 if none is."""
+    out: Counter[str] = Counter({ANY: 0, OPEN: 0})
     for tree in g.parse(text):
         for r in g.residues(tree):
+            if r.linkage:
+                out[f"b:{r.linkage}" if _CERTAIN.fullmatch(r.linkage) else OPEN] += 1
             name = _bare(r.name)
             if "Monosaccharide" in name or name.startswith("!"):
                 out[ANY] += 1
@@ -47,51 +53,75 @@ def motif_labels(motif: str) -> dict[str, int]:
         name = _bare(r.name)
         if "Monosaccharide" not in name and not name.startswith("!"):
             out[f"c:{name}" if name in g.CLASSES else f"r:{name}"] += 1
+        if not name.startswith("!") and _CERTAIN.fullmatch(r.linkage):  # of !X the linkage may be another
+            out[f"b:{r.linkage}"] += 1
     return dict(out)
 
 
-def candidates(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataFrame:
-    """(glycan, name, motif, termini): the pairs of a distinct sequence and a motif (name, motif, termini) whose labels the sequence holds.
+def _each(motifs: DataFrame) -> DataFrame:
+    """(_m, motif, termini, _want): each motif once, however many names it has, with a number that the written table fixes."""
+    once = motifs.select("motif", "termini").distinct().withColumn("_want", c._mapped(motif_labels, "map<string,int>")(F.col("motif"))).where("_want IS NOT NULL")
+    return written(once.select(F.monotonically_increasing_id().alias("_m"), "motif", "termini", "_want"))
 
-    Each motif is listed under the rarest of its labels among the sequences only, and sequences are listed under the labels that motifs are
-    listed under, so a pair comes up once, and motifs with a rare residue meet the few sequences that have it. The other labels are
-    compared as maps in plain expressions. Motifs that are no sequence and texts that are none have no rows.
-    """
-    texts = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_have", c._mapped(sequence_labels, "map<string,int>")(F.col(column))).where("_have IS NOT NULL")
-    want = motifs.withColumn("_want", c._mapped(motif_labels, "map<string,int>")(F.col("motif"))).where("_want IS NOT NULL")
-    certain = want.select(F.explode("_want").alias("label", "_k")).select("label").distinct()
-    often = texts.select(F.explode(F.map_keys("_have")).alias("label")).join(certain, "label").groupBy("label").agg(F.count("*").alias("_df"))
-    labels = want.select("name", "motif", F.explode_outer("_want").alias("label", "_k")).join(often, "label", "left")
-    rarest = labels.groupBy("name", "motif").agg(F.min_by("label", F.struct(F.coalesce("_df", F.lit(0)), "label")).alias("label"))
-    listed = want.join(rarest.select("name", "motif", F.coalesce("label", F.lit(ANY)).alias("label")), ["name", "motif"])
+
+def _pairs(df: DataFrame, want: DataFrame, column: str) -> DataFrame:
+    """(glycan, _m, motif, termini): the pairs of a distinct sequence and a motif of `want`, as `_each` gives them, whose labels the sequence holds."""
+    texts = spread(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
+    texts = written(texts.withColumn("_have", c._mapped(sequence_labels, "map<string,int>")(F.col(column))).where("_have IS NOT NULL"))
+    labels = want.select("_m", F.explode_outer(F.map_keys(F.map_filter("_want", lambda k, _: ~k.startswith("b:")))).alias("label"))
+    certain = labels.select("label").distinct()
+    often = texts.select(F.explode(F.map_keys("_have")).alias("label")).join(F.broadcast(certain), "label").groupBy("label").agg(F.count("*").alias("_df"))  # as many as there are residues
+    rarest = labels.join(often, "label", "left").groupBy("_m").agg(F.min_by("label", F.struct(F.coalesce("_df", F.lit(0)), "label")).alias("label"))
+    listed = written(want.join(rarest.select("_m", F.coalesce("label", F.lit(ANY)).alias("label")), "_m"))
     # A sequence with residues that may be any meets every motif.
     free = F.col("_have")[ANY]
     own = texts.where(free == 0).select(column, "_have", F.explode(F.map_keys("_have")).alias("label"))
     some = own.join(listed, "label")
     every = texts.where(free > 0).withColumn("label", F.lit(ANY)).join(want.withColumn("label", F.lit(ANY)), "label").select(some.columns)
-    fits = F.forall(F.map_entries("_want"), lambda e: F.coalesce(F.element_at("_have", e["key"]), F.lit(0)) + free >= e["value"])
-    return some.unionByName(every).where(fits).select(column, "name", "motif", "termini")
+    spare = lambda k: F.when(k.startswith("b:"), F.col("_have")[OPEN]).otherwise(free)
+    fits = F.forall(F.map_entries("_want"), lambda e: F.coalesce(F.element_at("_have", e["key"]), F.lit(0)) + spare(e["key"]) >= e["value"])
+    return spread(some.unionByName(every).where(fits).select(column, "_m", "motif", "termini"), column, "_m")
+
+
+def _named(found: DataFrame, motifs: DataFrame, want: DataFrame, column: str) -> DataFrame:
+    """found (glycan, _m, ...) with the names of its motifs. A motif with many names or in many sequences is dealt into SALTS parts."""
+    m = motifs.select("name", F.col("motif").alias("_t"), F.col("termini").alias("_p"))
+    names = m.join(want, (F.col("_t") == F.col("motif")) & F.col("_p").eqNullSafe(F.col("termini"))).select("name", "_m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return found.withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")).join(names, ["_m", "_salt"])
+
+
+def candidates(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataFrame:
+    """(glycan, name, motif, termini): the pairs of a distinct sequence and a motif (name, motif, termini) whose labels the sequence holds.
+
+    Motifs of several names are looked up once. Each motif is listed under the rarest of its residues' labels among the sequences only, and sequences
+    are listed under the labels that motifs are listed under, so a pair comes up once, and motifs with a rare residue meet the few sequences that have
+    it. The other labels are compared as maps in plain expressions. Motifs that are no sequence and texts that are none have no rows.
+    """
+    want = _each(motifs)
+    return _named(_pairs(df, want, column), motifs, want, column).select(column, "name", "motif", "termini")
 
 
 def motif_counts(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataFrame:
     """(glycan, name, n) of each distinct sequence and each motif (name, motif, termini) that occurs in it; only pairs that the index leaves are
-    matched. termini: for each residue of the motif terminal, internal or flexible, or null."""
+    matched, once for all names of a motif. termini: for each residue of the motif terminal, internal or flexible, or null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled: dict = {}
         for pdf in batches:
             rows = []
-            for x, name, m, places in zip(pdf[column], pdf["name"], pdf["motif"], pdf["termini"], strict=True):
+            for x, k, m, places in zip(pdf[column], pdf["_m"], pdf["motif"], pdf["termini"], strict=True):
                 if m.startswith("r"):
                     compiled[m] = compiled.get(m) or patterns.compile_pattern(m[1:])
                     n = len(patterns.matches(compiled[m], x))
                 else:
                     n = g.motif_count(x, m, list(places) if places is not None else None)
                 if n:
-                    rows.append((x, name, n))
-            yield pd.DataFrame(rows, columns=[column, "name", "n"])
+                    rows.append((x, k, n))
+            yield pd.DataFrame(rows, columns=[column, "_m", "n"])
 
-    return candidates(df, motifs, column).mapInPandas(run, f"`{column}` string, name string, n int")
+    want = _each(motifs)
+    found = _pairs(df, want, column).mapInPandas(run, f"`{column}` string, _m bigint, n int")
+    return _named(found, motifs, want, column).select(column, "name", "n")
 
 
 class MotifNodes:
@@ -117,14 +147,16 @@ def register(spark: SparkSession) -> None:
 
 def node_maps(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataFrame:
     """(glycan, name, match, motif_node, node, residue): where each motif lies in each distinct sequence, a row for each of its residues; places
-    count from 0 in the order of the texts. The table function runs on the pairs that the index leaves."""
+    count from 0 in the order of the texts. The table function runs on the pairs that the index leaves, once for all names of a motif."""
     spark = df.sparkSession
     register(spark)
-    pairs = candidates(df, motifs.where(~F.col("motif").startswith("r")), column)
-    return spark.sql(f"SELECT p.`{column}`, p.name, m.* FROM {{pairs}} p, LATERAL motif_nodes(p.`{column}`, p.motif, p.termini) m", pairs=pairs)
+    motifs = motifs.where(~F.col("motif").startswith("r"))
+    want = _each(motifs)
+    found = spark.sql(f"SELECT p.`{column}`, p._m, m.* FROM {{pairs}} p, LATERAL motif_nodes(p.`{column}`, p.motif, p.termini) m", pairs=_pairs(df, want, column))
+    return _named(found, motifs, want, column).select(column, "name", "match", "motif_node", "node", "residue")
 
 
-#: Parts that a block of sequences is dealt into.
+#: Parts that a block of sequences and the names of a motif are dealt into.
 SALTS = 8
 
 

@@ -28,6 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by the columns `by` to a fixed number of tasks: few short texts, which Spark would else put together into one task by their bytes,
+    can be much work each."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -36,6 +36,19 @@ def test_index_leaves_every_match(spark):
     assert ma.motif_counts(df.limit(0), motifs).count() == ma.motif_counts(df, motifs.limit(0)).count() == 0
 
 
+def test_a_motif_of_many_names_is_matched_once(spark):
+    rows = [(f"n{i}", m, None) for i in range(50) for m in ("Gal(b1-4)Glc", "Man(a1-3)Man")]
+    df, motifs = spark.createDataFrame([(t,) for t in SEQUENCES], "glycan string"), spark.createDataFrame(rows, "name string, motif string, termini array<string>")
+    want = {(t, n, g.motif_count(t, m)) for t in SEQUENCES for n, m, _ in rows if g.motif_count(t, m)}
+    got = ma.motif_counts(df, motifs).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    each = ma._each(motifs)
+    assert each.count() == 2
+    # A certain linkage that the sequence does not have rules a pair out.
+    assert "b:a1-3" in ma.motif_labels("Man(a1-3)Man") and {r.motif for r in ma._pairs(df.where("glycan = 'Man(a1-2)Man'"), each, "glycan").collect()} == set()
+    assert ma._pairs(df, each, "glycan").rdd.getNumPartitions() >= 4  # not in one task for few bytes
+
+
 def brute(text: str, motif: str) -> int:
     """Injective maps of the motif's residues that keep names, parents and linkages, over all choices of residues."""
 
