@@ -49,6 +49,14 @@ def test_a_motif_of_many_names_is_matched_once(spark):
     assert ma._pairs(df, each, "glycan").rdd.getNumPartitions() >= 4  # not in one task for few bytes
 
 
+def test_node_maps_of_a_motif_of_many_names(spark):
+    rows = [(f"n{i}", "Gal(b1-4)Glc", None) for i in range(9)]
+    df, motifs = spark.createDataFrame([(t,) for t in SEQUENCES], "glycan string"), spark.createDataFrame(rows, "name string, motif string, termini array<string>")
+    got = ma.node_maps(df, motifs).collect()
+    want = {(t, n, k, a, b) for t in SEQUENCES for n, m, p in rows for k, way in enumerate(structure.embeddings(t, m, p)) for a, b in way}
+    assert {(r.glycan, r.name, r["match"], r.motif_node, r.node) for r in got} == want and len(got) == len(want)
+
+
 def brute(text: str, motif: str) -> int:
     """Injective maps of the motif's residues that keep names, parents and linkages, over all choices of residues."""
 
