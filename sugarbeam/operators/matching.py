@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sugarbeam.functions import columns as c
@@ -160,9 +160,15 @@ def node_maps(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataF
 SALTS = 8
 
 
-def _block(text: str) -> list[str] | None:
-    """[shape, parts, wildcards and marked ends]: what equal sequences share is the shape (size, leaves and branching) and the classes of their residues unless one may be
-    any. None for floating parts, which equal as texts only."""
+#: The linkage that any other equals.
+FREE = "?1-?"
+
+
+def _block(text: str) -> list[list[str]] | None:
+    """[[shape, parts, wildcards and marked ends, mask], names, classes]: what equal sequences share is the shape (size, leaves and branching) and the classes of their residues unless one may be
+    any. None for floating parts, which equal as texts only. Of a chain without branches whose residues and linkages are each certain, a class or
+    wholly open, names are its residues and linkages from the root on, classes the same with every residue's class and FREE for linkages, and
+    the mask has 1 where the chain is open; mask and lists are empty for other sequences."""
     trees = g.parse(text)
     if len(trees) != 1:
         return None
@@ -172,27 +178,58 @@ def _block(text: str) -> list[str] | None:
     free = any("Monosaccharide" in n or n.startswith("!") for n in names)
     open_ = sum(n in g.CLASSES for n in names) + text.count("?") + text.count("/") + free + sum(r.name != _bare(r.name) for r in all_)
     parts = ANY if free else "|".join(sorted(kind.get(n, n) for n in names))
-    return [f"{len(all_)},{sum(not r.children for r in all_)},{sum(len(r.children) > 1 for r in all_)}", parts, str(open_)]
+    links = [r.linkage for r in all_[1:]]
+    plain = not free and all(len(r.children) < 2 for r in all_) and not trees[0].linkage and all(x == FREE or _CERTAIN.fullmatch(x) for x in links)
+    head = [f"{len(all_)},{sum(not r.children for r in all_)},{sum(len(r.children) > 1 for r in all_)}", parts, str(open_)]
+    if not plain:
+        return [[*head, ""], [], []]
+    fine = [x for pair in zip(names, ["", *links], strict=True) for x in pair]
+    mask = "".join("1" if x in g.CLASSES or x == FREE else "0" for x in fine)
+    return [[*head, mask], fine, [x for n in names for x in (kind.get(n, n), FREE)]]
 
 
-def equal_links(df: DataFrame, column: str = "glycan") -> DataFrame:
-    """(a, b): pairs of distinct canonical texts that are equal up to wildcards.
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(text, shape, parts, open, mask, names, classes) of canonical texts, written once."""
+    d = spread(texts, "text").withColumn("k", c._mapped(_block, "array<array<string>>")(F.col("text"))).where("k IS NOT NULL")
+    return written(d.selectExpr("text", "k[0][0] AS shape", "k[0][1] AS parts", "int(k[0][2]) AS open", "k[0][3] AS mask", "k[1] AS names", "k[2] AS classes"))
+
+
+def _chain_groups(d: DataFrame) -> DataFrame:
+    """(text, side, low, high, key) of chains, d as `_blocks` gives it: two chains, one of mask `low` (side 0) and one of mask `high` (side 1, or 0 too if the masks are
+    one), are equal if and only if they share a key: the names where neither is open and the classes where one is. A chain has one row for each mask
+    that its block holds, so rows are never more than the pairs of the block, and on few masks grow with the chains."""
+    own = d.where("mask <> ''")
+    masks = own.select("parts", F.col("mask").alias("other")).distinct()  # parts tell the length
+    both = own.select("text", "parts", "mask", "names", "classes").join(masks, "parts")
+    opened = lambda i: (F.substring("mask", i + 1, F.lit(1)) == "1") | (F.substring("other", i + 1, F.lit(1)) == "1")
+    key = F.array_join(F.transform("names", lambda x, i: F.when(opened(i), F.element_at("classes", i + 1)).otherwise(x)), "|")
+    return both.select("text", (F.col("mask") > F.col("other")).cast("int").alias("side"), F.least("mask", "other").alias("low"), F.greatest("mask", "other").alias("high"), key.alias("key"))
+
+
+_GROUP = ["low", "high", "key"]
+
+
+def _other_links(d: DataFrame) -> DataFrame:
+    """(a, b): equal pairs of which one at least is no chain as `_block` reads it.
 
-    Sequences meet inside blocks of one shape and one multiset of residue classes. Two sequences without wildcards are equal only as texts
+    They meet inside blocks of one shape and one multiset of residue classes. Two sequences without wildcards are equal only as texts
     (a reducing end that is marked counts as one, since it equals the plain residue), so one side of each pair has wildcards; the other side of a block is dealt into SALTS parts, each of which meets all of the first.
     Sequences with a residue that may be any meet their whole shape.
     """
-    block = c._mapped(_block, "array<string>")
-    texts = df.select(c.canonical(F.col(column)).alias("text")).where("text IS NOT NULL").distinct()
-    d = texts.withColumn("k", block(F.col("text"))).where("k IS NOT NULL").selectExpr("text", "k[0] AS shape", "k[1] AS parts", "int(k[2]) AS open")
+    d = d.withColumn("plain", F.col("mask") != "")
     many = d.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
     wild = d.where("open > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x, y = wild.select(F.col("text").alias("a"), "shape", "salt", F.col("parts").alias("pa")), many.select(F.col("text").alias("b"), "shape", "salt", F.col("parts").alias("pb"), F.col("open").alias("ob"))
-    certain = x.where(F.col("pa") != ANY).join(y.where(F.col("pb") != ANY).withColumn("pa", F.col("pb")), ["shape", "salt", "pa"])
-    any_ = x.where(F.col("pa") == ANY).join(y, ["shape", "salt"]).select(certain.columns)
-    other = x.where(F.col("pa") != ANY).join(y.where(F.col("pb") == ANY), ["shape", "salt"]).select(certain.columns)
+
+    def met(wild: DataFrame, many: DataFrame) -> DataFrame:
+        x, y = wild.select(F.col("text").alias("a"), "shape", "salt", F.col("parts").alias("pa")), many.select(F.col("text").alias("b"), "shape", "salt", F.col("parts").alias("pb"), F.col("open").alias("ob"))
+        certain = x.where(F.col("pa") != ANY).join(y.where(F.col("pb") != ANY).withColumn("pa", F.col("pb")), ["shape", "salt", "pa"])
+        any_ = x.where(F.col("pa") == ANY).join(y, ["shape", "salt"]).select(certain.columns)
+        other = x.where(F.col("pa") != ANY).join(y.where(F.col("pb") == ANY), ["shape", "salt"]).select(certain.columns)
+        return certain.unionByName(any_).unionByName(other)
+
     # Of two that both have wildcards the pair comes up in both orders.
-    pairs = certain.unionByName(any_).unionByName(other).where("a <> b AND (ob = 0 OR a < b)").select("a", "b").distinct()
+    pairs = met(wild.where("NOT plain"), many).unionByName(met(wild.where("plain"), many.where("NOT plain")))
+    pairs = spread(pairs.where("a <> b AND (ob = 0 OR a < b)").select("a", "b").distinct(), "a", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,11 +239,31 @@ def equal_links(df: DataFrame, column: str = "glycan") -> DataFrame:
     return pairs.mapInPandas(run, "a string, b string")
 
 
+def _texts(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).where(F.col(column).isNotNull()).distinct().transform(spread, column).select(c.canonical(F.col(column)).alias("text")).where("text IS NOT NULL").distinct()
+
+
+def equal_links(df: DataFrame, column: str = "glycan") -> DataFrame:
+    """(a, b): pairs of distinct canonical texts that are equal up to wildcards. Chains meet by their groups' keys, other sequences in blocks."""
+    d = _blocks(_texts(df, column))
+    rows = _chain_groups(d)
+    x, y = rows.where("side = 0").withColumnRenamed("text", "a").drop("side"), rows.where("side = 1 OR low = high").withColumnRenamed("text", "b").drop("side")
+    pairs = x.join(y, _GROUP).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.unionByName(_other_links(d))
+
+
+def _stars(d: DataFrame) -> DataFrame:
+    """(a, b): links that connect what those of equal_links connect: all chains of a group hang on its first, if both of its masks have one."""
+    whole = Window.partitionBy(*_GROUP)
+    rows = _chain_groups(d).select("text", F.min("text").over(whole).alias("b"), (F.expr("low = high") | (F.min("side").over(whole) < F.max("side").over(whole))).alias("ok"))
+    return rows.where("ok AND text <> b").select(F.col("text").alias("a"), "b").distinct().unionByName(_other_links(d))
+
+
 def deduplicated(df: DataFrame, column: str = "glycan") -> DataFrame:
     """(glycan, canonical, representative) of each distinct sequence: sequences that links of equality connect have one representative, the one of
     fewest wildcards (? and /), then the first by text. Texts that are no sequence stand for themselves, with a null canonical text."""
-    d = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("canonical", c.canonical(F.col(column)))
-    links = equal_links(df, column)
+    d = written(spread(df.select(column).where(F.col(column).isNotNull()).distinct(), column).withColumn("canonical", c.canonical(F.col(column))))
+    links = _stars(_blocks(d.select(F.col("canonical").alias("text")).where("text IS NOT NULL").distinct()))
     label = connected(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     wild = F.length(F.regexp_replace("canonical", "[^?/]", ""))
     first = d.join(label.withColumnRenamed("node", "canonical"), "canonical").groupBy("label").agg(F.min_by("canonical", F.struct(wild, "canonical")).alias("_first"))

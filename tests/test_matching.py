@@ -109,3 +109,24 @@ def test_equality_with_wildcards_loses_no_link(spark):
     got = {r.glycan: r.representative for r in ma.deduplicated(df).collect()}
     assert got == {**{t: first[up[g.canonical(t)]][1] for t in ok}, "[no sequence": "[no sequence"}
     assert ma.kept(df).count() == len(set(got.values()))
+
+
+def test_chains_meet_by_key_alone(spark, monkeypatch):
+    names, links = ["Gal", "Man", "Hex", "GlcNAc", "HexNAc"], ["b1-4", "a1-2", "?1-?"]
+    texts = [f"{a}({x}){b}({y})Gal{end}" for a in names for x in links for b in names for y in links for end in ("", "-ol")][::3] + ["Gal(b1-?)Man(a1-2)Gal", "Sia(a2-3)Gal(b1-4)Gal", "Neu5Ac(a2-3)Hex(b1-4)Gal"]
+    df = spark.createDataFrame([(t,) for t in texts], "glycan string")
+    want = {tuple(sorted(p)) for p in itertools.combinations(texts, 2) if g.same_sequence(*p) or g.same_sequence(*p[::-1])}
+    got = [tuple(sorted(r)) for r in ma.equal_links(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    d = ma._blocks(ma._texts(df, "glycan"))
+    assert all("b1-?" in r.a + r.b for r in ma._other_links(d).collect())  # other pairs are compared by key, none in Python
+    up = {t: t for t in texts}
+    for a, b in want:
+        x, y = up[a], up[b]
+        up = {t: x if v == y else v for t, v in up.items()}
+    stars = {t: t for t in texts}
+    for a, b in ma._stars(d).collect():
+        assert up[a] == up[b]
+        x, y = stars[a], stars[b]
+        stars = {t: x if v == y else v for t, v in stars.items()}
+    assert len(set(stars.values())) == len(set(up.values()))
