@@ -130,3 +130,19 @@ def test_chains_meet_by_key_alone(spark, monkeypatch):
         x, y = stars[a], stars[b]
         stars = {t: x if v == y else v for t, v in stars.items()}
     assert len(set(stars.values())) == len(set(up.values()))
+
+
+def test_canonical_text_writes_each_branch_once(monkeypatch):
+    called, position = [], g._position
+    monkeypatch.setattr(g, "_position", lambda link: called.append(link) or position(link))
+    text = "Gal(b1-4)" * 14 + "Glc"
+    assert g.canonical(text) == text and len(called) == 14
+
+
+def test_sequences_are_dealt_before_python(spark):
+    from sugarbeam.operators import annotation as an
+
+    df = spark.createDataFrame([(t,) for t in SEQUENCES], "glycan string").distinct()
+    out = an.present(df, df.where("glycan LIKE 'Gal%'"))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    assert {r.glycan: r.present for r in out.collect()} == {t: t.startswith("Gal") for t in SEQUENCES}
