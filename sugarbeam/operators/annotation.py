@@ -17,6 +17,7 @@ from sugarbeam.functions import glycan as g
 from sugarbeam.functions import structure
 from sugarbeam.functions.motifs import motif_list
 from sugarbeam.operators import networks as nw
+from sugarbeam.sources.store import spread
 
 Motif = tuple[str, str, list[str]]  # name, sequence, place of each residue
 
@@ -222,8 +223,8 @@ def insight(asked: DataFrame, known: DataFrame, motifs: list[Motif], column: str
 def present(asked: DataFrame, known: DataFrame, column: str = "glycan") -> DataFrame:
     """(glycan, present): whether `known` holds the sequence, up to branch order. Sequences with wildcards compare as texts of their own."""
     key = c.canonical(F.col(column)).alias("key")
-    have = known.select(key).where("key is not null").distinct().withColumn("present", F.lit(True))
-    return asked.select(column, key).join(have, "key", "left").select(column, F.coalesce("present", F.lit(False)).alias("present"))
+    have = spread(known.select(column).distinct(), column).select(key).where("key is not null").distinct().withColumn("present", F.lit(True))
+    return spread(asked.select(column), column).select(column, key).join(have, "key", "left").select(column, F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def uncertain_counts(df: DataFrame, feasible: DataFrame, motifs: list[Motif], column: str = "glycan") -> DataFrame:

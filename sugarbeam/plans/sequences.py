@@ -130,12 +130,12 @@ def glycan_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def glycan_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from each sequence's precursors, a frontier at a time, down to single residues."""
-    from sugarbeam.sources.store import checkpointed
+    from sugarbeam.sources.store import checkpointed, spread
 
-    frontier = sequences(spark, sf_dir).select(c.canonical(F.col("glycan")).alias("dst"))
+    frontier = checkpointed(spread(sequences(spark, sf_dir), "glycan").select(c.canonical(F.col("glycan")).alias("dst")))
     seen, found = frontier, None
     for _ in range(20):
-        step = checkpointed(frontier.select("dst", F.explode(c.precursors(F.col("dst"))).alias("e")).select("e.src", "dst", "e.diffs"))
+        step = checkpointed(spread(frontier, "dst").select("dst", F.explode(c.precursors(F.col("dst"))).alias("e")).select("e.src", "dst", "e.diffs"))
         found = step if found is None else found.union(step)
         frontier = checkpointed(step.select(F.col("src").alias("dst")).distinct().join(seen, "dst", "left_anti"))
         if not frontier.limit(1).count():
