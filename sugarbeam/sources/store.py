@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +31,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df dealt by the columns `by` to a fixed number of tasks: few short texts, which Spark would else put together into one task by their bytes,
-    can be much work each."""
+    can be much work each. By a hash, since rows that are dealt by `by` already, as after distinct(), would else stay as they are."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(*by))
 
 
 _written: list[tuple[SparkSession, str]] = []
