@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,15 @@ def _bare(name: str) -> str:
     return re.sub("-ol$|1Cer$", "", name)
 
 
+@functools.lru_cache(1 << 16)
+def _residue_labels(name: str) -> tuple[str, ...]:
+    name = _bare(name)
+    if "Monosaccharide" in name or name.startswith("!"):
+        return (ANY,)
+    classes = {f"c:{k}" for k, names in g.CLASSES.items() if name in names}
+    return tuple({f"r:{name}", f"c:{name}"} | {f"r:{x}" for x in g.CLASSES.get(name, ())} | classes)
+
+
 def sequence_labels(text: str) -> dict[str, int]:
     """How often each label occurs: `r:` and a residue that a residue of the sequence may be, `c:` and a class that it may belong to; ANY for
     residues that may be any; `b:` and a certain linkage, OPEN for other linkages. ANY and OPEN are always there, with 0 if none is."""
@@ -35,12 +45,8 @@ def sequence_labels(text: str) -> dict[str, int]:
         for r in g.residues(tree):
             if r.linkage:
                 out[f"b:{r.linkage}" if _CERTAIN.fullmatch(r.linkage) else OPEN] += 1
-            name = _bare(r.name)
-            if "Monosaccharide" in name or name.startswith("!"):
-                out[ANY] += 1
-                continue
-            mine = {f"r:{name}", f"c:{name}"} | {f"r:{x}" for x in g.CLASSES.get(name, ())} | {f"c:{k}" for k, names in g.CLASSES.items() if name in names}
-            out.update(mine)
+            for label in _residue_labels(r.name):
+                out[label] += 1
     return dict(out)
 
 
@@ -60,14 +66,15 @@ def motif_labels(motif: str) -> dict[str, int]:
 
 def _each(motifs: DataFrame) -> DataFrame:
     """(_m, motif, termini, _want): each motif once, however many names it has, with a number that the written table fixes."""
-    once = motifs.select("motif", "termini").distinct().withColumn("_want", c._mapped(motif_labels, "map<string,int>")(F.col("motif"))).where("_want IS NOT NULL")
-    return written(once.select(F.monotonically_increasing_id().alias("_m"), "motif", "termini", "_want"))
+    once = motifs.select("motif", "termini").distinct().withColumn("_want", c._mapped(motif_labels, "map<string,int>")(F.col("motif")))
+    return written(once.select(F.monotonically_increasing_id().alias("_m"), "motif", "termini", "_want")).where("_want IS NOT NULL")
 
 
 def _pairs(df: DataFrame, want: DataFrame, column: str) -> DataFrame:
     """(glycan, _m, motif, termini): the pairs of a distinct sequence and a motif of `want`, as `_each` gives them, whose labels the sequence holds."""
     texts = spread(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
-    texts = written(texts.withColumn("_have", c._mapped(sequence_labels, "map<string,int>")(F.col(column))).where("_have IS NOT NULL"))
+    # Filtered as a table: Spark would call Python for a filter before the dealing too, on every row and in as few tasks as the input has files.
+    texts = written(texts.withColumn("_have", c._mapped(sequence_labels, "map<string,int>")(F.col(column)))).where("_have IS NOT NULL")
     labels = want.select("_m", F.explode_outer(F.map_keys(F.map_filter("_want", lambda k, _: ~k.startswith("b:")))).alias("label"))
     certain = labels.select("label").distinct()
     often = texts.select(F.explode(F.map_keys("_have")).alias("label")).join(F.broadcast(certain), "label").groupBy("label").agg(F.count("*").alias("_df"))  # as many as there are residues
@@ -147,12 +154,19 @@ def register(spark: SparkSession) -> None:
 
 def node_maps(df: DataFrame, motifs: DataFrame, column: str = "glycan") -> DataFrame:
     """(glycan, name, match, motif_node, node, residue): where each motif lies in each distinct sequence, a row for each of its residues; places
-    count from 0 in the order of the texts. The table function runs on the pairs that the index leaves, once for all names of a motif."""
-    spark = df.sparkSession
-    register(spark)
+    count from 0 in the order of the texts. What the table function does runs in batches on the pairs that the index leaves, once for all names of a motif."""
+    register(df.sparkSession)
+    names = [column, "_m", "match", "motif_node", "node", "residue"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = MotifNodes()
+        for pdf in batches:
+            rows = [(x, k, *row) for x, k, m, places in zip(pdf[column], pdf["_m"], pdf["motif"], pdf["termini"], strict=True) for row in one.eval(x, m, list(places) if places is not None else None)]
+            yield pd.DataFrame(rows, columns=names)
+
     motifs = motifs.where(~F.col("motif").startswith("r"))
     want = _each(motifs)
-    found = spark.sql(f"SELECT p.`{column}`, p._m, m.* FROM {{pairs}} p, LATERAL motif_nodes(p.`{column}`, p.motif, p.termini) m", pairs=_pairs(df, want, column))
+    found = _pairs(df, want, column).mapInPandas(run, f"`{column}` string, _m bigint, match int, motif_node int, node int, residue string")
     return _named(found, motifs, want, column).select(column, "name", "match", "motif_node", "node", "residue")
 
 
@@ -190,7 +204,7 @@ def _block(text: str) -> list[list[str]] | None:
 
 def _blocks(texts: DataFrame) -> DataFrame:
     """(text, shape, parts, open, mask, names, classes) of canonical texts, written once."""
-    d = spread(texts, "text").withColumn("k", c._mapped(_block, "array<array<string>>")(F.col("text"))).where("k IS NOT NULL")
+    d = written(spread(texts, "text").withColumn("k", c._mapped(_block, "array<array<string>>")(F.col("text")))).where("k IS NOT NULL")
     return written(d.selectExpr("text", "k[0][0] AS shape", "k[0][1] AS parts", "int(k[0][2]) AS open", "k[0][3] AS mask", "k[1] AS names", "k[2] AS classes"))
 
 
@@ -240,7 +254,8 @@ def _other_links(d: DataFrame) -> DataFrame:
 
 
 def _texts(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).where(F.col(column).isNotNull()).distinct().transform(spread, column).select(c.canonical(F.col(column)).alias("text")).where("text IS NOT NULL").distinct()
+    texts = df.select(column).where(F.col(column).isNotNull()).distinct().transform(spread, column).select(c.canonical(F.col(column)).alias("text"))
+    return written(texts).where("text IS NOT NULL").distinct()
 
 
 def equal_links(df: DataFrame, column: str = "glycan") -> DataFrame:

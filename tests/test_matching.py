@@ -9,6 +9,7 @@ from sugarbeam.functions import structure
 from sugarbeam.functions.motifs import motif_list
 from sugarbeam.operators import matching as ma
 from sugarbeam.plans.sequences import SEQUENCES
+from sugarbeam.sources.store import written
 
 OPEN = ["Hex(b1-4)Glc", "Monosaccharide(b1-4)Glc", "Gal(?1-?)GlcNAc", "Neu5Ac(a2-3/6)Gal(b1-3)GalNAc", "Sia(a2-3)Gal(b1-3)GalNAc", "{Fuc(a1-2)}Gal(b1-4)Glc", "[no sequence"]
 
@@ -57,6 +58,16 @@ def test_node_maps_of_a_motif_of_many_names(spark):
     assert {(r.glycan, r.name, r["match"], r.motif_node, r.node) for r in got} == want and len(got) == len(want)
 
 
+def test_labels_are_read_once_and_after_the_dealing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ma, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1])
+    df, motifs = spark.createDataFrame([(t,) for t in SEQUENCES], "glycan string"), spark.createDataFrame([("n", "Gal(b1-4)Glc", None)], "name string, motif string, termini array<string>")
+    ma.node_maps(df, motifs)
+    ma.equal_links(df)
+    called = [x for x in plans if "ArrowEvalPython" in x]
+    assert called and all(x.count("ArrowEvalPython") == 1 for x in called)  # a filter would call it below the dealing, too
+
+
 def brute(text: str, motif: str) -> int:
     """Injective maps of the motif's residues that keep names, parents and linkages, over all choices of residues."""
 
