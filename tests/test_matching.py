@@ -1,6 +1,7 @@
 """Matching through the label index, node maps and equality with wildcards against all pairs."""
 
 import itertools
+import re
 
 import pytest
 
@@ -68,6 +69,15 @@ def test_labels_are_read_once_and_after_the_dealing(spark, monkeypatch):
     assert called and all(x.count("ArrowEvalPython") == 1 for x in called)  # a filter would call it below the dealing, too
 
 
+def test_sequences_are_not_sent_to_all_where_the_size_of_motifs_is_not_known(spark):
+    rows = [(n, m, list(t) or None) for n, m, t in motif_list()[:9]]
+    texts = [f"{a}({x}){b}({y}){t}" for a, b in itertools.permutations(("Gal", "Man", "GlcNAc", "Fuc", "Hex"), 2) for x, y in itertools.permutations(("b1-4", "b1-3", "a1-2", "?1-?"), 2) for t in SEQUENCES]
+    df, motifs = spark.createDataFrame([(t,) for t in texts], "glycan string"), spark.createDataFrame(rows, "name string, motif string, termini array<string>")
+    plan = ma.motif_counts(df, motifs)._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in re.split(r"\n(?=[ :+-]*BroadcastExchange)", plan)[1:] if "_have" in x.split("FileScan")[1].split("\n")[0]]
+    assert "BroadcastNestedLoopJoin" in plan and not sent
+
+
 def brute(text: str, motif: str) -> int:
     """Injective maps of the motif's residues that keep names, parents and linkages, over all choices of residues."""
 
