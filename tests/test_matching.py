@@ -9,6 +9,8 @@ from sugarbeam.functions import glycan as g
 from sugarbeam.functions import structure
 from sugarbeam.functions.motifs import motif_list
 from sugarbeam.operators import matching as ma
+from sugarbeam.plans import rounds  # noqa: F401
+from sugarbeam.plans.registry import QUERIES
 from sugarbeam.plans.sequences import SEQUENCES
 from sugarbeam.sources.store import written
 
@@ -78,6 +80,28 @@ def test_sequences_are_not_sent_to_all_where_the_size_of_motifs_is_not_known(spa
     assert "BroadcastNestedLoopJoin" in plan and not sent
 
 
+def _sent(plan) -> int:
+    """Bytes that the broadcasts of a plan that has run sent to the driver and on to all."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _sent(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _sent(plan.plan())
+    if kind == "BroadcastExchangeExec":
+        return plan.metrics().apply("dataSize").value()
+    return sum(_sent(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_what_named_motifs_send_to_all_does_not_grow_with_the_parts(spark, tmp_path):
+    sent = []
+    for n in (500, 2_000):
+        spark.range(n).selectExpr("id AS p_partkey", "int(id * 7919 % 50 + 1) AS p_size").write.parquet(f"{tmp_path}/{n}/part.parquet")
+        out = QUERIES["indexed_named_motifs"](spark, f"{tmp_path}/{n}")
+        assert out.collect()
+        sent.append(_sent(out._jdf.queryExecution().executedPlan()))
+    assert sent[0] and sent[0] == sent[1]
+
+
 def brute(text: str, motif: str) -> int:
     """Injective maps of the motif's residues that keep names, parents and linkages, over all choices of residues."""
 
