@@ -183,7 +183,8 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, l1: float, rounds: int = 400) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> RuleModel:
     """Fit on at most `rows` labelled documents. Without both classes the score is the share of label 1 (0.5 without labels)."""
-    sample = statistics(labelled_sample(docs, labels, label, rows), [("doc_id", "bigint"), ("y", "int")]).toPandas().sort_values("_c0")
+    found = labelled_sample(docs, labels, label, rows)
+    sample = statistics(found, found.select("doc_id", "y").dtypes).toPandas().sort_values("_c0")  # ids of any type
     x, y = sample[[f"_q_{s}" for s in STATS]].to_numpy(float), sample["_c1"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5

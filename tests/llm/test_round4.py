@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sugarbeam.llm import lexical, ngram_join, phrases
+from sugarbeam.llm import lexical, ngram_join, phrases, quality
 from sugarbeam.llm.lexical import Ranking, Shard, block_bounds
 
 DOCS = "doc_id bigint, text string, lang string, _c0 string, group string"
@@ -243,3 +244,12 @@ def test_keys_sent_before_are_not_sorted_again(monkeypatch):
         assert got == sorted(set(key.tolist()) - seen) and all(key.tolist().index(k) == i for k, i in zip(got, at.tolist(), strict=True))
         seen |= set(got)
     assert max(sorted_[3:]) < 500 and len(sent.keys) == len(seen)
+
+
+def test_quality_is_fitted_on_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(i, "A plain line of words, and one more. " * (1 + i % 7) if i % 2 else "$$ ## 123 " * (1 + i % 5)) for i in range(120)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality")
+    want = quality.fit(docs, labels)
+    for kind in ("int", "decimal(38,0)", "double"):
+        as_ = lambda df, kind=kind: df.withColumn("doc_id", F.col("doc_id").cast(kind))
+        assert want.rules and quality.fit(as_(docs), as_(labels)) == want
